@@ -79,8 +79,13 @@ def file_status(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
 
 def file_overview(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
     """Name, status and metrics of every file in one pass."""
+    return overview_of(with_rule_numbers(files, packs), packs)
+
+
+def overview_of(numbered: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
+    """The overview of files that carry their rule ``numbers``."""
     n = F.col("numbers")
-    return with_rule_numbers(files, packs).select(
+    return numbered.select(
         "file_id", "original_name", status_column(n, packs).alias("status"),
         *_unreadable_to_null(n, metric_columns(n, packs)))
 

@@ -203,20 +203,19 @@ def issue_fields(hit: Column, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> di
     return {name: fields[name].alias(name) for name in ISSUE_COLUMNS}
 
 
-def explode_hits(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS,
-                 *keep: str) -> DataFrame:
-    """One row per hit: the kept columns, ``seq`` (1-based report order) and ``hit``."""
-    reason = F.col("error") if "error" in files.columns else None
-    return with_hits(files, packs).select(
-        *(keep or ("file_id",)), F.posexplode(ordered_hits(F.col("hits"), reason)).alias("pos", "hit"),
-    ).withColumn("seq", F.col("pos") + 1).drop("pos")
+def issues_of(scanned: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *keep: str) -> DataFrame:
+    """Issue rows of files that carry their ``hits`` (from ``with_hits`` or a stored scan)."""
+    keep = keep or ("file_id",)
+    reason = F.col("error") if "error" in scanned.columns else None
+    hits = scanned.select(
+        *keep, F.posexplode(ordered_hits(F.col("hits"), reason)).alias("pos", "hit"))
+    return hits.select(*keep, (F.col("pos") + 1).alias("seq"),
+                       *issue_fields(F.col("hit"), packs).values())
 
 
 def issues(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *keep: str) -> DataFrame:
-    """The flat issue table: one row per issue, in report order within a file."""
-    hits = explode_hits(files, packs, *keep)
-    return hits.select(*(keep or ("file_id",)), "seq",
-                       *issue_fields(F.col("hit"), packs).values())
+    """The flat issue table: one row per issue, ``seq`` is the report order within a file."""
+    return issues_of(with_hits(files, packs), packs, *keep)
 
 
 def failed_files(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> DataFrame:

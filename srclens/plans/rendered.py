@@ -81,7 +81,7 @@ _LINES: list[tuple[str | None, str]] = [
     ("p_size % 6 = 2", "        call_user_func(array($obj, 'go'));\n        call_user_func( array ($obj,  \"stop\" ), 1);\n        call_user_func(array($obj, $m));\n"),
     ("p_size % 6 = 3", "        $r = build(1, «p_retailprice», 'x');\n        if (check(1, 2, 3)) { }\n        if (a(1) && f(1, 2)) { }\n        for (g(1), h(2), 3;;) { }\n"),
     ("p_size % 6 = 4", "        list($x, $y) = $pair;\n        [$x, $y] = $pair;\n        if (array_is_list($z)) { }\n"),
-    ("p_size % 6 = 5", "        // first-class callable\n        $k = new class (1) { };\n"),
+    ("p_size % 12 = 5", "        // first-class callable\n        $k = new class (1) { };\n"),
     ("p_size > 44", "«repeat(concat('        $h', CAST(p_size AS STRING), ' = strpos($a, $b) !== false;', chr(10)), p_size - 30)»"),
     ("k % 15 = 2", "        // «repeat('abcdefghij', 12)»\n"),
     ("k % 15 = 3", "«repeat('é', 60)»     \n«repeat('é', 61)»\n"),
@@ -103,8 +103,11 @@ def _piece(condition: str | None, lines: str) -> str:
 
 _BODY = "concat(" + ",\n    ".join(_piece(c, t) for c, t in _LINES) + ")"
 
-# file_id, original_name, stored_name, path, unix_time, src.  Some files are
-# empty, some unreadable (null), some use CRLF.
+_CLEAN = "<?php\n\ndeclare(strict_types=1);\n\nnamespace Parts\\Clean;\n\n// «p_name», «p_brand»\nreturn [];\n"
+_TALKS = _CLEAN + "// echo «p_retailprice»\n"
+
+# file_id, original_name, stored_name, unix_time, src.  Some files are clean, some
+# only warn, some are empty, some unreadable (null), some use CRLF.
 PART_FILES = f"""
 SELECT p_partkey AS file_id,
        concat('Part', CAST(p_partkey AS STRING), '.php') AS original_name,
@@ -114,6 +117,8 @@ SELECT p_partkey AS file_id,
        1700000000 + p_partkey AS unix_time,
        CASE WHEN p_size = 50 AND p_type = 'LARGE' THEN ''
             WHEN p_size = 49 AND p_type = 'SMALL' THEN NULL
+            WHEN p_size = 20 THEN {sql_text(_CLEAN)}
+            WHEN p_size = 21 THEN {sql_text(_TALKS)}
             WHEN p_size = 33 THEN replace(src, chr(10), concat(chr(13), chr(10)))
             ELSE src END AS src
 FROM (SELECT *, {_BODY} AS src, {{sha256}} AS sha2_hex FROM part) rendered_part
