@@ -50,6 +50,12 @@ def only(*numbers: int, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> tuple[Ru
     return tuple(p for p in cut if p.rules)
 
 
+def evaluated(pack: RulePack) -> tuple[Rule, ...]:
+    """The rules of a pack that a scan has to look at: one that can never fire is
+    left out, unless it was asked for alone."""
+    return tuple(r for r in pack.rules if r.reachable or len(pack.rules) == 1)
+
+
 def rule_catalog(spark: SparkSession, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> DataFrame:
     """One row per rule; its size is the number of rules, whatever the corpus."""
     names = CATALOG_SCHEMA.fieldNames()

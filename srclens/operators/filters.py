@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srclens.operators.catalog import DEFAULT_PACKS, only
-from srclens.operators.rollup import Packs, class_numbers, count_of, display_class
+from srclens.operators.rollup import Packs, class_numbers, display_class, total_of
 from srclens.operators.rules import fixed_values as fixed
-from srclens.operators.scan import issues, with_rule_numbers
+from srclens.operators.scan import with_rule_counts
 
 CLASSES = ("error", "warning", "info", "migration")
 
@@ -27,16 +27,6 @@ def migration_only(issue_rows: DataFrame) -> DataFrame:
     return issue_rows.where(F.col("category") == fixed.MIGRATION)
 
 
-def shown_issues(files: DataFrame, active: tuple[str, ...], packs: Packs = DEFAULT_PACKS,
-                 *keep: str) -> DataFrame:
-    """Issues of the active classes straight from files, evaluating only their rules.
-
-    Fallback rules depend on the rest of their pack, so the migration pack is
-    always taken whole.  ``seq`` is the place among all issues of the file.
-    """
-    return filter_display(issues(files, packs, *keep), active)
-
-
 def visible_files(files: DataFrame, active: tuple[str, ...], packs: Packs = DEFAULT_PACKS) -> DataFrame:
     """Files with at least one shown issue, and how many of each class are shown.
 
@@ -45,14 +35,12 @@ def visible_files(files: DataFrame, active: tuple[str, ...], packs: Packs = DEFA
     """
     by_class = class_numbers(packs)
     wanted = only(*[n for c in active for n in by_class[c]], packs=packs)
-    found = with_rule_numbers(files, wanted)
-    n = F.col("numbers")
-    failed = F.lit(1 if "error" in active else 0).cast("long")
+    unreadable = F.col("body").isNull()
     counts = []
     for c in CLASSES:
-        shown = count_of(n, by_class[c] if c in active else [])
-        missing = failed if c == "error" else F.lit(0).cast("long")
-        counts.append(F.when(n.isNull(), missing).otherwise(shown).alias(f"{c}_shown"))
+        shown = total_of(by_class[c] if c in active else [])
+        failed = 1 if c == "error" and "error" in active else 0
+        counts.append(F.when(unreadable, F.lit(failed).cast("long")).otherwise(shown).alias(f"{c}_shown"))
 
     def visible(row):
         test = row[f"{CLASSES[0]}_shown"] > 0
@@ -63,5 +51,5 @@ def visible_files(files: DataFrame, active: tuple[str, ...], packs: Packs = DEFA
     # Selecting inside the row (instead of a where) keeps the optimizer from
     # evaluating the rules twice, once for the filter and once for the output.
     shown = F.explode(F.filter(F.array(F.struct(*counts)), visible))
-    return found.select("file_id", "original_name", shown.alias("s")).select(
-        "file_id", "original_name", "s.*")
+    return with_rule_counts(files, wanted).select(
+        "file_id", "original_name", shown.alias("s")).select("file_id", "original_name", "s.*")

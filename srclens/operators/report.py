@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srclens import schemas
 from srclens.operators.catalog import DEFAULT_PACKS
 from srclens.operators.rollup import (
-    Packs, compliance_array, metric_columns, migration_columns, status_column,
+    Packs, compliance_array, counts_of_hits, metric_columns, migration_columns, status_of,
 )
-from srclens.operators.scan import issue_fields, ordered_hits, with_hits
+from srclens.operators.scan import ordered_hits, rendered_issues, with_hits
 
 # A file of the largest accepted size can have millions of issues, more than one
 # row can hold as text.  Such a file gets several rows; no issue is left out.
@@ -31,32 +31,30 @@ def reports_of(scanned: DataFrame, packs: Packs = DEFAULT_PACKS,
     as ``file_id``; sort by it (and ``part``) when presenting a report.
     """
     reason = F.col("error") if "error" in scanned.columns else None
-    hits = F.col("hits")
-    numbers = F.transform(hits, lambda h: h["number"])
-    found = scanned.select(
-        "file_id", "original_name", "path", numbers.alias("numbers"),
-        ordered_hits(hits, reason).alias("ordered"))
-    n = F.col("numbers")
-    metrics = F.when(n.isNotNull(), F.struct(
-        *[c.alias(k) for k, c in metric_columns(n, packs).items()]))
-    summary = F.when(n.isNotNull(), F.struct(
-        *[c.alias(k) for k, c in migration_columns(n, packs).items()]))
-    heads = found.select(
+    hits, readable = F.col("hits"), F.col("hits").isNotNull()
+    counted = counts_of_hits(scanned, packs)
+
+    def if_readable(columns) -> Column:
+        return F.when(readable, F.struct(*[c.alias(k) for k, c in columns.items()]))
+
+    metrics = metric_columns(packs)
+    ordered = ordered_hits(hits, reason)
+    heads = counted.select(
         "file_id", F.col("original_name").alias("name"), "path",
-        status_column(n, packs).alias("status"),
-        compliance_array(n, packs).alias("psr_compliance"),
-        summary.alias("migration_summary"), metrics.alias("metrics"),
-        F.greatest(F.ceil(F.size("ordered") / F.lit(per_part)), F.lit(1)).cast("int").alias("parts"),
-        "ordered")
+        status_of(~readable, metrics["errors"] > 0, metrics["warnings"] > 0).alias("status"),
+        compliance_array(packs, readable).alias("psr_compliance"),
+        if_readable(migration_columns(packs)).alias("migration_summary"),
+        if_readable(metrics).alias("metrics"),
+        F.greatest(F.ceil(F.size(ordered) / F.lit(per_part)), F.lit(1)).cast("int").alias("parts"),
+        ordered.alias("ordered"))
     cut = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda i: F.slice(F.col("ordered"), i * per_part + 1, F.lit(per_part)))
     parts = heads.select(
         "file_id", "parts", "name", "path", "status", "psr_compliance", "migration_summary",
         "metrics", F.posexplode(cut).alias("part", "hits"))
-    rendered = F.transform(F.col("hits"), lambda h: F.struct(*issue_fields(h, packs).values()))
     return parts.select(
-        "file_id", "part", "parts", "name", "path", "status", rendered.alias("issues"),
+        "file_id", "part", "parts", "name", "path", "status", rendered_issues(packs).alias("issues"),
         "psr_compliance", "migration_summary", "metrics")
 
 

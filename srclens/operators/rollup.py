@@ -1,22 +1,22 @@
 """Roll-ups of issues per file and per run.
 
-Per-file roll-ups count the rule numbers a file's row already carries, so they
-need no shuffle; each asks only for the rules it counts.  Run-wide roll-ups
-are plain aggregates over those rows (partial sums per task, one small final
-row or one row per rule).
+Per-file roll-ups add up the rule counts that a file's row carries, so they
+need no shuffle, and counts nobody asks for are pruned away.  Run-wide roll-ups
+are plain aggregates over those rows: partial sums per task, one final row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srclens.operators.catalog import DEFAULT_PACKS, all_rules, only, rule_catalog
 from srclens.operators.rules import fixed_values as fixed
 from srclens.operators.rules.base import Rule, RulePack
-from srclens.operators.scan import with_rule_numbers
+from srclens.operators.scan import any_hit, count_name, prepared, with_rule_counts
 
 Packs = tuple[RulePack, ...]
+METRICS = ("total_issues", "errors", "warnings", "info", "migration_suggestions")
 MEDIUM_ABOVE, HIGH_ABOVE = 5, 20
 
 
@@ -24,70 +24,67 @@ def numbers_where(packs: Packs, test) -> list[int]:
     return [r.number for r in all_rules(packs) if test(r)]
 
 
-def count_of(numbers: Column, wanted: list[int]) -> Column:
-    """How many entries of the array are in ``wanted``."""
-    if not wanted:
+def total_of(numbers: list[int]) -> Column:
+    """Hits of some rules, from the count columns of ``with_rule_counts``."""
+    if not numbers:
         return F.lit(0).cast("long")
-    return F.size(F.filter(numbers, lambda n: n.isin(*wanted))).cast("long")
+    return F.expr("CAST(" + " + ".join(map(count_name, numbers)) + " AS BIGINT)")
 
 
 def _severity(packs: Packs, severity: str) -> list[int]:
     return numbers_where(packs, lambda r: r.severity == severity)
 
 
-def metric_columns(numbers: Column, packs: Packs) -> dict[str, Column]:
+def metric_columns(packs: Packs) -> dict[str, Column]:
     """Issue counts; ``info`` includes the migration issues."""
     return {
-        "total_issues": F.size(numbers).cast("long"),
-        "errors": count_of(numbers, _severity(packs, "error")),
-        "warnings": count_of(numbers, _severity(packs, "warning")),
-        "info": count_of(numbers, _severity(packs, "info")),
-        "migration_suggestions": count_of(
-            numbers, numbers_where(packs, lambda r: r.category == fixed.MIGRATION)),
+        "total_issues": total_of(numbers_where(packs, lambda r: True)),
+        "errors": total_of(_severity(packs, "error")),
+        "warnings": total_of(_severity(packs, "warning")),
+        "info": total_of(_severity(packs, "info")),
+        "migration_suggestions": total_of(
+            numbers_where(packs, lambda r: r.category == fixed.MIGRATION)),
     }
 
 
-def status_column(numbers: Column, packs: Packs) -> Column:
+def status_of(failed: Column, errors: Column, warnings: Column) -> Column:
     """error, else warning, else success; an unreadable file is an error."""
-    def any_of(wanted: list[int]) -> Column:
-        return F.exists(numbers, lambda n: n.isin(*wanted)) if wanted else F.lit(False)
-
-    return (
-        F.when(numbers.isNull() | any_of(_severity(packs, "error")), "error")
-        .when(any_of(_severity(packs, "warning")), "warning")
-        .otherwise("success")
-    )
-
-
-def _unreadable_to_null(numbers: Column, columns: dict[str, Column]) -> list[Column]:
-    return [F.when(numbers.isNotNull(), c).alias(n) for n, c in columns.items()]
+    return F.when(failed | errors, "error").when(warnings, "warning").otherwise("success")
 
 
 def file_metrics(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
     """``file_id`` and the five counts; null counts for an unreadable file."""
-    n = F.col("numbers")
-    return with_rule_numbers(files, packs).select(
-        "file_id", *_unreadable_to_null(n, metric_columns(n, packs)))
+    return file_overview(files, packs).select("file_id", *METRICS)
 
 
 def file_status(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
-    """``file_id, status``; info rules are not evaluated because they cannot matter."""
-    graded = only(*numbers_where(packs, lambda r: r.severity != "info"), packs=packs)
-    return with_rule_numbers(files, graded).select(
-        "file_id", status_column(F.col("numbers"), graded).alias("status"))
+    """``file_id, status``: looks for a first error, then for a first warning, and stops there."""
+    by = {s: [r for r in all_rules(packs) if r.severity == s] for s in ("error", "warning")}
+    graded = only(*[r.number for rules in by.values() for r in rules], packs=packs)
+    return prepared(files, graded).select(
+        "file_id", status_of(F.col("body").isNull(), any_hit(by["error"]), any_hit(by["warning"]))
+        .alias("status"))
 
 
 def file_overview(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
-    """Name, status and metrics of every file in one pass."""
-    return overview_of(with_rule_numbers(files, packs), packs)
+    """Name, status and metrics of every file in one pass; null counts for an unreadable file."""
+    return overview_of(with_rule_counts(files, packs), packs)
+
 
+def overview_of(counted: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
+    """The overview of files that carry their rule counts."""
+    metrics = metric_columns(packs)
+    totals = counted.select("file_id", "original_name", *[c.alias(n) for n, c in metrics.items()])
+    status = status_of(F.col("total_issues").isNull(), F.col("errors") > 0, F.col("warnings") > 0)
+    return totals.select("file_id", "original_name", status.alias("status"), *METRICS)
 
-def overview_of(numbered: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
-    """The overview of files that carry their rule ``numbers``."""
-    n = F.col("numbers")
-    return numbered.select(
-        "file_id", "original_name", status_column(n, packs).alias("status"),
-        *_unreadable_to_null(n, metric_columns(n, packs)))
+
+def counts_of_hits(scanned: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
+    """Rule counts of files that carry their ``hits`` (a stored scan)."""
+    counts = {
+        count_name(n): F.expr(f"IF(hits IS NOT NULL, size(filter(_numbers, x -> x = {n})), NULL)")
+        for n in numbers_where(packs, lambda r: True)}
+    return scanned.withColumn("_numbers", F.col("hits.number")).withColumns(counts).drop("_numbers")
 
 
 def run_summary_of(statuses: DataFrame) -> DataFrame:
@@ -110,47 +107,45 @@ def _standard_rules(packs: Packs) -> dict[str, list[Rule]]:
     return {s: [r for r in graded if r.rule.startswith(s + ".")] for s in fixed.STANDARDS}
 
 
-def compliance_array(numbers: Column, packs: Packs) -> Column:
+def compliance_array(packs: Packs, readable: Column) -> Column:
     """One entry per standard, issues or not; empty for an unreadable file."""
     entries = []
     for standard, rules in _standard_rules(packs).items():
-        count = count_of(numbers, [r.number for r in rules])
+        count = total_of([r.number for r in rules])
         entries.append(F.struct(
             F.lit(standard).alias("standard"), (count == 0).alias("compliant"),
             count.alias("issues_count")))
     all_of = F.array(*entries)
-    return F.when(numbers.isNotNull(), all_of).otherwise(F.slice(all_of, 1, 0))
+    return F.when(readable, all_of).otherwise(F.slice(all_of, 1, 0))
 
 
 def psr_compliance(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
     """``file_id, standard, compliant, issues_count``: four rows per readable file."""
     graded = tuple(p for p in packs if p.name == "psr")
-    found = with_rule_numbers(files, graded)
-    return found.select(
-        "file_id", F.explode(compliance_array(F.col("numbers"), graded)).alias("c")
-    ).select("file_id", "c.*")
+    rows = compliance_array(graded, F.col("body").isNotNull())
+    return with_rule_counts(files, graded).select("file_id", F.explode(rows).alias("c")).select(
+        "file_id", "c.*")
 
 
-def _counter(numbers: Column, rules: list[Rule], key) -> Column:
+def _counter(rules: list[Rule], key) -> Column:
     """MAP key -> count without the keys that do not occur."""
     by_key: dict[str, list[int]] = {}
     for r in rules:
         if key(r) is not None:
             by_key.setdefault(key(r), []).append(r.number)
-    entries = [F.struct(F.lit(k).alias("key"), count_of(numbers, v).alias("value"))
-               for k, v in by_key.items()]
+    entries = [F.struct(F.lit(k).alias("key"), total_of(v).alias("value")) for k, v in by_key.items()]
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"] > 0))
 
 
-def migration_columns(numbers: Column, packs: Packs) -> dict[str, Column]:
+def migration_columns(packs: Packs) -> dict[str, Column]:
     rules = [r for p in packs if p.name == "migration" for r in p.rules]
-    total = count_of(numbers, [r.number for r in rules])
+    total = total_of([r.number for r in rules])
     complexity = (F.when(total > HIGH_ABOVE, "high").when(total > MEDIUM_ABOVE, "medium")
                   .otherwise("low"))
     return {
         "total_suggestions": total,
-        "by_category": _counter(numbers, rules, lambda r: r.category or "general"),
-        "php_versions": _counter(numbers, rules, lambda r: r.php_version),
+        "by_category": _counter(rules, lambda r: r.category or "general"),
+        "php_versions": _counter(rules, lambda r: r.php_version),
         "complexity": complexity,
     }
 
@@ -158,9 +153,8 @@ def migration_columns(numbers: Column, packs: Packs) -> dict[str, Column]:
 def migration_summary(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
     """Suggestion count, counters and complexity grade of every readable file."""
     hints = tuple(p for p in packs if p.name == "migration")
-    n = F.col("numbers")
-    return with_rule_numbers(files, hints).where(F.col("body").isNotNull()).select(
-        "file_id", *[c.alias(name) for name, c in migration_columns(n, hints).items()])
+    return with_rule_counts(files.where(F.col("body").isNotNull()), hints).select(
+        "file_id", *[c.alias(name) for name, c in migration_columns(hints).items()])
 
 
 def display_class(category: Column, severity: Column) -> Column:
@@ -179,27 +173,33 @@ def class_numbers(packs: Packs) -> dict[str, list[int]]:
 
 def display_totals(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
     """Run-wide counts in the four disjoint display classes."""
-    n, by_class = F.col("numbers"), class_numbers(packs)
-    found = with_rule_numbers(files, packs)
+    by_class = class_numbers(packs)
 
     def total(name: str) -> Column:
-        counted = F.when(n.isNotNull(), count_of(n, by_class[name]))
+        counted = total_of(by_class[name])
         if name == "error":  # the failure row of an unreadable file is an error
-            counted = F.coalesce(counted, F.lit(1))
+            counted = F.when(F.col("body").isNull(), 1).otherwise(counted)
         return F.coalesce(F.sum(counted), F.lit(0))
 
-    return found.agg(
+    return with_rule_counts(files, packs).agg(
         total("error").alias("errors"), total("warning").alias("warnings"),
         total("info").alias("info"), total(fixed.MIGRATION).alias("migration"))
 
 
-def rule_counts(files: DataFrame, spark: SparkSession, packs: Packs = DEFAULT_PACKS) -> DataFrame:
-    """Hits of every rule of the catalog, zero included."""
-    hits = with_rule_numbers(files, packs).select(
-        F.explode(F.coalesce(F.col("numbers"), F.array().cast("array<int>"))).alias("number"))
-    counted = hits.groupBy("number").agg(F.count(F.lit(1)).alias("hits"))
+def rule_counts(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
+    """Hits of every rule of the catalog, zero included.
+
+    One aggregate with a sum per rule (a single row of partial sums per task),
+    turned into rows afterwards.
+    """
+    rules = all_rules(packs)
+    sums = with_rule_counts(files, packs).agg(*[
+        F.coalesce(F.sum(count_name(r.number)), F.lit(0)).alias(count_name(r.number)) for r in rules])
+    rows = F.array(*[
+        F.struct(F.lit(r.number).alias("number"), F.col(count_name(r.number)).alias("hits"))
+        for r in rules])
+    catalog = F.broadcast(rule_catalog(files.sparkSession, packs))  # one row per rule
     return (
-        F.broadcast(rule_catalog(spark, packs)).join(counted, "number", "left")
-        .select("number", "analyzer", "rule", "severity", "reachable",
-                F.coalesce("hits", F.lit(0)).alias("hits"))
+        sums.select(F.explode(rows).alias("r")).select("r.*").join(catalog, "number")
+        .select("number", "analyzer", "rule", "severity", "reachable", "hits")
     )

@@ -35,6 +35,8 @@ class Rule:
     ``when`` maps the byte view of a line (for file rules a ``FileText``) to a
     boolean Column.  ``needs`` are literals that every hit on a line contains;
     they are tested first because a byte search is far cheaper than a regex.
+    ``in_file`` is a test of the whole text that holds whenever any line hits;
+    without it the longest needed literal serves.
     ``step`` is the place of the pass the rule belongs to: issues of a file are
     ordered by (step, line, number).  A fallback rule fires once for a file in
     which no other rule of its pack hits.
@@ -50,6 +52,7 @@ class Rule:
     when: Predicate
     needs: tuple[str, ...] = ()
     captures: Captures | None = None
+    in_file: Predicate | None = None
     category: str | None = None
     php_version: str | None = None
     before_code: str | None = None
@@ -65,6 +68,13 @@ class Rule:
                 test = has(text, literal) & test
         return test
 
+    def possible(self, body: Column) -> Column | None:
+        """Cheap test of the whole text: false means that no line can hit."""
+        if self.in_file is not None:
+            return self.in_file(body)
+        literal = max(self.needs, key=len, default="")
+        return has(body, literal) if len(literal) > 1 else None
+
     @property
     def query_name(self) -> str:
         key = self.rule.split(".")[-1].lower()

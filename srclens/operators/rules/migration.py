@@ -16,9 +16,16 @@ P = fixed.CAPTURE_PATTERNS
 # possessive form finds the same first match without backtracking.
 CALL = r"(?<!\w)(\w++)\s*+\([^),]*+,[^),]*+,[^)]*+\)"
 
-# async, promise, curl_multi_ or curl_exec..curl_close in any case.  Starting with
-# one character class lets the regex skip over most of a line quickly.
-ASYNC = r"(?i)[apc](?:(?<=a)sync|(?<=p)romise|(?<=c)url_(?:multi_|exec.*curl_close))"
+def _async_word(line: Column) -> Column:
+    """async, promise, curl_multi_ or curl_exec..curl_close, in any case."""
+    low = F.lower(line)
+    return (has(low, "async") | has(low, "promise") | has(low, "curl_multi_")
+            | (has(low, "curl_exec") & F.rlike(low, rx(r"curl_exec.*curl_close"))))
+
+
+def _async_somewhere(body: Column) -> Column:
+    low = F.lower(body)
+    return has(low, "async") | has(low, "promise") | has(low, "curl_")
 
 
 def _trimmed_groups(pattern: str, count: int):
@@ -39,11 +46,11 @@ def _const_captures(line: Column) -> list[Column]:
     return [name, value, studly(name)]
 
 
-def _rule(number, when, *needs, level=LINE, captures=None) -> Rule:
+def _rule(number, when, *needs, level=LINE, captures=None, in_file=None) -> Rule:
     key, message, suggestion, before, after, explanation = fixed.MIGRATION_TEXTS[number]
     return Rule(
         number, 12 if level == FALLBACK else 11, level, "info",
-        f"PHP-{fixed.PHP_VERSION}.{key}", message, suggestion, when, needs, captures,
+        f"PHP-{fixed.PHP_VERSION}.{key}", message, suggestion, when, needs, captures, in_file,
         fixed.MIGRATION, fixed.PHP_VERSION, before, after, explanation,
     )
 
@@ -59,7 +66,7 @@ PACK = RulePack("migration", (
     _rule(39, _union_param, "@param", "|", captures=groups(P[39], 2)),
     _rule(40, match(P[40]), "@param", "|null", captures=groups(P[40], 2)),
     _rule(41, match(P[41]), "const", "=", captures=_const_captures),
-    _rule(42, match(ASYNC)),
+    _rule(42, _async_word, in_file=_async_somewhere),
     _rule(43, match(P[43]), "array", "(", captures=groups(P[43], 2)),
     _rule(44, match(P[44]), "call_user_func", captures=groups(P[44], 2)),
     _rule(45, match(r"function\s+__construct\s*\([^)]*\$(\w+)[^)]*\)"), "__construct", "$"),

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from srclens.functions.text import byte_view, ends_in_space, has, rtrimmed, rx
+from srclens.functions.text import SPACE_CHARS, byte_view, ends_in_space, has, rtrimmed, rx
 from srclens.operators.rules import fixed_values as fixed
 from srclens.operators.rules.base import FILE, LINE, FileText, Rule, RulePack
 
-MEMBER_GATE = (
-    r"(?:public|private|protected)\s+(?:static\s+)?\$\w+"
-    r"|(?:public|private|protected)\s+(?:static\s+)?function"
-)
+MODIFIERS = ("public", "private", "protected")
 
 
 def has_namespace(f: FileText) -> Column:
@@ -36,6 +33,23 @@ def trimmed_length(line: Column) -> Column:
                            rtrimmed(line)).otherwise(line))
 
 
+def any_too_long(body: Column) -> Column:
+    return F.octet_length(body) > fixed.MAX_LINE_BYTES
+
+
+def starts_with_tab(line: Column) -> Column:
+    return F.startswith(line, F.lit("\t"))
+
+
+def any_space_before_end(body: Column) -> Column:
+    """Whitespace right before some line end."""
+    test = ends_in_space(body)
+    for ch in SPACE_CHARS:
+        if ch != "\n":
+            test = test | has(body, ch + "\n")
+    return test
+
+
 def line_bytes(line: Column) -> list[Column]:
     return [trimmed_length(line).cast("string")]
 
@@ -55,13 +69,18 @@ def _unsorted_imports(f: FileText) -> Column:
 
 
 def _missing_visibility(f: FileText) -> Column:
+    # One pattern per leading word: a literal start is found far faster than an
+    # alternation, and no two of these patterns can overlap in a text.
     def count(pattern: str) -> Column:
         return F.regexp_count(f.body, rx(pattern))
 
-    declared = count(r"public\s+") + count(r"private\s+") + count(r"protected\s+")
-    members = count(r"(?:function\s+\w+|\$\w+\s*[=;])")
-    modifier = has(f.body, "public") | has(f.body, "private") | has(f.body, "protected")
-    return modifier & F.rlike(f.body, rx(MEMBER_GATE)) & (declared < members)
+    gate = F.lit(False)
+    for word in MODIFIERS:
+        gate = gate | (has(f.body, word) & F.rlike(
+            f.body, rx(word + r"\s+(?:static\s+)?(?:\$\w|function)")))
+    declared = sum((count(word + r"\s+") for word in MODIFIERS), F.lit(0))
+    members = count(r"function\s+\w+") + count(r"\$\w+\s*[=;]")
+    return gate & (declared < members)
 
 
 def _rule(number, step, level, when, **more) -> Rule:
@@ -74,9 +93,9 @@ PACK = RulePack("psr", (
     _rule(2, 1, FILE, lambda f: has(f.body, "<?") & F.rlike(f.body, rx(r"<\?(?!php|=)"))),
     _rule(3, 1, FILE, lambda f: F.startswith(f.body, F.lit("ï»¿"))),
     _rule(4, 1, FILE, lambda f: has(f.body, "echo") | has(f.body, "print")),
-    _rule(5, 2, LINE, lambda l: F.startswith(l, F.lit("\t"))),
-    _rule(6, 2, LINE, too_long, captures=line_bytes),
-    _rule(7, 2, LINE, ends_in_space),
+    _rule(5, 2, LINE, starts_with_tab, in_file=lambda b: has(b, "\t")),
+    _rule(6, 2, LINE, too_long, captures=line_bytes, in_file=any_too_long),
+    _rule(7, 2, LINE, ends_in_space, in_file=any_space_before_end),
     _rule(8, 3, FILE, _missing_blank_line),
     _rule(9, 4, FILE, lambda f: ~has_namespace(f)),
     _rule(10, 4, FILE, _wrong_class_name,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from srclens.functions.text import has
 from srclens.operators.rules import fixed_values as fixed
 from srclens.operators.rules.base import LINE, Rule, RulePack, match, match_without
 
@@ -11,11 +12,15 @@ def _rule(number, step, when, *needs) -> Rule:
     return Rule(number, step, LINE, severity, rule, message, suggestion, when, needs)
 
 
+def _shows_variable(line):
+    shown = has(line, "echo") | has(line, "print")
+    return shown & match(r"(?:echo|print)\s+\$\w+")(line) & match(r"\$[a-zA-Z_]")(line)
+
+
 PACK = RulePack("static", (
-    # One pattern is enough for 15: 'echo $1' must not count on its own, so the
-    # line also needs a well-formed variable name somewhere.
-    _rule(15, 6, lambda l: match(r"\$[a-zA-Z_]")(l)
-          & match(r"(?:echo|print)\s+\$\w+")(l), "$"),
+    # 'echo $1' does not count on its own: the line also needs a well-formed
+    # variable name somewhere.
+    _rule(15, 6, _shows_variable, "$"),
     _rule(16, 6, match(r"\$\w+->\w+"), "->", "$"),
     _rule(17, 7, match_without(r"function\s+\w+\s*\([^)]*\)\s*\{",
                                r"function\s+\w+\s*\([^)]*\)\s*:\s*\w+"), "function", "{"),

@@ -1,19 +1,23 @@
 """The rule scan: files in, hits per file, issues out.
 
 A file is one row, so everything that concerns one file is computed where that
-row is: the text is split into lines inside the row, every line is tested
-against all rules, and the hits stay in the row as a compact array.  Issue
-rows, metrics, status, compliance and nested reports are then projections of
-that array - no shuffle anywhere on the way.
+row is: the text is split into lines inside the row, and a rule is a filter
+over those lines.  Three questions can be asked - does any rule hit (stops
+early), how often does each rule hit, and where - and issue rows, metrics,
+status, compliance and nested reports are projections of the answers: no
+shuffle anywhere on the way.
 """
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srclens.functions.text import file_stem, to_utf8
-from srclens.operators.catalog import DEFAULT_PACKS, all_rules
+from srclens.operators.catalog import DEFAULT_PACKS, all_rules, evaluated
 from srclens.operators.rules import fixed_values as fixed
 from srclens.operators.rules.base import FALLBACK, FILE, LINE, FileText, Rule, RulePack, split_template
 
@@ -35,81 +39,113 @@ def scan_lines(files: DataFrame) -> DataFrame:
         "file_id", (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def _hit(rule: Rule, line_no: Column, text) -> Column:
-    if rule.captures is None:
-        captures = F.lit(None).cast("array<string>")
-    else:
-        captures = F.array(*[to_utf8(c) for c in rule.captures(text)])
-    return F.struct(
-        F.lit(rule.step).alias("step"), line_no.alias("line"),
-        F.lit(rule.number).alias("number"), captures.alias("captures"),
-    ).cast(HIT_TYPE)
+def prepared(files: DataFrame, packs: tuple[RulePack, ...]) -> DataFrame:
+    """Adds what rules look at: the lines, and for file rules the head and the stem."""
+    levels = {r.level for r in all_rules(packs)}
+    body = F.col("body")
+    if LINE in levels:
+        files = files.withColumn("_lines", split_lines(body))
+    if FILE in levels:
+        files = files.withColumn("_head", _up_to_last_semicolon(body)).withColumn(
+            "_stem", file_stem(F.col("stored_name")))
+    return files
 
 
-def _number(rule: Rule, line_no: Column, text) -> Column:
-    return F.lit(rule.number)
+SCRATCH = ("_lines", "_head", "_stem")
 
 
-def _by_first_literal(rules: list[Rule]) -> dict[str | None, list[Rule]]:
-    """Rules that share a needed literal share its test."""
-    shared = ("(", "$", '"', ";")
-    out: dict[str | None, list[Rule]] = {}
-    for rule in rules:
-        literal = next((c for c in shared if c in rule.needs), None)
-        out.setdefault(literal, []).append(rule)
-    return out
+def _up_to_last_semicolon(body: Column) -> Column:
+    tail = F.substring_index(body, ";", -1)
+    return F.substring(body, F.lit(1), F.length(body) - F.length(tail))
 
 
-def _found(rules: list[Rule], text, line_no: Column, make) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(rule.hits(text), make(rule, line_no, text)) for rule in rules]))
+def _file_text() -> FileText:
+    return FileText(F.col("body"), F.col("_head"), F.col("_stem"))
 
 
-def _line_hits(rules: list[Rule], make):
-    def on_line(line: Column, pos: Column) -> Column:
-        line_no = pos + F.lit(1)
-        parts = []
-        for literal, group in _by_first_literal(rules).items():
-            found = _found(group, line, line_no, make)
-            if literal is not None:
-                found = F.when(F.contains(line, F.lit(literal)), found)
-            parts.append(found)
-        return parts[0] if len(parts) == 1 else F.flatten(F.array_compact(F.array(*parts)))
+def _if_possible(rule: Rule, value: Column, otherwise: Column) -> Column:
+    """``value`` unless a cheap look at the whole text rules the rule out."""
+    possible = rule.possible(F.col("body"))
+    return value if possible is None else F.when(possible, value).otherwise(otherwise)
 
-    return on_line
 
+# ------------------------------------------------------------------ any, count, hits
 
-def _with_found(files: DataFrame, packs: tuple[RulePack, ...], make, column: str,
-                number_of, element: str) -> DataFrame:
-    rules = all_rules(packs)
-    of_level = {lvl: [r for r in rules if r.level == lvl] for lvl in (FILE, LINE, FALLBACK)}
-    parts = []
-    body = F.col("body")
-    if of_level[FILE]:
-        if "_head" not in files.columns:
-            files = files.withColumn("_head", _up_to_last_semicolon(body)).withColumn(
-                "_stem", file_stem(F.col("stored_name")))
-        text = FileText(body, F.col("_head"), F.col("_stem"))
-        parts.append(_found(of_level[FILE], text, F.lit(1), make))
-    fallback_packs = [p for p in packs if any(r.level == FALLBACK for r in p.rules)]
-    if of_level[LINE]:
-        per_line = F.transform(split_lines(body), _line_hits(of_level[LINE], make))
-        parts.append(F.flatten(F.array_compact(per_line)))
-    empty = F.array().cast(f"array<{element}>")
-    found = F.concat(*parts) if parts else empty
-    out = files.withColumn(column, F.when(body.isNotNull(), found)).drop("_head", "_stem")
-    for pack in fallback_packs:
-        numbers = [r.number for r in pack.rules if r.level != FALLBACK]
-        stand_ins = [make(r, F.lit(1), None) for r in pack.rules if r.level == FALLBACK]
-        some = F.exists(F.col(column), lambda h: number_of(h).isin(*numbers))
-        out = out.withColumn(
-            column, F.when(some, F.col(column)).otherwise(F.concat(F.col(column), F.array(*stand_ins))))
-    return out
 
+# Columns are descriptions that any DataFrame can use, so each rule's are made once.
 
-def _up_to_last_semicolon(body: Column) -> Column:
-    tail = F.substring_index(body, ";", -1)
-    return F.substring(body, F.lit(1), F.length(body) - F.length(tail))
+
+@lru_cache(maxsize=None)
+def _any(rule: Rule) -> Column:
+    if rule.level == FILE:
+        return rule.hits(_file_text())
+    if rule.level == LINE:
+        return _if_possible(rule, F.exists(F.col("_lines"), rule.hits), F.lit(False))
+    raise ValueError("fallback rules need the hits of their pack")
+
+
+def any_hit(rules: list[Rule]) -> Column:
+    """Whether any of the rules hits (stops at the first that does).
+
+    To be used on a ``prepared`` DataFrame.  File rules come first: they are cheap.
+    """
+    test = F.lit(False)
+    for rule in sorted(rules, key=lambda r: r.level != FILE):
+        test = test | _any(rule)
+    return test
+
+
+@lru_cache(maxsize=None)
+def _count(rule: Rule) -> Column:
+    if rule.level == FILE:
+        return F.when(rule.hits(_file_text()), 1).otherwise(0)
+    matching = F.size(F.filter(F.col("_lines"), rule.hits))
+    return _if_possible(rule, matching, F.lit(0))
+
+
+def count_name(number: int) -> str:
+    return f"n{number}"
+
+
+def with_rule_counts(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> DataFrame:
+    """``files`` plus one count column per rule (``n1``, ``n2``, ...).
+
+    Counts are null for a file whose body is null.  Columns that nobody reads
+    are pruned, and with them the work for their rules.
+    """
+    readable = F.col("body").isNotNull()
+    counts = {count_name(r.number): F.when(readable, _count(r) if r in evaluated(p) else F.lit(0))
+              for p in packs for r in p.rules if r.level != FALLBACK}
+    out = prepared(files, packs).withColumns(counts).drop(*SCRATCH)
+    fallbacks = {}
+    for pack in packs:
+        others = [F.col(count_name(r.number)) for r in pack.rules if r.level != FALLBACK]
+        for rule in pack.rules:
+            if rule.level == FALLBACK:
+                none = sum(others, F.lit(0)) == 0
+                fallbacks[count_name(rule.number)] = F.when(none, 1).when(readable, 0)
+    return out.withColumns(fallbacks) if fallbacks else out
+
+
+def _hit(rule: Rule, line_no: Column, text) -> Column:
+    if rule.captures is None:
+        captures = F.lit(None).cast("array<string>")
+    else:
+        captures = F.array(*[to_utf8(c) for c in rule.captures(text)])
+    return F.struct(
+        F.lit(rule.step).alias("step"), line_no.alias("line"),
+        F.lit(rule.number).alias("number"), captures.alias("captures"))
+
+
+@lru_cache(maxsize=None)
+def _hits(rule: Rule) -> Column:
+    none = F.array().cast(f"array<{HIT_TYPE}>")
+    if rule.level == FILE:
+        text = _file_text()
+        return F.when(rule.hits(text), F.array(_hit(rule, F.lit(1), text))).otherwise(none)
+    found = F.transform(F.col("_lines"), lambda line, pos: F.when(
+        rule.hits(line), _hit(rule, pos + 1, line)))
+    return _if_possible(rule, F.array_compact(found), none)
 
 
 def with_hits(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> DataFrame:
@@ -117,12 +153,22 @@ def with_hits(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS) ->
 
     ``hits`` is null for a file whose body is null.
     """
-    return _with_found(files, packs, _hit, "hits", lambda h: h["number"], HIT_TYPE)
-
-
-def with_rule_numbers(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> DataFrame:
-    """``files`` plus ``numbers``: the bare rule number of every issue (for counting)."""
-    return _with_found(files, packs, _number, "numbers", lambda n: n, "int")
+    files = prepared(files, packs)
+    found = {}
+    for pack in packs:
+        arrays = [_hits(r) for r in evaluated(pack) if r.level != FALLBACK]
+        found[f"_hits_{pack.name}"] = F.concat(*arrays) if arrays else F.array().cast(f"array<{HIT_TYPE}>")
+    out = files.withColumns(found)
+    parts = []
+    for pack in packs:
+        column = F.col(f"_hits_{pack.name}")
+        parts.append(column)
+        stand_ins = [_hit(r, F.lit(1), None) for r in pack.rules if r.level == FALLBACK]
+        if stand_ins:
+            parts.append(F.when(F.size(column) == 0, F.array(*stand_ins)).otherwise(
+                F.array().cast(f"array<{HIT_TYPE}>")))
+    return out.withColumn("hits", F.when(F.col("body").isNotNull(), F.concat(*parts))).drop(
+        *SCRATCH, *found)
 
 
 # ---------------------------------------------------------------- issue texts
@@ -144,60 +190,68 @@ def ordered_hits(hits: Column, reason: Column | None = None) -> Column:
     return F.when(hits.isNull(), F.array(failure_hit(reason))).otherwise(F.sort_array(hits))
 
 
+TEXT_FIELDS = ("severity", "rule", "message", "suggestion", "category", "php_version",
+               "before_code", "after_code", "explanation")
+TEMPLATES = ("message", "before_code", "after_code")
+
+
 def _texts(packs: tuple[RulePack, ...]) -> dict[int, dict[str, str | None]]:
     severity, name, message = fixed.ANALYSIS_ERROR
     failure = {"severity": severity, "rule": name, "message": message + "<1>"}
-    fields = ("severity", "message", "rule", "suggestion", "category", "php_version",
-              "before_code", "after_code", "explanation")
-    table = {FAILURE_NUMBER: {f: failure.get(f) for f in fields}}
+    table = {FAILURE_NUMBER: {f: failure.get(f) for f in TEXT_FIELDS}}
     for rule in all_rules(packs):
-        table[rule.number] = {f: getattr(rule, f) for f in fields}
+        table[rule.number] = {f: getattr(rule, f) for f in TEXT_FIELDS}
     return table
 
 
-def _lookup(table: dict[int, str | None], number: Column) -> Column:
-    """Constant text by rule number, null where a rule has none."""
-    present = [(F.lit(k), F.lit(v)) for k, v in table.items() if v is not None]
-    if not present:
-        return F.lit(None).cast("string")
-    return F.create_map(*[c for pair in present for c in pair])[number]
+def _text_table(texts: dict[int, dict[str, str | None]]) -> Column:
+    """The texts as one constant array, indexed by rule number.
 
+    Its size is the number of rules; the optimizer folds it to a literal.
+    """
+    rows = [texts.get(n, {}) for n in range(max(texts) + 1)]
+    fields = ",".join(f"{f}:string" for f in TEXT_FIELDS)
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<struct<{fields}>>")
 
-def _filled(table: dict[int, str | None], hit: Column) -> Column:
-    """Text by rule number with the captures of the hit put in."""
-    number, captures = hit["number"], hit["captures"]
-    plain, templates = {}, {}
-    for k, text in table.items():
-        split = split_template(text)
-        if split is not None and len(split[0]) > 1:
-            templates[k] = split
-        else:
-            plain[k] = text
-    out = _lookup(plain, number)
-    # One branch per template; a hit only ever evaluates its own.
-    branches = None
-    for k, (pieces, slots) in templates.items():
-        parts = []
-        for piece, slot in zip(pieces, slots):
-            if piece:
-                parts.append(F.lit(piece))
-            if slot:
-                parts.append(F.get(captures, F.lit(slot - 1)))
-        text = F.concat(*parts)
-        branches = F.when(number == k, text) if branches is None else branches.when(number == k, text)
-    return out if branches is None else branches.otherwise(out)
-
-
-def issue_fields(hit: Column, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> dict[str, Column]:
-    """Every issue column as an expression over one hit."""
-    texts = _texts(packs)
 
-    def column_of(field: str) -> dict[int, str | None]:
-        return {k: t[field] for k, t in texts.items()}
+def _filled(template: str, captures: Column) -> Column:
+    """A template with the captures of a hit put in."""
+    parts = []
+    for piece, slot in zip(*split_template(template)):
+        if piece:
+            parts.append(F.lit(piece))
+        if slot:
+            parts.append(F.get(captures, F.lit(slot - 1)))
+    return F.concat(*parts)
+
 
-    fields = {f: _lookup(column_of(f), hit["number"])
-              for f in ("severity", "rule", "suggestion", "category", "php_version", "explanation")}
-    fields |= {f: _filled(column_of(f), hit) for f in ("message", "before_code", "after_code")}
+@lru_cache(maxsize=64)
+def _issue_columns(packs: tuple[RulePack, ...]) -> tuple[Column, ...]:
+    """The issue columns over a column named ``hit``."""
+    return tuple(_issue_fields(F.col("hit"), packs).values())
+
+
+@lru_cache(maxsize=64)
+def rendered_issues(packs: tuple[RulePack, ...]) -> Column:
+    """The array column ``hits`` with every hit turned into an issue struct."""
+    return F.transform(F.col("hits"), lambda h: F.struct(*_issue_fields(h, packs).values()))
+
+
+def _issue_fields(hit: Column, packs: tuple[RulePack, ...]) -> dict[str, Column]:
+    """Every issue column as an expression over one hit."""
+    texts = _texts(packs)
+    number, captures = hit["number"], hit["captures"]
+    text = F.get(_text_table(texts), number)
+    fields = {f: text[f] for f in TEXT_FIELDS}
+    for f in TEMPLATES:
+        # One branch per template; a hit only ever evaluates its own.
+        with_captures = {n: t[f] for n, t in texts.items() if t[f] and len(split_template(t[f])[0]) > 1}
+        branches = None
+        for n, template in with_captures.items():
+            filled = _filled(template, captures)
+            branches = F.when(number == n, filled) if branches is None else branches.when(number == n, filled)
+        if branches is not None:
+            fields[f] = F.when(captures.isNull(), text[f]).otherwise(branches.otherwise(text[f]))
     fields["line"] = hit["line"].cast("long")
     fields["diff"] = F.lit(None).cast("string")
     return {name: fields[name].alias(name) for name in ISSUE_COLUMNS}
@@ -210,7 +264,7 @@ def issues_of(scanned: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *
     hits = scanned.select(
         *keep, F.posexplode(ordered_hits(F.col("hits"), reason)).alias("pos", "hit"))
     return hits.select(*keep, (F.col("pos") + 1).alias("seq"),
-                       *issue_fields(F.col("hit"), packs).values())
+                       *_issue_columns(packs))
 
 
 def issues(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *keep: str) -> DataFrame:

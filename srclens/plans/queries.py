@@ -14,7 +14,7 @@ from srclens.operators.rules.base import FALLBACK
 from srclens.plans import oracles, rendered
 from srclens.session import shared_folder
 from srclens.sources import store
-from srclens.sources.corpus import from_table
+from srclens.sources.corpus import from_table, spread
 from srclens.streaming import lint_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,24 +41,30 @@ def _with_sources(sql: str, names: tuple[str, ...]) -> str:
     return sql
 
 
+def _text_sql(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    """Like ``_sql`` over one table, spread over the cores before any text is made of it."""
+    rows = spread(table(spark, sf_dir, name))
+    return spark.sql(_with_sources(sql, (name,)), **{name: rows})
+
+
 def _as_files(rows: DataFrame) -> DataFrame:
     return from_table(rows, F.col("file_id"), F.col("src"), F.col("original_name"), F.col("stored_name"))
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_files(_sql(spark, sf_dir, rendered.part_files("spark"), "part"))
+    return _as_files(_text_sql(spark, sf_dir, rendered.part_files("spark"), "part"))
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_files(_sql(spark, sf_dir, rendered.DOCUMENT_FILES, "documents"))
+    return _as_files(_text_sql(spark, sf_dir, rendered.DOCUMENT_FILES, "documents"))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_files(_sql(spark, sf_dir, rendered.PAGE_FILES, "pages"))
+    return _as_files(_text_sql(spark, sf_dir, rendered.PAGE_FILES, "pages"))
 
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_files(_sql(spark, sf_dir, rendered.CONVERSATION_FILES, "conversations"))
+    return _as_files(_text_sql(spark, sf_dir, rendered.CONVERSATION_FILES, "conversations"))
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,8 +240,8 @@ def queries() -> dict[str, Query]:
         "run_summary_documents": _over(document_files, rollup.run_summary),
         "migration_summary": _over(part_files, _migration_summary),
         "display_totals": _over(part_files, rollup.display_totals),
-        "rule_counts": lambda spark, sf: rollup.rule_counts(part_files(spark, sf), spark),
-        "rule_counts_documents": lambda spark, sf: rollup.rule_counts(document_files(spark, sf), spark),
+        "rule_counts": _over(part_files, rollup.rule_counts),
+        "rule_counts_documents": _over(document_files, rollup.rule_counts),
         # filters
         "filter_severity": _over(part_files, lambda f: filters.filter_severity(scan.issues(f), "warning")),
         "filter_display": _over(part_files, lambda f: filters.filter_display(scan.issues(f), ACTIVE)),

@@ -56,6 +56,16 @@ def from_binary(binary: DataFrame, max_bytes: int | None = MAX_FILE_BYTES) -> Da
         F.col("modificationTime").alias("modified"), byte_view(F.col("content")).alias("body"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores when the table comes in fewer splits than there are cores.
+
+    Scanning is compute-bound, so a table in one small file would otherwise keep
+    one core busy.  A table with enough splits is left alone: no shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def from_table(df: DataFrame, key: Column, text: Column, original_name: Column,
                stored_name: Column | None = None, path: Column | None = None) -> DataFrame:
     """A corpus from a table: one file per row, the whole text as its content."""
