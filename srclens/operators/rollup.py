@@ -153,8 +153,11 @@ def migration_columns(packs: Packs) -> dict[str, Column]:
 def migration_summary(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
     """Suggestion count, counters and complexity grade of every readable file."""
     hints = tuple(p for p in packs if p.name == "migration")
-    return with_rule_counts(files.where(F.col("body").isNotNull()), hints).select(
-        "file_id", *[c.alias(name) for name, c in migration_columns(hints).items()])
+    summary = F.struct(*[c.alias(name) for name, c in migration_columns(hints).items()])
+    # No row for an unreadable file; a where on the body would decode every text twice.
+    readable = F.explode(F.when(F.col("body").isNotNull(), F.array(summary)))
+    return with_rule_counts(files, hints).select("file_id", readable.alias("s")).select(
+        "file_id", "s.*")
 
 
 def display_class(category: Column, severity: Column) -> Column:

@@ -257,19 +257,25 @@ def _issue_fields(hit: Column, packs: tuple[RulePack, ...]) -> dict[str, Column]
     return {name: fields[name].alias(name) for name in ISSUE_COLUMNS}
 
 
-def issues_of(scanned: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *keep: str) -> DataFrame:
-    """Issue rows of files that carry their ``hits`` (from ``with_hits`` or a stored scan)."""
+def issues_of(scanned: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *keep: str,
+              failures: bool = True) -> DataFrame:
+    """Issue rows of files that carry their ``hits`` (from ``with_hits`` or a stored scan).
+
+    Without ``failures`` unreadable files give no row.
+    """
     keep = keep or ("file_id",)
-    reason = F.col("error") if "error" in scanned.columns else None
-    hits = scanned.select(
-        *keep, F.posexplode(ordered_hits(F.col("hits"), reason)).alias("pos", "hit"))
-    return hits.select(*keep, (F.col("pos") + 1).alias("seq"),
-                       *_issue_columns(packs))
+    reason = F.col("error") if failures and "error" in scanned.columns else None
+    # Exploding an expression (not the bare column) keeps the optimizer from
+    # adding a size filter below, which would evaluate every rule a second time.
+    ordered = ordered_hits(F.col("hits"), reason) if failures else F.sort_array("hits")
+    hits = scanned.select(*keep, F.posexplode(ordered).alias("pos", "hit"))
+    return hits.select(*keep, (F.col("pos") + 1).alias("seq"), *_issue_columns(packs))
 
 
-def issues(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *keep: str) -> DataFrame:
+def issues(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *keep: str,
+           failures: bool = True) -> DataFrame:
     """The flat issue table: one row per issue, ``seq`` is the report order within a file."""
-    return issues_of(with_hits(files, packs), packs, *keep)
+    return issues_of(with_hits(files, packs), packs, *keep, failures=failures)
 
 
 def failed_files(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> DataFrame:

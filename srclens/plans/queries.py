@@ -84,8 +84,7 @@ def _rule_query(number: int, fallback: bool) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Unreadable files have their own query; here only what the rule finds.
-        files = part_files(spark, sf_dir).where(F.col("body").isNotNull())
-        rows = scan.issues(files, packs)
+        rows = scan.issues(part_files(spark, sf_dir), packs, failures=False)
         if fallback:
             rule = next(r.rule for r in all_rules(packs) if r.number == number)
             rows = rows.where(F.col("rule") == rule)
@@ -94,10 +93,6 @@ def _rule_query(number: int, fallback: bool) -> Query:
     return run
 
 
-def _readable(files: DataFrame) -> DataFrame:
-    return files.where(F.col("body").isNotNull())
-
-
 def _scan_corpus(files: DataFrame) -> DataFrame:
     lines = F.when(F.col("body").isNotNull(), F.size(scan.split_lines(F.col("body"))))
     return files.select("file_id", "original_name", "stored_name", "size", lines.alias("n_lines"))
@@ -111,11 +106,11 @@ def _scan_lines(files: DataFrame) -> DataFrame:
 
 
 def _migration_issues(files: DataFrame) -> DataFrame:
-    return filters.migration_only(scan.issues(_readable(files), MIGRATION)).drop("seq")
+    return filters.migration_only(scan.issues(files, MIGRATION, failures=False)).drop("seq")
 
 
 def _rewrite_preview(files: DataFrame) -> DataFrame:
-    return scan.issues(_readable(files), MIGRATION).where(F.col("before_code").isNotNull()).select(
+    return scan.issues(files, MIGRATION, failures=False).where(F.col("before_code").isNotNull()).select(
         "file_id", "line", "rule", "before_code", "after_code")
 
 
@@ -231,7 +226,7 @@ def queries() -> dict[str, Query]:
         "migration_issues": _over(part_files, _migration_issues),
         "rewrite_preview": _over(part_files, _rewrite_preview),
         # roll-ups
-        "psr_compliance": _over(part_files, lambda f: rollup.psr_compliance(_readable(f))),
+        "psr_compliance": _over(part_files, rollup.psr_compliance),
         "file_metrics": _over(part_files, rollup.file_metrics),
         "file_metrics_documents": _over(document_files, rollup.file_metrics),
         "file_status": _over(part_files, rollup.file_status),

@@ -16,6 +16,7 @@ from srclens.functions.text import base_name, byte_view
 from srclens.operators.gate import MAX_FILE_BYTES
 
 PHP_GLOB = "*.[pP][hH][pP]"
+BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -43,7 +44,8 @@ def read_files(spark: SparkSession, path: str, glob: str | None = PHP_GLOB,
 def stream_files(spark: SparkSession, path: str, glob: str | None = PHP_GLOB,
                  max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
     """The same corpus as a stream of newly landed files."""
-    return from_binary(_binary(spark.readStream, path, glob, True), max_bytes)
+    reader = spark.readStream.schema(BINARY_FILE)
+    return from_binary(_binary(reader, path, glob, True), max_bytes)
 
 
 def from_binary(binary: DataFrame, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
@@ -56,6 +58,22 @@ def from_binary(binary: DataFrame, max_bytes: int | None = MAX_FILE_BYTES) -> Da
         F.col("modificationTime").alias("modified"), byte_view(F.col("content")).alias("body"))
 
 
+def with_missing(files: DataFrame, listed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``files`` plus a row for every manifest entry that the file source did not give.
+
+    The file source leaves out empty files, and a file may be gone or unreadable
+    by the time of the scan.  An entry of size 0 becomes an empty text, any other
+    one an unreadable file (null body).  ``listed`` is the listing (``path``);
+    only paths are joined, never contents.  ``manifest`` has ``original_name,
+    stored_name, path, size, mime_type`` with paths as the file source spells them.
+    """
+    missing = manifest.join(listed.select("path"), "path", "left_anti")
+    rows = missing.select(
+        F.col("path").alias("file_id"), "original_name", "stored_name", "path", "size", "mime_type",
+        F.lit(None).cast("timestamp").alias("modified"), F.when(F.col("size") == 0, "").alias("body"))
+    return files.unionByName(rows)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows over all cores when the table comes in fewer splits than there are cores.
 

@@ -107,7 +107,7 @@ def read_run_files(spark: SparkSession, path: str) -> DataFrame:
     The id comes from the file name; fields an older report lacks are null, and
     an empty counter written as ``[]`` reads as an empty map.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     fixed_counters = F.regexp_replace(
         F.col("value"), r'("(?:by_category|php_versions)"\s*:\s*)\[\s*\]', "$1{}")
     return text.select(
