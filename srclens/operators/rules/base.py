@@ -36,7 +36,8 @@ class Rule:
     boolean Column.  ``needs`` are literals that every hit on a line contains;
     they are tested first because a byte search is far cheaper than a regex.
     ``in_file`` is a test of the whole text that holds whenever any line hits;
-    without it the longest needed literal serves.
+    without it the longest needed literal serves.  Rules with the same
+    ``in_file`` function share its result.
     ``step`` is the place of the pass the rule belongs to: issues of a file are
     ordered by (step, line, number).  A fallback rule fires once for a file in
     which no other rule of its pack hits.
@@ -68,10 +69,15 @@ class Rule:
                 test = has(text, literal) & test
         return test
 
+    @property
+    def gate(self) -> str | None:
+        """Name of the column with the ``in_file`` test, which rules may share."""
+        return f"_gate_{self.in_file.__name__}" if self.in_file else None
+
     def possible(self, body: Column) -> Column | None:
         """Cheap test of the whole text: false means that no line can hit."""
         if self.in_file is not None:
-            return self.in_file(body)
+            return F.col(self.gate)
         literal = max(self.needs, key=len, default="")
         return has(body, literal) if len(literal) > 1 else None
 

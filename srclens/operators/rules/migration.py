@@ -18,14 +18,18 @@ CALL = r"(?<!\w)(\w++)\s*+\([^),]*+,[^),]*+,[^)]*+\)"
 
 def _async_word(line: Column) -> Column:
     """async, promise, curl_multi_ or curl_exec..curl_close, in any case."""
-    low = F.lower(line)
-    return (has(low, "async") | has(low, "promise") | has(low, "curl_multi_")
-            | (has(low, "curl_exec") & F.rlike(low, rx(r"curl_exec.*curl_close"))))
+    return _in_lower_case(line, lambda low: (
+        has(low, "async") | has(low, "promise") | has(low, "curl_multi_")
+        | (has(low, "curl_exec") & F.rlike(low, rx(r"curl_exec.*curl_close")))))
 
 
-def _async_somewhere(body: Column) -> Column:
-    low = F.lower(body)
-    return has(low, "async") | has(low, "promise") | has(low, "curl_")
+def any_async_word(body: Column) -> Column:
+    return _in_lower_case(body, lambda low: has(low, "async") | has(low, "promise") | has(low, "curl_"))
+
+
+def _in_lower_case(text: Column, test) -> Column:
+    """``test`` of the lower-cased text, which is made only once."""
+    return F.exists(F.array(F.lower(text)), test)
 
 
 def _trimmed_groups(pattern: str, count: int):
@@ -56,20 +60,20 @@ def _rule(number, when, *needs, level=LINE, captures=None, in_file=None) -> Rule
 
 
 PACK = RulePack("migration", (
-    _rule(33, match(P[33]), "array_keys", "===", captures=groups(P[33], 1)),
-    _rule(34, match(P[34]), "strpos", "!==", captures=_trimmed_groups(P[34], 2)),
-    _rule(35, match(P[35]), "strpos", "===", captures=_trimmed_groups(P[35], 2)),
-    _rule(36, match(P[36]), "substr", "-strlen", captures=_trimmed_groups(P[36], 2)),
+    _rule(33, match(P[33]), "array_keys", "===", "(", captures=groups(P[33], 1)),
+    _rule(34, match(P[34]), "strpos", "!==", "(", captures=_trimmed_groups(P[34], 2)),
+    _rule(35, match(P[35]), "strpos", "===", "(", captures=_trimmed_groups(P[35], 2)),
+    _rule(36, match(P[36]), "substr", "-strlen", "(", captures=_trimmed_groups(P[36], 2)),
     _rule(37, match(P[37]), "switch", "(", captures=_trimmed_groups(P[37], 1)),
     _rule(38, lambda l: ~has(l, "readonly") & F.rlike(l, rx(P[38])), "$", ";",
           captures=groups(P[38], 2)),
     _rule(39, _union_param, "@param", "|", captures=groups(P[39], 2)),
     _rule(40, match(P[40]), "@param", "|null", captures=groups(P[40], 2)),
     _rule(41, match(P[41]), "const", "=", captures=_const_captures),
-    _rule(42, _async_word, in_file=_async_somewhere),
+    _rule(42, _async_word, in_file=any_async_word),
     _rule(43, match(P[43]), "array", "(", captures=groups(P[43], 2)),
-    _rule(44, match(P[44]), "call_user_func", captures=groups(P[44], 2)),
-    _rule(45, match(r"function\s+__construct\s*\([^)]*\$(\w+)[^)]*\)"), "__construct", "$"),
+    _rule(44, match(P[44]), "call_user_func", "(", captures=groups(P[44], 2)),
+    _rule(45, match(r"function\s+__construct\s*\([^)]*\$(\w+)[^)]*\)"), "__construct", "$", "("),
     _rule(46, _many_arguments, ",", "(", ")"),
     _rule(47, match(r"list\s*\("), "list", "("),
     _rule(48, lambda l: F.rlike(l, rx(P[48])) & ~F.rlike(l, rx(r"readonly\s+class")),

@@ -37,6 +37,10 @@ def any_too_long(body: Column) -> Column:
     return F.octet_length(body) > fixed.MAX_LINE_BYTES
 
 
+def any_tab(body: Column) -> Column:
+    return has(body, "\t")
+
+
 def starts_with_tab(line: Column) -> Column:
     return F.startswith(line, F.lit("\t"))
 
@@ -93,7 +97,7 @@ PACK = RulePack("psr", (
     _rule(2, 1, FILE, lambda f: has(f.body, "<?") & F.rlike(f.body, rx(r"<\?(?!php|=)"))),
     _rule(3, 1, FILE, lambda f: F.startswith(f.body, F.lit("ï»¿"))),
     _rule(4, 1, FILE, lambda f: has(f.body, "echo") | has(f.body, "print")),
-    _rule(5, 2, LINE, starts_with_tab, in_file=lambda b: has(b, "\t")),
+    _rule(5, 2, LINE, starts_with_tab, in_file=any_tab),
     _rule(6, 2, LINE, too_long, captures=line_bytes, in_file=any_too_long),
     _rule(7, 2, LINE, ends_in_space, in_file=any_space_before_end),
     _rule(8, 3, FILE, _missing_blank_line),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from srclens.functions.text import has, is_blank, rx, trimmed
+from srclens.functions.text import is_blank, rx, trimmed
 from srclens.operators.rules import fixed_values as fixed
 from srclens.operators.rules.base import LINE, Rule, RulePack, match_without
-from srclens.operators.rules.psr import any_space_before_end, any_too_long, line_bytes, too_long
+from srclens.operators.rules.psr import any_space_before_end, any_tab, any_too_long, line_bytes, too_long
 from srclens.operators.rules.style import trailing_space_after_code
 
 
@@ -35,7 +35,7 @@ def _rule(number, when, *needs, **more) -> Rule:
 
 PACK = RulePack("standard", (
     _rule(26, too_long, captures=line_bytes, in_file=any_too_long),
-    _rule(27, lambda l: F.rlike(l, rx(r"^\s*\t")), "\t", in_file=lambda b: has(b, "\t")),
+    _rule(27, lambda l: F.rlike(l, rx(r"^\s*\t")), "\t", in_file=any_tab),
     _rule(28, _odd_indent),
     _rule(29, trailing_space_after_code, in_file=any_space_before_end),
     _rule(30, _opening_brace_after(r"^(class|interface|trait)\s+\w+.*\{$"), "{"),

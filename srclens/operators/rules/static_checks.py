@@ -23,9 +23,9 @@ PACK = RulePack("static", (
     _rule(15, 6, _shows_variable, "$"),
     _rule(16, 6, match(r"\$\w+->\w+"), "->", "$"),
     _rule(17, 7, match_without(r"function\s+\w+\s*\([^)]*\)\s*\{",
-                               r"function\s+\w+\s*\([^)]*\)\s*:\s*\w+"), "function", "{"),
+                               r"function\s+\w+\s*\([^)]*\)\s*:\s*\w+"), "function", "{", "("),
     _rule(18, 7, match_without(r"function\s+\w+\s*\(\s*\$\w+",
-                               r"function\s+\w+\s*\(\s*\w+\s+\$\w+"), "function", "$"),
-    _rule(19, 8, match(r"create_function\s*\("), "create_function"),
+                               r"function\s+\w+\s*\(\s*\w+\s+\$\w+"), "function", "$", "("),
+    _rule(19, 8, match(r"create_function\s*\("), "create_function", "("),
     _rule(20, 8, match(r"each\s*\("), "each", "("),
 ))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from srclens.functions.text import ends_in_space, has, is_blank, trimmed
+from srclens.functions.text import ends_in_space, is_blank, trimmed
 from srclens.operators.rules import fixed_values as fixed
 from srclens.operators.rules.base import LINE, Rule, RulePack, match, match_without
-from srclens.operators.rules.psr import any_space_before_end, starts_with_tab
+from srclens.operators.rules.psr import any_space_before_end, any_tab, starts_with_tab
 
 
 def trailing_space_after_code(line):
@@ -19,7 +19,7 @@ def _rule(number, when, *needs, **more) -> Rule:
 
 PACK = RulePack("style", (
     _rule(21, trailing_space_after_code, in_file=any_space_before_end),
-    _rule(22, starts_with_tab, in_file=lambda b: has(b, "\t")),
+    _rule(22, starts_with_tab, in_file=any_tab),
     # The second pattern matches wherever the first does: the rule never fires.
     _rule(23, match_without(r"\$\w+=[^=]", r"\$\w+\s*=\s*"), "$", "=", reachable=False),
     _rule(24, match(r"array\s*\("), "array", "("),

@@ -39,24 +39,35 @@ def scan_lines(files: DataFrame) -> DataFrame:
         "file_id", (F.col("pos") + 1).alias("line_no"), "line")
 
 
+SCRATCH = ("_lines", "_head", "_stem")
+
+
 def prepared(files: DataFrame, packs: tuple[RulePack, ...]) -> DataFrame:
-    """Adds what rules look at: the lines, and for file rules the head and the stem."""
-    levels = {r.level for r in all_rules(packs)}
+    """Adds what rules look at: the lines, shared tests of the whole text, and for
+    file rules the head and the stem.
+
+    What only one rule reads is merged into that rule's expression by the optimizer.
+    """
+    rules = all_rules(packs)
     body = F.col("body")
-    if LINE in levels:
-        files = files.withColumn("_lines", split_lines(body))
-    if FILE in levels:
-        files = files.withColumn("_head", _up_to_last_semicolon(body)).withColumn(
-            "_stem", file_stem(F.col("stored_name")))
-    return files
+    added = {}
+    if any(r.level == LINE for r in rules):
+        added = {"_lines": split_lines(body), **{r.gate: r.in_file(body) for r in rules if r.gate}}
+    if any(r.level == FILE for r in rules):
+        added |= {"_head": _up_to_last_semicolon(body), "_stem": file_stem(F.col("stored_name"))}
+    return files.withColumns(added) if added else files
 
 
-SCRATCH = ("_lines", "_head", "_stem")
+def _without_scratch(df: DataFrame, packs: tuple[RulePack, ...], *more: str) -> DataFrame:
+    return df.drop(*SCRATCH, *{r.gate for r in all_rules(packs) if r.gate}, *more)
 
 
 def _up_to_last_semicolon(body: Column) -> Column:
+    """Where the patterns that end in ';' can match at all."""
     tail = F.substring_index(body, ";", -1)
-    return F.substring(body, F.lit(1), F.length(body) - F.length(tail))
+    cut = F.substring(body, F.lit(1), F.length(body) - F.length(tail))
+    wanted = F.contains(body, F.lit("namespace")) | F.contains(body, F.lit("use"))
+    return F.when(wanted, cut).when(body.isNotNull(), "")
 
 
 def _file_text() -> FileText:
@@ -116,7 +127,7 @@ def with_rule_counts(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PAC
     readable = F.col("body").isNotNull()
     counts = {count_name(r.number): F.when(readable, _count(r) if r in evaluated(p) else F.lit(0))
               for p in packs for r in p.rules if r.level != FALLBACK}
-    out = prepared(files, packs).withColumns(counts).drop(*SCRATCH)
+    out = _without_scratch(prepared(files, packs).withColumns(counts), packs)
     fallbacks = {}
     for pack in packs:
         others = [F.col(count_name(r.number)) for r in pack.rules if r.level != FALLBACK]
@@ -143,9 +154,9 @@ def _hits(rule: Rule) -> Column:
     if rule.level == FILE:
         text = _file_text()
         return F.when(rule.hits(text), F.array(_hit(rule, F.lit(1), text))).otherwise(none)
-    found = F.transform(F.col("_lines"), lambda line, pos: F.when(
-        rule.hits(line), _hit(rule, pos + 1, line)))
-    return _if_possible(rule, F.array_compact(found), none)
+    found = F.array_compact(F.transform(F.col("_lines"), lambda line, pos: F.when(
+        rule.hits(line), _hit(rule, pos + 1, line))))
+    return _if_possible(rule, found, none)
 
 
 def with_hits(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> DataFrame:
@@ -167,8 +178,8 @@ def with_hits(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS) ->
         if stand_ins:
             parts.append(F.when(F.size(column) == 0, F.array(*stand_ins)).otherwise(
                 F.array().cast(f"array<{HIT_TYPE}>")))
-    return out.withColumn("hits", F.when(F.col("body").isNotNull(), F.concat(*parts))).drop(
-        *SCRATCH, *found)
+    out = out.withColumn("hits", F.when(F.col("body").isNotNull(), F.concat(*parts)))
+    return _without_scratch(out, packs, *found)
 
 
 # ---------------------------------------------------------------- issue texts
