@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from srclens import schemas
 from srclens.operators.catalog import DEFAULT_PACKS
 from srclens.operators.rollup import (
-    Packs, compliance_array, counts_of_hits, metric_columns, migration_columns, status_of,
+    Packs, compliance_array, metric_columns, migration_columns, status_of, total_in_hits,
 )
 from srclens.operators.scan import ordered_hits, rendered_issues, with_hits
 
@@ -32,18 +32,17 @@ def reports_of(scanned: DataFrame, packs: Packs = DEFAULT_PACKS,
     """
     reason = F.col("error") if "error" in scanned.columns else None
     hits, readable = F.col("hits"), F.col("hits").isNotNull()
-    counted = counts_of_hits(scanned, packs)
 
     def if_readable(columns) -> Column:
         return F.when(readable, F.struct(*[c.alias(k) for k, c in columns.items()]))
 
-    metrics = metric_columns(packs)
+    metrics = metric_columns(packs, total_in_hits)
     ordered = ordered_hits(hits, reason)
-    heads = counted.select(
+    heads = scanned.select(
         "file_id", F.col("original_name").alias("name"), "path",
         status_of(~readable, metrics["errors"] > 0, metrics["warnings"] > 0).alias("status"),
-        compliance_array(packs, readable).alias("psr_compliance"),
-        if_readable(migration_columns(packs)).alias("migration_summary"),
+        compliance_array(packs, readable, total_in_hits).alias("psr_compliance"),
+        if_readable(migration_columns(packs, total_in_hits)).alias("migration_summary"),
         if_readable(metrics).alias("metrics"),
         F.greatest(F.ceil(F.size(ordered) / F.lit(per_part)), F.lit(1)).cast("int").alias("parts"),
         ordered.alias("ordered"))

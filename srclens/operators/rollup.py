@@ -7,6 +7,8 @@ are plain aggregates over those rows: partial sums per task, one final row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from srclens.operators.rules.base import Rule, RulePack
 from srclens.operators.scan import any_hit, count_name, prepared, with_rule_counts
 
 Packs = tuple[RulePack, ...]
+Total = Callable[[list[int]], Column]
 METRICS = ("total_issues", "errors", "warnings", "info", "migration_suggestions")
 MEDIUM_ABOVE, HIGH_ABOVE = 5, 20
 
@@ -31,18 +34,27 @@ def total_of(numbers: list[int]) -> Column:
     return F.expr("CAST(" + " + ".join(map(count_name, numbers)) + " AS BIGINT)")
 
 
+def total_in_hits(numbers: list[int]) -> Column:
+    """The same from the ``hits`` of a (stored) scan; null for an unreadable file."""
+    if not numbers:
+        return F.lit(0).cast("long")
+    listed = ", ".join(map(str, numbers))
+    return F.expr("IF(hits IS NOT NULL, "
+                  f"CAST(size(filter(hits.number, x -> x IN ({listed}))) AS BIGINT), NULL)")
+
+
 def _severity(packs: Packs, severity: str) -> list[int]:
     return numbers_where(packs, lambda r: r.severity == severity)
 
 
-def metric_columns(packs: Packs) -> dict[str, Column]:
+def metric_columns(packs: Packs, total: Total = total_of) -> dict[str, Column]:
     """Issue counts; ``info`` includes the migration issues."""
     return {
-        "total_issues": total_of(numbers_where(packs, lambda r: True)),
-        "errors": total_of(_severity(packs, "error")),
-        "warnings": total_of(_severity(packs, "warning")),
-        "info": total_of(_severity(packs, "info")),
-        "migration_suggestions": total_of(
+        "total_issues": total(numbers_where(packs, lambda r: True)),
+        "errors": total(_severity(packs, "error")),
+        "warnings": total(_severity(packs, "warning")),
+        "info": total(_severity(packs, "info")),
+        "migration_suggestions": total(
             numbers_where(packs, lambda r: r.category == fixed.MIGRATION)),
     }
 
@@ -71,22 +83,14 @@ def file_overview(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
     return overview_of(with_rule_counts(files, packs), packs)
 
 
-def overview_of(counted: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
-    """The overview of files that carry their rule counts."""
-    metrics = metric_columns(packs)
-    totals = counted.select("file_id", "original_name", *[c.alias(n) for n, c in metrics.items()])
+def overview_of(found: DataFrame, packs: Packs = DEFAULT_PACKS, total: Total = total_of) -> DataFrame:
+    """The overview of files that carry their rule counts (or, with ``total_in_hits``, their hits)."""
+    metrics = metric_columns(packs, total)
+    totals = found.select("file_id", "original_name", *[c.alias(n) for n, c in metrics.items()])
     status = status_of(F.col("total_issues").isNull(), F.col("errors") > 0, F.col("warnings") > 0)
     return totals.select("file_id", "original_name", status.alias("status"), *METRICS)
 
 
-def counts_of_hits(scanned: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
-    """Rule counts of files that carry their ``hits`` (a stored scan)."""
-    counts = {
-        count_name(n): F.expr(f"IF(hits IS NOT NULL, size(filter(_numbers, x -> x = {n})), NULL)")
-        for n in numbers_where(packs, lambda r: True)}
-    return scanned.withColumn("_numbers", F.col("hits.number")).withColumns(counts).drop("_numbers")
-
-
 def run_summary_of(statuses: DataFrame) -> DataFrame:
     """Roll per-file statuses up to one row."""
     status = F.col("status")
@@ -107,11 +111,11 @@ def _standard_rules(packs: Packs) -> dict[str, list[Rule]]:
     return {s: [r for r in graded if r.rule.startswith(s + ".")] for s in fixed.STANDARDS}
 
 
-def compliance_array(packs: Packs, readable: Column) -> Column:
+def compliance_array(packs: Packs, readable: Column, total: Total = total_of) -> Column:
     """One entry per standard, issues or not; empty for an unreadable file."""
     entries = []
     for standard, rules in _standard_rules(packs).items():
-        count = total_of([r.number for r in rules])
+        count = total([r.number for r in rules])
         entries.append(F.struct(
             F.lit(standard).alias("standard"), (count == 0).alias("compliant"),
             count.alias("issues_count")))
@@ -127,25 +131,25 @@ def psr_compliance(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
         "file_id", "c.*")
 
 
-def _counter(rules: list[Rule], key) -> Column:
+def _counter(rules: list[Rule], key, total: Total) -> Column:
     """MAP key -> count without the keys that do not occur."""
     by_key: dict[str, list[int]] = {}
     for r in rules:
         if key(r) is not None:
             by_key.setdefault(key(r), []).append(r.number)
-    entries = [F.struct(F.lit(k).alias("key"), total_of(v).alias("value")) for k, v in by_key.items()]
+    entries = [F.struct(F.lit(k).alias("key"), total(v).alias("value")) for k, v in by_key.items()]
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"] > 0))
 
 
-def migration_columns(packs: Packs) -> dict[str, Column]:
+def migration_columns(packs: Packs, total: Total = total_of) -> dict[str, Column]:
     rules = [r for p in packs if p.name == "migration" for r in p.rules]
-    total = total_of([r.number for r in rules])
-    complexity = (F.when(total > HIGH_ABOVE, "high").when(total > MEDIUM_ABOVE, "medium")
+    suggestions = total([r.number for r in rules])
+    complexity = (F.when(suggestions > HIGH_ABOVE, "high").when(suggestions > MEDIUM_ABOVE, "medium")
                   .otherwise("low"))
     return {
-        "total_suggestions": total,
-        "by_category": _counter(rules, lambda r: r.category or "general"),
-        "php_versions": _counter(rules, lambda r: r.php_version),
+        "total_suggestions": suggestions,
+        "by_category": _counter(rules, lambda r: r.category or "general", total),
+        "php_versions": _counter(rules, lambda r: r.php_version, total),
         "complexity": complexity,
     }
 

@@ -68,11 +68,11 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, rendered.UPLOADS, "orders")
+    return _text_sql(spark, sf_dir, rendered.UPLOADS, "orders")
 
 
 def _findings(sql: str):
-    return lambda spark, sf_dir: _sql(spark, sf_dir, sql, "events")
+    return lambda spark, sf_dir: _text_sql(spark, sf_dir, sql, "events")
 
 
 def _over(files, operator) -> Query:
@@ -177,6 +177,7 @@ def _landed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part rows as a stream of newly landed data files, rendered as they arrive."""
     schema = table(spark, sf_dir, "part").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/part*.parquet")
+    stream = stream.repartition(spark.sparkContext.defaultParallelism)  # short rows, long texts
     return _as_files(spark.sql(_with_sources(rendered.part_files("spark"), ("part",)), part=stream))
 
 

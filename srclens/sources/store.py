@@ -22,7 +22,7 @@ from srclens import schemas
 from srclens.functions.text import base_name, report_id
 from srclens.operators.catalog import DEFAULT_PACKS
 from srclens.operators.report import reports_of
-from srclens.operators.rollup import Packs, counts_of_hits, overview_of, run_summary_of
+from srclens.operators.rollup import Packs, overview_of, run_summary_of, total_in_hits
 from srclens.operators.scan import issues_of, with_hits
 
 TABLES = ("scan", "issues", "files", "summary")
@@ -68,7 +68,7 @@ def save_report(files: DataFrame, root: str, run: str, packs: Packs = DEFAULT_PA
     _write(scanned.select("file_id", "original_name", "path", *reason, "hits"), root, "scan", run)
     scanned = spark.read.parquet(f"{root}/scan").where(F.col("report_id") == run).drop("report_id")
     _write(issues_of(scanned, packs), root, "issues", run)
-    _write(overview_of(counts_of_hits(scanned, packs), packs), root, "files", run)
+    _write(overview_of(scanned, packs, total_in_hits), root, "files", run)
     if nested:
         _write(reports_of(scanned, packs), root, "json", run, "json")
     stored = spark.read.parquet(f"{root}/files").where(F.col("report_id") == run)
