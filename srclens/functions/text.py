@@ -46,6 +46,16 @@ def trimmed(text: Column) -> Column:
     return F.trim(text, F.lit(TRIM_CHARS))
 
 
+def up_to_last(text: Column, literal: str) -> Column:
+    """Text up to and including the last ``literal``, '' without one.
+
+    A pattern that has to end in it finds the same first match there, and a long
+    tail without it can no longer make the search quadratic.
+    """
+    tail = F.substring_index(text, literal, -1)
+    return F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+
+
 def is_blank(text: Column) -> Column:
     """Empty in the loose sense: '' and '0' both count as nothing."""
     return text.isin("", "0")

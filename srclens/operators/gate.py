@@ -106,7 +106,11 @@ def accepted_files(uploads: DataFrame, mode: str = "strict", *batch: str) -> Dat
         raise ValueError(f"unknown mode: {mode}")
     bad = checked.where(F.col("error").isNotNull())
     if batch:
-        return good.join(bad.select(*batch).distinct(), list(batch), "left_anti")
+        failed = bad.select(*[F.col(b).alias(f"_bad_{b}") for b in batch]).distinct()
+        same = F.lit(True)
+        for b in batch:  # a null key is a batch like any other
+            same = same & F.col(b).eqNullSafe(F.col(f"_bad_{b}"))
+        return good.join(failed, same, "left_anti")
     any_bad = F.broadcast(bad.agg(F.count(F.lit(1)).alias("_bad")))  # one row
     return good.join(any_bad, F.col("_bad") == 0, "left_semi")
 

@@ -5,16 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from srclens.functions.text import has, rx, studly, trimmed
+from srclens.functions.text import has, rx, studly, trimmed, up_to_last
 from srclens.operators.rules import fixed_values as fixed
 from srclens.operators.rules.base import FALLBACK, LINE, Rule, RulePack, groups, match
 
 P = fixed.CAPTURE_PATTERNS
 
-# A call with two or more commas before its first ')'.  A match always starts at
-# the beginning of a word and its commas lie before the first ')', so the
-# possessive form finds the same first match without backtracking.
-CALL = r"(?<!\w)(\w++)\s*+\([^),]*+,[^),]*+,[^)]*+\)"
+def _many_arguments(line: Column) -> Column:
+    """The first call with two or more commas before its ')' is no control structure.
+
+    Calls that lie between the same two ')' share the closing one, so such a piece
+    qualifies if a call opens before its last but one comma, and the first of the
+    calls is the match.  Each character is looked at a fixed number of times.
+    """
+    def first_call(piece: Column) -> Column:
+        tail = F.substring_index(piece, ",", -2)
+        front = F.substring(piece, F.lit(1), F.length(piece) - F.length(tail))
+        return F.regexp_extract(front, r"(?<!\w)(\w++)\s*+\(", 1)
+
+    pieces = F.split(up_to_last(line, ")"), r"\)", -1)
+    calls = F.filter(F.transform(pieces, first_call), lambda name: name != "")
+    return ~F.coalesce(F.get(calls, F.lit(0)), F.lit("")).isin("", *fixed.NOT_FUNCTIONS)
+
+
+def _switch(line: Column) -> Column:
+    return F.rlike(up_to_last(line, ")"), rx(r"switch\s*\(\s*[^)]++\)"))
+
+
+def _plain_property(line: Column) -> Column:
+    # The declaration ends in the first variable after the modifier: nothing after
+    # the last variable and its ';' can matter.
+    tail = F.regexp_extract(F.substring_index(line, "$", -1), r"^\w+\s*;", 0)
+    return ~has(line, "readonly") & F.rlike(F.concat(up_to_last(line, "$"), tail), rx(P[38]))
+
 
 def _async_word(line: Column) -> Column:
     """async, promise, curl_multi_ or curl_exec..curl_close, in any case."""
@@ -36,11 +59,6 @@ def _trimmed_groups(pattern: str, count: int):
     return lambda line: [trimmed(c) for c in groups(pattern, count)(line)]
 
 
-def _many_arguments(line: Column) -> Column:
-    name = F.regexp_extract(line, "(?d)" + CALL, 1)
-    return ~name.isin("", *fixed.NOT_FUNCTIONS)
-
-
 def _union_param(line: Column) -> Column:
     return has(F.regexp_extract(line, "(?d)" + P[39], 1), "|")
 
@@ -64,8 +82,8 @@ PACK = RulePack("migration", (
     _rule(34, match(P[34]), "strpos", "!==", "(", captures=_trimmed_groups(P[34], 2)),
     _rule(35, match(P[35]), "strpos", "===", "(", captures=_trimmed_groups(P[35], 2)),
     _rule(36, match(P[36]), "substr", "-strlen", "(", captures=_trimmed_groups(P[36], 2)),
-    _rule(37, match(P[37]), "switch", "(", captures=_trimmed_groups(P[37], 1)),
-    _rule(38, lambda l: ~has(l, "readonly") & F.rlike(l, rx(P[38])), "$", ";",
+    _rule(37, _switch, "switch", "(", captures=_trimmed_groups(P[37], 1)),
+    _rule(38, _plain_property, "$", ";",
           captures=groups(P[38], 2)),
     _rule(39, _union_param, "@param", "|", captures=groups(P[39], 2)),
     _rule(40, match(P[40]), "@param", "|null", captures=groups(P[40], 2)),

@@ -16,7 +16,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srclens.functions.text import file_stem, to_utf8
+from srclens.functions.text import file_stem, to_utf8, up_to_last
 from srclens.operators.catalog import DEFAULT_PACKS, all_rules, evaluated
 from srclens.operators.rules import fixed_values as fixed
 from srclens.operators.rules.base import FALLBACK, FILE, LINE, FileText, Rule, RulePack, split_template
@@ -64,10 +64,8 @@ def _without_scratch(df: DataFrame, packs: tuple[RulePack, ...], *more: str) ->
 
 def _up_to_last_semicolon(body: Column) -> Column:
     """Where the patterns that end in ';' can match at all."""
-    tail = F.substring_index(body, ";", -1)
-    cut = F.substring(body, F.lit(1), F.length(body) - F.length(tail))
     wanted = F.contains(body, F.lit("namespace")) | F.contains(body, F.lit("use"))
-    return F.when(wanted, cut).when(body.isNotNull(), "")
+    return F.when(wanted, up_to_last(body, ";")).when(body.isNotNull(), "")
 
 
 def _file_text() -> FileText:
@@ -219,21 +217,17 @@ def _text_table(texts: dict[int, dict[str, str | None]]) -> Column:
     """The texts as one constant array, indexed by rule number.
 
     Its size is the number of rules; the optimizer folds it to a literal.
+    Templates are also there cut up, as pieces and the capture after each piece.
     """
-    rows = [texts.get(n, {}) for n in range(max(texts) + 1)]
-    fields = ",".join(f"{f}:string" for f in TEXT_FIELDS)
-    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<struct<{fields}>>")
-
-
-def _filled(template: str, captures: Column) -> Column:
-    """A template with the captures of a hit put in."""
-    parts = []
-    for piece, slot in zip(*split_template(template)):
-        if piece:
-            parts.append(F.lit(piece))
-        if slot:
-            parts.append(F.get(captures, F.lit(slot - 1)))
-    return F.concat(*parts)
+    rows = []
+    for number in range(max(texts) + 1):
+        row = dict(texts.get(number, {}))
+        for f in TEMPLATES:
+            row[f"{f}_pieces"], row[f"{f}_slots"] = split_template(row.get(f)) or (None, None)
+        rows.append(row)
+    fields = [f"{f}:string" for f in TEXT_FIELDS]
+    fields += [f"{f}_pieces:array<string>,{f}_slots:array<int>" for f in TEMPLATES]
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<struct<{','.join(fields)}>>")
 
 
 @lru_cache(maxsize=64)
@@ -250,19 +244,17 @@ def rendered_issues(packs: tuple[RulePack, ...]) -> Column:
 
 def _issue_fields(hit: Column, packs: tuple[RulePack, ...]) -> dict[str, Column]:
     """Every issue column as an expression over one hit."""
-    texts = _texts(packs)
-    number, captures = hit["number"], hit["captures"]
-    text = F.get(_text_table(texts), number)
-    fields = {f: text[f] for f in TEXT_FIELDS}
-    for f in TEMPLATES:
-        # One branch per template; a hit only ever evaluates its own.
-        with_captures = {n: t[f] for n, t in texts.items() if t[f] and len(split_template(t[f])[0]) > 1}
-        branches = None
-        for n, template in with_captures.items():
-            filled = _filled(template, captures)
-            branches = F.when(number == n, filled) if branches is None else branches.when(number == n, filled)
-        if branches is not None:
-            fields[f] = F.when(captures.isNull(), text[f]).otherwise(branches.otherwise(text[f]))
+    captures = hit["captures"]
+    text = F.get(_text_table(_texts(packs)), hit["number"])
+
+    def filled(field: str) -> Column:
+        def with_capture(piece: Column, slot: Column) -> Column:
+            return F.concat(piece, F.coalesce(F.get(captures, slot - 1), F.lit("")))
+
+        pieces = F.zip_with(text[f"{field}_pieces"], text[f"{field}_slots"], with_capture)
+        return F.when(captures.isNull(), text[field]).otherwise(F.array_join(pieces, ""))
+
+    fields = {f: filled(f) if f in TEMPLATES else text[f] for f in TEXT_FIELDS}
     fields["line"] = hit["line"].cast("long")
     fields["diff"] = F.lit(None).cast("string")
     return {name: fields[name].alias(name) for name in ISSUE_COLUMNS}

@@ -12,6 +12,8 @@ TRIM = b" \t\n\r\x00\x0b"
 # Pieces that random texts are made of, per theme.
 THEMES = {
     "calls": ["f", "if", "(", ")", ",", " ", "a1", "é", "for", "\n"],
+    "switches": ["switch", "(", ")", " ", "a", "\n"],
+    "properties": ["public ", "private ", "int ", "readonly ", "$", "$a", "b", " ", ";", "\n"],
     "space": [" ", "    ", "\t", "x", "0", "\r", "\x0c", "\n", "\x0b"],
     "names": ["namespace", "use", " ", ";", "A", "B", "\n", "\n\n", "é", "  "],
     "members": ["public ", "private ", "protected ", "static ", "function ", "f", "$x", "$", ";", " =", "\n"],
@@ -57,6 +59,9 @@ def plain(text: bytes) -> dict[int, int]:
         28: count(lambda l: indent(l) and b"\t" not in indent(l) and len(indent(l)) % 4 and not blank(l)),
         30: count(lambda l: re.search(rb"^(class|interface|trait)\s+\w+.*\{\Z", l.strip(TRIM))),
         31: count(lambda l: re.search(rb"function\s+\w+.*\{\Z", l.strip(TRIM))),
+        37: count(lambda l: re.search(rb"switch\s*\(\s*([^)]+)\s*\)", l)),
+        38: count(lambda l: b"readonly" not in l and re.search(
+            rb"(private|protected|public)\s+([^$]*\$(\w+))\s*;", l)),
         42: count(lambda l: re.search(rb"(?i)(curl_multi_|curl_exec.*curl_close|async|promise)", l)),
         46: count(call),
     }

@@ -43,6 +43,11 @@ def test_one_bad_file_fails_its_batch(spark):
         gate.accepted_files(up, "other")
 
 
+def test_null_batch_is_a_batch(spark):
+    up = uploads(spark, [(None, 0, "a.php", 1), (None, 0, "b.txt", 1), (2, 0, "c.php", 1)])
+    assert [r.upload_id for r in gate.accepted_files(up, "strict", "batch_id").collect()] == [2]
+
+
 def test_no_files(spark):
     (row,) = gate.gate_batch(uploads(spark, [])).collect()
     assert (row.success, row.error_code, row.total_files) == (False, "NO_FILES", 0)
