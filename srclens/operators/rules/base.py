@@ -103,6 +103,18 @@ def match_without(pattern: str, unwanted: str) -> Predicate:
     return lambda text: F.rlike(text, rx(pattern)) & ~F.rlike(text, rx(unwanted))
 
 
+def across(text: Column, separator: str, before: str, after: str) -> Column:
+    """Whether ``before`` occurs in a piece and the next piece starts with ``after``.
+
+    For patterns like ``x[^)]*\\)y``: all starts in front of one separator share it,
+    so pieces can be judged one by one, in time linear in the text.
+    """
+    pieces = F.split(text, separator, -1)
+    fits = F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, q: (
+        F.coalesce(F.rlike(q, rx("^" + after)), F.lit(False)) & F.rlike(p, rx(before))))
+    return F.exists(fits, lambda fit: fit)
+
+
 def groups(pattern: str, count: int) -> Captures:
     """The first ``count`` groups of the first match."""
     return lambda text: [

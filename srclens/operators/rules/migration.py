@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from srclens.functions.text import has, rx, studly, trimmed, up_to_last
 from srclens.operators.rules import fixed_values as fixed
-from srclens.operators.rules.base import FALLBACK, LINE, Rule, RulePack, groups, match
+from srclens.operators.rules.base import FALLBACK, LINE, Rule, RulePack, across, groups, match
 
 P = fixed.CAPTURE_PATTERNS
 
@@ -33,17 +33,20 @@ def _switch(line: Column) -> Column:
 
 
 def _plain_property(line: Column) -> Column:
-    # The declaration ends in the first variable after the modifier: nothing after
-    # the last variable and its ';' can matter.
-    tail = F.regexp_extract(F.substring_index(line, "$", -1), r"^\w+\s*;", 0)
-    return ~has(line, "readonly") & F.rlike(F.concat(up_to_last(line, "$"), tail), rx(P[38]))
+    modifier = has(line, "public") | has(line, "private") | has(line, "protected")
+    return modifier & ~has(line, "readonly") & across(
+        line, r"\$", r"(?:private|protected|public)\s", r"\w+\s*;")
 
 
 def _async_word(line: Column) -> Column:
     """async, promise, curl_multi_ or curl_exec..curl_close, in any case."""
     return _in_lower_case(line, lambda low: (
         has(low, "async") | has(low, "promise") | has(low, "curl_multi_")
-        | (has(low, "curl_exec") & F.rlike(low, rx(r"curl_exec.*curl_close")))))
+        | (has(low, "curl_exec") & has(_after_first(low, "curl_exec"), "curl_close"))))
+
+
+def _after_first(text: Column, literal: str) -> Column:
+    return F.substring(text, F.instr(text, literal) + len(literal), F.length(text))
 
 
 def any_async_word(body: Column) -> Column:

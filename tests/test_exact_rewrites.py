@@ -12,6 +12,7 @@ TRIM = b" \t\n\r\x00\x0b"
 # Pieces that random texts are made of, per theme.
 THEMES = {
     "calls": ["f", "if", "(", ")", ",", " ", "a1", "é", "for", "\n"],
+    "functions": ["function ", "function f(", "f", "(", ")", " ", "{", ":", " int", "\n"],
     "switches": ["switch", "(", ")", " ", "a", "\n"],
     "properties": ["public ", "private ", "int ", "readonly ", "$", "$a", "b", " ", ";", "\n"],
     "space": [" ", "    ", "\t", "x", "0", "\r", "\x0c", "\n", "\x0b"],
@@ -54,6 +55,8 @@ def plain(text: bytes) -> dict[int, int]:
         12: int(len(uses) > 1 and sorted(uses) != uses),
         13: int(bool(gate) and n(rb"public\s+") + n(rb"private\s+") + n(rb"protected\s+")
                 < n(rb"(?:function\s+\w+|\$\w+\s*[=;])")),
+        17: count(lambda l: re.search(rb"function\s+\w+\s*\([^)]*\)\s*{", l)
+                  and not re.search(rb"function\s+\w+\s*\([^)]*\)\s*:\s*\w+", l)),
         21: count(lambda l: re.search(rb"\s+\Z", l) and not blank(l)),
         27: count(lambda l: b"\t" in indent(l)),
         28: count(lambda l: indent(l) and b"\t" not in indent(l) and len(indent(l)) % 4 and not blank(l)),
@@ -82,3 +85,12 @@ def test_random_texts(spark):
         for k, v in expected.items():
             hit[k] += bool(v)
     assert all(hit.values()), hit
+
+
+def test_long_hostile_lines_take_linear_time(spark):
+    """Lines on which backtracking patterns would need hours."""
+    tail = ") { , ; $a } use x;"
+    starts = ["switch( a", "public ", "function f(", "word, word (x ", "curl_exec ", "use ", "namespace ",
+              "\"", " ", "f(", "public $a "]
+    found = counts_by_rule(spark, [s * (200_000 // len(s)) + tail for s in starts])
+    assert found[0][37] == 1 and found[3][46] == 1 and found[4][42] == 0
