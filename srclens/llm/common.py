@@ -61,3 +61,84 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def byte_codes(seed: int) -> np.ndarray:
     """A random 64-bit code for each byte value."""
     return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * seed + 1))
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BACK = pow(_BASE, -1, 1 << 64)
+_CODES = byte_codes(7)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and its inverse modulo 2**64 for i < n, kept between calls up to a few MB."""
+    if len(_powers[0]) < n:
+        both = [np.full(n, b, np.uint64) for b in (_BASE, _BACK)]
+        for p in both:
+            p[0] = 1
+            np.multiply.accumulate(p, out=p)
+        if n > 1 << 23:
+            return both[0], both[1]
+        _powers[:] = both
+    return _powers[0][:n], _powers[1][:n]
+
+
+def prefix_sums(data: np.ndarray, codes: np.ndarray = _CODES) -> np.ndarray:
+    """Sums of code * base**place before each place; see ``substrings``."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[data] * powers(len(data) + 1)[0][:-1], out=out[1:])
+    return out
+
+
+def substrings(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte string [start, end), wherever it stands."""
+    h = (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
+    return mixed(h + (ends - starts).astype(np.uint64))
+
+
+def groups(offsets: np.ndarray, limit: int = 1 << 22) -> list[tuple[int, int]]:
+    """Ranges of texts of at most ``limit`` bytes together (a longer text stands alone)."""
+    out, start = [], 0
+    while start < len(offsets) - 1:
+        stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
+        stop = min(max(stop, start + 1), len(offsets) - 1)
+        out.append((start, stop))
+        start = stop
+    return out
+
+
+class Words:
+    """The words of some texts: maximal runs of bytes other than ASCII white space."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> None:
+        self.data = LOWER[data] if lower else data
+        first, last = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+        first[offsets] = True
+        last[offsets] = True
+        blank = BLANK[data]
+        before = np.concatenate([[True], blank[:-1]]) if len(data) else blank
+        after = np.concatenate([blank[1:], [True]]) if len(data) else blank
+        self.starts = np.flatnonzero(~blank & (before | first[:-1]))
+        self.ends = np.flatnonzero(~blank & (after | last[1:])) + 1
+        self.sums = prefix_sums(self.data)
+        self.hashes = substrings(self.sums, self.starts, self.ends)
+        self.counts = np.diff(np.searchsorted(self.starts, offsets))  # words of each text
+        self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
+
+    def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of n successive words and the bounds of each text; a shorter text is one shingle."""
+        full = np.maximum(self.counts - n + 1, 0)
+        many = np.where(self.counts > 0, np.maximum(full, 1), 0)
+        bounds = np.concatenate([[0], np.cumsum(many)])
+        at = np.arange(bounds[-1]) + np.repeat(self.bounds[:-1] - bounds[:-1], many)
+        stop = np.repeat(self.bounds[1:], many)
+        out = np.zeros(len(at), np.uint64)
+        for i in range(n):
+            there = at + i < stop
+            word = self.hashes[np.minimum(at + i, max(len(self.hashes) - 1, 0))] if len(at) else out
+            out = mixed(out + np.where(there, word, np.uint64(1)))
+        return out, bounds
