@@ -71,6 +71,7 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _CODES = byte_codes(7)
+_PLACES = byte_codes(11)[:64] | np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -138,7 +139,6 @@ class Words:
         stop = np.repeat(self.bounds[1:], many)
         out = np.zeros(len(at), np.uint64)
         for i in range(n):
-            there = at + i < stop
             word = self.hashes[np.minimum(at + i, max(len(self.hashes) - 1, 0))] if len(at) else out
-            out = mixed(out + np.where(there, word, np.uint64(1)))
-        return out, bounds
+            out += np.where(at + i < stop, word, np.uint64(1)) * _PLACES[i % len(_PLACES)]
+        return mixed(out), bounds

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from srclens.llm import bit_sliced, block_join, packing, quality, warc
+from srclens.llm import bit_sliced, block_join, chosen_path, packing, quality, warc
 
-MODULES = (warc, bit_sliced, quality, block_join, packing)
+MODULES = (warc, bit_sliced, chosen_path, quality, block_join, packing)
 
 
 def queries() -> dict:
