@@ -6,9 +6,10 @@ before it, up to ``DEPTH``.  A node estimates its decisions by Krichevsky and
 Trofimov's rule, and the prediction mixes the estimates of all depths with the
 weights that the training bytes give them.
 
-The corpus is counted as rows (context and byte, count).  Blocks of documents ask
-for the probabilities of the byte strings that occur in them, so a task holds its
-own block's answers and never the whole model.
+Blocks of documents ask for the byte strings (context and byte) and words that occur
+in them, with their counts; the questions are dealt by a hash of the key, summed up,
+and answered, so a task holds the distinct keys of one block or of one part and
+never the whole model.  Keys travel as compressed arrays, a row per block and part.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm.common import Words, fold, groups, table, text_bytes, written
+from srclens.llm.common import Words, fold, groups, mixed, table, text_bytes, written
 
-DEPTH = 4
+DEPTH = 5
 BLOCK_BYTES = 32 << 20
 TREE_ROWS = 400_000
 FOLDS, HELD_OUT = 5, 1
@@ -179,32 +180,85 @@ def _texts(rows) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sum_by(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key, of = np.unique(np.concatenate(keys), return_inverse=True)
     return key, np.bincount(of, np.concatenate(counts), len(key)).astype(np.int64)
 
 
-def _ask(rows):
-    """The distinct keys of a block, with their counts in its training documents."""
-    data, offsets = _texts(rows)
-    trained = rows.column("trained").to_numpy(zero_copy_only=False).astype(bool)
-    held = {GRAM: ([], []), WORD: ([], [])}
-    for a, b in groups(offsets):
-        own, places = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-        w = Words(own, places)
-        text, bounds = canonical(own, places)
-        for kind, key, sizes in ((GRAM, grams(text, bounds), np.diff(bounds)), (WORD, w.hashes.view(np.int64), w.counts)):
-            learnt = np.repeat(trained[a:b], sizes)
-            for part, n in ((key[learnt], 1), (key[~learnt], 0)):
-                k, many = np.unique(part, return_counts=True)
-                held[kind][0].append(k)
-                held[kind][1].append(many * n)
-    out = [(DOCS, np.zeros(1, np.int64), np.array([trained.sum()], np.int64))]
-    out += [(kind, *_sum_by(*held[kind])) for kind in held if held[kind][0]]
-    block = rows.column("block")[0].as_py()
-    return pa.table({
-        "block": np.full(sum(len(k) for _, k, _ in out), block, np.int32),
-        "kind": np.concatenate([np.full(len(k), kind, np.int8) for kind, k, _ in out]),
-        "key": np.concatenate([k for _, k, _ in out]), "n": np.concatenate([n for _, _, n in out])})
+def _shrunk(values: np.ndarray, rising: bool = False) -> bytes:
+    """Values as compressed bytes, of which the like ones stand together; rising: their differences."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _grown(packed: bytes, dtype, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    size = np.dtype(dtype).itemsize
+    values = np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(dtype)
+    return np.cumsum(values, dtype=dtype) if rising else values
+
+
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def _asker(parts: int):
+    def ask(rows):
+        """The distinct keys of a block by part, with their counts in its training documents."""
+        data, offsets = _texts(rows)
+        trained = rows.column("trained").to_numpy(zero_copy_only=False).astype(bool)
+        held = {GRAM: ([], []), WORD: ([], [])}
+        for a, b in groups(offsets):
+            own, places = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+            w = Words(own, places)
+            text, bounds = canonical(own, places)
+            for kind, key, sizes in ((GRAM, grams(text, bounds), np.diff(bounds)),
+                                     (WORD, w.hashes.view(np.int64), w.counts)):
+                learnt = np.repeat(trained[a:b], sizes)
+                for part, n in ((key[learnt], 1), (key[~learnt], 0)):
+                    k, many = np.unique(part, return_counts=True)
+                    held[kind][0].append(k)
+                    held[kind][1].append(many * n)
+        block = rows.column("block")[0].as_py()
+        out = [(block, DOCS, 0, _shrunk(np.zeros(1, np.int64), True), _shrunk(np.array([trained.sum()], np.int64)))]
+        for kind, found in held.items():
+            key, n = _sum_by(*found)
+            part = part_of(key, parts)
+            order = np.argsort(part, kind="stable")
+            key, n = key[order], n[order]
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            out += [(block, kind, p, _shrunk(key[x:y], True), _shrunk(n[x:y]))
+                    for p, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if y > x]
+        kinds = (pa.int32(), pa.int8(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["block", "kind", "part", "keys", "counts"])
+    return ask
+
+
+def _sum_up(rows):
+    """All blocks' questions of one kind and part: the distinct keys and their counts."""
+    key, n = _sum_by([_grown(k, np.int64, True) for k in rows.column("keys").to_pylist()],
+                     [_grown(c, np.int64) for c in rows.column("counts").to_pylist()])
+    return pa.table({"kind": np.full(len(key), rows.column("kind")[0].as_py(), np.int8), "key": key, "n": n})
+
+
+def _answer(asked, values):
+    """The values of each block's keys of one part, in the order of the keys."""
+    names = ["block", "kind", "keys", "found"]
+    out = []
+    own = {}
+    kind = values.column("kind").to_numpy()
+    for k in (GRAM, WORD):
+        key, value = (values.column(c).to_numpy()[kind == k] for c in ("key", "value"))
+        order = np.argsort(key)
+        own[k] = key[order], value[order]
+    for block, k, keys in zip(*(asked.column(c).to_pylist() for c in ("block", "kind", "keys"))):
+        key, value = own[k]
+        out.append((block, k, keys, _shrunk(value[np.searchsorted(key, _grown(keys, np.int64, True))])))
+    kinds = (pa.int32(), pa.int8(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=names)
 
 
 def _top_rows(batch):
@@ -232,8 +286,9 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("trained"),
         text.cast("binary").alias("text")).mapInArrow(
         _packed, "block int, doc_id long, trained boolean, packed binary")
-    asked = written(rows.groupBy("block").applyInArrow(_ask, "block int, kind byte, key long, n long"))
-    counted = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    asked = written(rows.groupBy("block").applyInArrow(
+        _asker(blocks), "block int, kind byte, part int, keys binary, counts binary"))
+    counted = written(asked.groupBy("kind", "part").applyInArrow(_sum_up, "kind byte, key long, n long"))
 
     facts = counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.count("*").alias("all"))
     by_kind = {r.kind: r for r in facts.collect()}
@@ -253,25 +308,34 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
 
     def probabilities(rows):
         key = rows.column("key").to_numpy()
-        return pa.table({"kind": np.full(len(key), GRAM, np.int8), "key": key,
+        return pa.table({"kind": np.full(len(key), GRAM, np.int8), "part": part_of(key, blocks), "key": key,
                          "value": log10_probability(key, rows.column("n").to_numpy(), top)})
 
-    values = written(trees.applyInArrow(probabilities, "kind byte, key long, value double").unionByName(
-        counted.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value"))))
-    answers = asked.where(F.col("kind") != DOCS).join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    def words(batches):
+        for b in batches:
+            key = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(key), WORD, np.int8)), pa.array(part_of(key, blocks)), b.column(0), b.column(1)],
+                ["kind", "part", "key", "value"])
+
+    valued = "kind byte, part int, key long, value double"
+    values = trees.applyInArrow(probabilities, valued).unionByName(
+        counted.where(F.col("kind") == WORD).select("key", F.col("n").cast("double")).mapInArrow(words, valued))
+    answers = asked.where(F.col("kind") != DOCS).select("part", "block", "kind", "keys").groupBy("part").cogroup(
+        values.groupBy("part")).applyInArrow(_answer, "block int, kind byte, keys binary, found binary")
 
     def word_log(c):
         return np.log10((c + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
 
     def score(rows, found):
         data, offsets = _texts(rows)
-        kind, key = found.column("kind").to_numpy(), found.column("key").to_numpy()
-        value = found.column("value").to_numpy()
         own = {}
-        for k in (GRAM, WORD):
-            order = np.flatnonzero(kind == k)
-            order = order[np.argsort(key[order])]
-            own[k] = key[order], value[order]
+        for kind in (GRAM, WORD):
+            mine = found.filter(pa.array(found.column("kind").to_numpy() == kind))
+            key = np.concatenate([np.zeros(0, np.int64)] + [_grown(x, np.int64, True) for x in mine.column("keys").to_pylist()])
+            value = np.concatenate([np.zeros(0)] + [_grown(x, np.float64) for x in mine.column("found").to_pylist()])
+            order = np.argsort(key)
+            own[kind] = key[order], value[order]
         out = []
         for a, b in groups(offsets):
             part, places = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
