@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,3 +145,32 @@ class Words:
             word = self.hashes[np.minimum(at + i, max(len(self.hashes) - 1, 0))] if len(at) else out
             out += np.where(at + i < stop, word, np.uint64(1)) * _PLACES[i % len(_PLACES)]
         return mixed(out), bounds
+
+
+def text_key(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each whole text."""
+    found = [substrings(prefix_sums(data[offsets[a]:offsets[b]]), offsets[a:b] - offsets[a], offsets[a + 1:b + 1] - offsets[a])
+             for a, b in groups(offsets)]
+    return np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        raw = data.tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(text_key(data, offsets)),
+             pa.array([press(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary())],
+            ["row", "text_key", "packed"])
+
+
+def packed_texts(docs: DataFrame, row: Column) -> DataFrame:
+    """(row, text_key, packed): texts as compressed bytes, a third of their size in a shuffle."""
+    text = F.col("text").cast("string").cast("binary")
+    return docs.select(row.cast("long").alias("row"), text.alias("text")).mapInArrow(
+        _pack, "row long, text_key long, packed binary")
+
+
+def unpacked(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)

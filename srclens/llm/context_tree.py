@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm.common import Words, fold, groups, mixed, table, text_bytes, written
+from srclens.llm.common import Words, fold, groups, mixed, table, text_bytes, unpacked, written
 
 DEPTH = 5
 BLOCK_BYTES = 32 << 20
@@ -174,8 +174,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(rows) -> tuple[np.ndarray, np.ndarray]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    raw = [unpack(x) for x in rows.column("packed").to_pylist()]
+    raw = [unpacked(x) for x in rows.column("packed").to_pylist()]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
@@ -195,7 +194,7 @@ def _shrunk(values: np.ndarray, rising: bool = False) -> bytes:
 
 
 def _grown(packed: bytes, dtype, rising: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    planes = np.frombuffer(unpacked(packed), np.uint8)
     size = np.dtype(dtype).itemsize
     values = np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(dtype)
     return np.cumsum(values, dtype=dtype) if rising else values

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from srclens.llm import bit_sliced, block_join, chosen_path, context_tree, packing, quality, repeats, warc
+from srclens.llm import bit_sliced, block_join, chosen_path, context_tree, mixing, packing, quality, repeats, warc
 
-MODULES = (warc, bit_sliced, chosen_path, quality, context_tree, repeats, block_join, packing)
+MODULES = (mixing, warc, bit_sliced, chosen_path, quality, context_tree, repeats, block_join, packing)
 
 
 def queries() -> dict:

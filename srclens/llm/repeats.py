@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm.common import groups, mixed, prefix_sums, substrings, table, text_bytes, written
+from srclens.llm.common import (
+    groups, mixed, packed_texts, prefix_sums, substrings, table, text_bytes, text_key, unpacked, written)
 from srclens.llm.suffix import repeated
 
 LEAST = 200
@@ -66,11 +66,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST):
     return text, at - offsets[text], h[at].view(np.int64), window.view(np.int64), before, after
 
 
-def text_key(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each whole text."""
-    return substrings(prefix_sums(data), offsets[:-1], offsets[1:]).view(np.int64)
-
-
 def _anchor_rows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,31 +80,13 @@ def _anchor_rows(least: int):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes with their keys: they are shuffled twice."""
-    press = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        raw = data.tobytes()
-        keys = np.concatenate([text_key(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                               for a, b in groups(offsets)] or [np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys), pa.array(np.diff(offsets)),
-             pa.array([press(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary())],
-            ["row", "text_key", "n_bytes", "packed"])
-
-
-def _unpack(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
-
-
 def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the windows asked for of each text."""
     names = ["anchor", "window", "many", "text_key", "start", "before", "bytes"]
     for batch in batches:
         out = []
         for key, packed, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            text = _unpack(packed)
+            text = unpacked(packed)
             for w in asked:
                 start = w["place"] - w["before"]
                 out.append((w["anchor"], w["window"], w["many"], key, start, w["before"],
@@ -181,8 +158,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         (F.count("*") > 1).alias("many"), F.first("text_key").alias("text_key"), F.first("place").alias("place"),
         F.first("before").alias("before"), F.first("after").alias("after"), F.first("differ").alias("differ"))
     windows = written(windows.where("differ OR many"))
-    keyed = docs.select(F.lit(0).cast("long").alias("row"), text).where(F.octet_length("text") >= least).mapInArrow(
-        _packed, "row long, text_key long, n_bytes long, packed binary")
+    keyed = packed_texts(docs.where(F.octet_length(F.col("text").cast("string")) >= least), F.lit(0))
     asked = windows.groupBy("text_key").agg(F.collect_list(F.struct(
         "anchor", "window", "many", "place", "before", "after")).alias("asked"))
     total = windows.agg(F.sum(F.col("before") + F.col("after"))).first()[0] or 0
@@ -242,15 +218,13 @@ def digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
         for batch in batches:
             out = []
             for doc, packed, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                text, runs = _unpack(packed), merged(spans)
+                text, runs = unpacked(packed), merged(spans)
                 kept = without(text, runs)
                 out.append((doc, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
             kinds = (pa.int64(),) * 4 + (pa.string(),)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names)
 
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("row"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
-        _packed, "row long, text_key long, n_bytes long, packed binary")
+    keyed = packed_texts(docs, F.col("doc_id"))
     spans = written(repeated_spans(docs, least))
     return keyed.join(spans, "text_key", "left").select("row", "packed", "spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -267,11 +241,8 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(place).cast(pa.string()))
-            found = [text_key(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in groups(offsets)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate(found or [np.zeros(0, np.int64)]))],
-                [*batch.schema.names, "__key"])
+            found = text_key(*text_bytes(batch.column(place).cast(pa.string())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "__key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
