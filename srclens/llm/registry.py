@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from srclens.llm import bit_sliced, block_join, chosen_path, context_tree, mixing, packing, quality, repeats, warc
+import corpus_pipeline
+from srclens.llm import (
+    bit_sliced, block_join, chosen_path, context_tree, mixing, packing, quality, quotes, repeats, warc)
 
-MODULES = (mixing, warc, bit_sliced, chosen_path, quality, context_tree, repeats, block_join, packing)
+MODULES = (quotes, mixing, warc, bit_sliced, chosen_path, quality, context_tree, repeats, block_join, packing)
 
 
 def queries() -> dict:
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    out = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
