@@ -5,9 +5,10 @@ one set.  Each set picks shingles by a common hash at the rate runs / (0.8 * siz
 so two sets with a similarity of 0.8 share on average at least ``runs`` picks, and
 miss all of them with a probability below exp(-runs).  Sets that picked the same
 shingle are a bucket.  Small buckets are compared by brute force.  Larger ones are
-split again by further shingles, picked by a hash of the path so far; where a
-bucket's members are alike (its shingles are mostly shared), splitting would not
-end, and such buckets are compared in blocks of ``BLOCK`` sets instead.  Every
+split again, ``REPEATS`` times each, by a further one of each set's picks, the least
+under a hash of the path so far.  Two members choose the same with a probability
+near their similarity, so where most do, the members are alike and splitting would
+not end; such buckets are compared in blocks of ``BLOCK`` sets instead.  Every
 candidate pair is verified on the whole shingle sets.
 
 Buckets and pairs are rows; nothing is capped.  A word run that a third of all
@@ -24,16 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm.common import Words, groups, mixed, table, text_bytes, written
+from srclens.llm.common import Words, groups, mixed, packed_texts, table, text_bytes, unpacked, written
 from srclens.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 1 - 1e-6  # of pairs at the threshold; more similar ones are missed less
 SMALL = 32  # sets in a bucket compared by brute force
-SKETCH = 64  # mean number of shingles, shared at the threshold, that deeper levels pick from
 REPEATS = 3  # runs at each deeper level
-ALIKE = 0.6  # mean share of common shingles from which a bucket is compared in blocks
+ALIKE = 0.5  # share of member pairs that split alike from which a bucket is compared in blocks
 BLOCK = 512
 DEPTH = 8  # a bucket still large there is compared in blocks as well
 SHARD_BYTES = 4 << 20
@@ -84,32 +84,39 @@ def _signer(words: int, similarity: float, runs: float):
                 scaled = _chance(tokens) * (similarity * np.repeat(n, n))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, len(n)), pa.array(identity(tokens, bounds)), pa.array(n.astype(np.int64)),
-                     _lists(tokens, scaled < runs, bounds), _lists(tokens, scaled < SKETCH, bounds)],
-                    ["doc_id", "rid", "n", "picks", "sketch"])
+                     _lists(tokens, scaled < runs, bounds)], ["doc_id", "rid", "n", "picks"])
     return sign
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Children of each (bucket, set): shingles of the sketch picked by a hash of the path."""
+    """Children of each (set, bucket, picks used on the path there), one for each run.
+
+    A set without unused picks goes to the child of such sets.
+    """
+    names = ["bucket", "run", "child", "used", "rid"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64())
     for batch in batches:
-        sketch = batch.column(2)
-        sizes = np.diff(sketch.offsets.to_numpy())
-        tokens = sketch.flatten().to_numpy(zero_copy_only=False)
-        at = np.repeat(np.arange(len(sizes)), sizes)
-        path = batch.column(0).to_numpy()[at].view(np.uint64)
-        child = mixed(path * np.uint64(0xD6E8FEB86659FD93) + mixed(tokens.view(np.uint64)))
-        # A set smaller than the sketch has all its shingles there, fewer than others.
-        rate = np.maximum(REPEATS / SKETCH, REPEATS / np.maximum(sizes, 1) / SIMILARITY)[at]
-        keep = (mixed(child) >> np.uint64(11)) * 2.0**-53 < rate
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(child[keep].view(np.int64)), pa.array(batch.column(0).to_numpy()[at[keep]]),
-             pa.array(batch.column(1).to_numpy()[at[keep]])], ["bucket", "parent", "rid"])
+        out = []
+        for rid, picks, paths in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            tokens = np.array(picks, np.int64)
+            for path in paths:
+                free = tokens[~np.isin(tokens, path["used"])]
+                for run in range(REPEATS):
+                    start = mixed(np.array([path["bucket"]], np.int64).view(np.uint64) + np.uint64(run + 1))
+                    rank = mixed(free.view(np.uint64) ^ start)
+                    if len(free):
+                        k = int(rank.argmin())
+                        child, used = rank[k:k + 1].view(np.int64)[0], [*path["used"], int(free[k])]
+                    else:
+                        child, used = mixed(start).view(np.int64)[0], path["used"]
+                    out.append((path["bucket"], run, int(child), used, rid))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names)
 
 
 def buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bucket, rid) of all small buckets and of all buckets to be compared in blocks."""
-    sketches = reps.select("rid", "sketch")
-    rows = reps.select(F.explode("picks").alias("bucket"), "rid")
+    picks = reps.select("rid", "picks")
+    rows = reps.select(F.explode("picks").alias("bucket"), "rid").withColumn("used", F.array("bucket"))
     small, dense = [], []
     for depth in range(DEPTH):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
@@ -121,18 +128,14 @@ def buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         if depth == DEPTH - 1:
             dense.append(large.select("bucket", "rid"))
             break
-        shared = large.join(sketches, "rid")
-        # Mean share of the members that have a member's shingle: sum f^2 / (m * sum f),
-        # over a quarter of the shingles, chosen by the bucket.
-        tokens = shared.select("bucket", "m", F.explode("sketch").alias("token")).where(
-            F.pmod(F.xxhash64("bucket", "token"), F.lit(4)) == 0)
-        alike = written(
-            tokens.groupBy("bucket", "m", "token").agg(F.count("*").cast("double").alias("f"))
-            .groupBy("bucket", "m").agg((F.sum(F.col("f") * F.col("f")) / (F.sum("f") * F.first("m"))).alias("share"))
-            .where(F.col("share") >= ALIKE).select("bucket"))
+        paths = large.groupBy("rid").agg(F.collect_list(F.struct("bucket", "used")).alias("paths"))
+        children = written(picks.join(paths, "rid").select("rid", "picks", "paths").mapInArrow(
+            _split, "bucket long, run int, child long, used array<long>, rid long"))
+        same = F.sum(F.col("f") * F.col("f")) * REPEATS / (F.sum("f") * F.sum("f"))
+        alike = written(children.groupBy("bucket", "run", "child").agg(F.count("*").cast("double").alias("f"))
+                        .groupBy("bucket").agg(same.alias("same")).where(F.col("same") >= ALIKE).select("bucket"))
         dense.append(written(large.join(alike, "bucket").select("bucket", "rid")))
-        rest = shared.join(alike, "bucket", "left_anti").select("bucket", "rid", "sketch")
-        rows = rest.mapInArrow(_split, "bucket long, parent long, rid long").select("bucket", "rid").distinct()
+        rows = children.join(alike, "bucket", "left_anti").select(F.col("child").alias("bucket"), "rid", "used")
     return _all(small), _all(dense) if dense else rows.select("bucket", "rid").limit(0)
 
 
@@ -165,14 +168,15 @@ def common(tokens: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray,
 
 
 def _sets(rows: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, tokens and bounds of the distinct sets of (rid, text) rows.
+    """Ids, tokens and bounds of the distinct sets of (rid, packed text) rows.
 
     A text whose set is not the one its row names belongs to another document
     with the same id and is left out.
     """
     named = rows.column("rid").to_numpy()
     ids, tokens, sizes, seen = [], [], [], set()
-    for a, t, b in shingle_sets(*text_bytes(rows.column("text")), words):
+    texts = pa.array([unpacked(x) for x in rows.column("packed").to_pylist()], pa.binary())
+    for a, t, b in shingle_sets(*text_bytes(texts), words):
         for k, rid in enumerate(identity(t, b).tolist()):
             if rid == named[a + k] and rid not in seen:
                 seen.add(rid)
@@ -258,12 +262,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = rows.where("doc_id IS NOT NULL")
     signed = written(known.mapInArrow(
-        _signer(words, similarity, runs), "doc_id long, rid long, n long, picks array<long>, sketch array<long>"))
+        _signer(words, similarity, runs), "doc_id long, rid long, n long, picks array<long>"))
     reps = written(signed.groupBy("rid").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("doc"), F.first("n").alias("n"),
-        F.first("picks").alias("picks"), F.first("sketch").alias("sketch")))
+        F.first("picks").alias("picks")))
     small, dense = buckets(reps)
     facts = reps.select("rid", "n", "copies", "doc")
+    packed = packed_texts(known, F.col("doc_id")).select(F.col("row").alias("doc"), "packed")
 
     # Sets of large alike buckets, a group of overlapping ones at a time, block against block.
     dense = written(dense)
@@ -276,7 +281,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     placed = placed.select("dense", "rid", "copies", "doc", "block", other).select(
         "dense", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         "rid", "copies", "block", "doc")
-    blocks = placed.join(known.toDF("doc", "text"), "doc").drop("doc").groupBy("dense", "i", "j").applyInArrow(
+    blocks = placed.join(packed, "doc").drop("doc").groupBy("dense", "i", "j").applyInArrow(
         _block_comparer(words, similarity), "rid long, partner long, links long")
     blocks = written(blocks)
 
@@ -296,7 +301,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         F.struct(F.col("rid_a").alias("rid"), F.col("doc_a").alias("doc")),
         F.struct(F.col("rid_b").alias("rid"), F.col("doc_b").alias("doc")))).alias("x")).select(
         "shard", "x.rid", "x.doc").distinct()
-    texts = wanted.join(known.toDF("doc", "text"), "doc").select("shard", "rid", "text")
+    texts = wanted.join(packed, "doc").select("shard", "rid", "packed")
     links = written(listed.groupBy("shard").cogroup(texts.groupBy("shard")).applyInArrow(
         _verifier(words, similarity), "a long, b long"))
 
