@@ -104,7 +104,7 @@ def substrings(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed(h + (ends - starts).astype(np.uint64))
 
 
-def groups(offsets: np.ndarray, limit: int = 1 << 22) -> list[tuple[int, int]]:
+def groups(offsets: np.ndarray, limit: int = 1 << 21) -> list[tuple[int, int]]:
     """Ranges of texts of at most ``limit`` bytes together (a longer text stands alone)."""
     out, start = [], 0
     while start < len(offsets) - 1:

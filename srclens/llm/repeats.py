@@ -27,7 +27,7 @@ from srclens.llm.suffix import repeated
 
 LEAST = 200
 ANCHOR = 32
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def _sliding(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -153,11 +153,14 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         "anchor", (F.col("w0") != F.col("w1")).alias("differ")))
     members = written(rows.join(shared, "anchor"))
 
-    # One place of each distinct window; its text is fetched from one document.
-    windows = members.groupBy("anchor", "window").agg(
+    # An anchor whose windows are all equal needs no sorting: each of their strings stands
+    # in all of them.  Of the other windows one place each; its text is fetched from one document.
+    everywhere = members.where("NOT differ").select(
+        "text_key", F.struct((F.col("place") - F.col("before")).alias("a"), (F.col("place") + F.col("after")).alias("b")).alias("s"))
+    mixed_members = members.where("differ")
+    windows = written(mixed_members.groupBy("anchor", "window").agg(
         (F.count("*") > 1).alias("many"), F.first("text_key").alias("text_key"), F.first("place").alias("place"),
-        F.first("before").alias("before"), F.first("after").alias("after"), F.first("differ").alias("differ"))
-    windows = written(windows.where("differ OR many"))
+        F.first("before").alias("before"), F.first("after").alias("after")))
     keyed = packed_texts(docs.where(F.octet_length(F.col("text").cast("string")) >= least), F.lit(0))
     asked = windows.groupBy("text_key").agg(F.collect_list(F.struct(
         "anchor", "window", "many", "place", "before", "after")).alias("asked"))
@@ -169,10 +172,10 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = cut.groupBy(
         F.pmod(F.xxhash64("anchor"), F.lit(shards))).applyInArrow(
         _shard_finder(least), "anchor long, window long, spans array<struct<a:int,b:int>>")
-    spans = members.select("anchor", "window", "text_key", "place").distinct().join(
+    spans = mixed_members.select("anchor", "window", "text_key", "place").distinct().join(
         written(found), ["anchor", "window"]).select("text_key", "place", F.explode("spans").alias("s")).select(
         "text_key", F.struct((F.col("place") + F.col("s.a")).alias("a"), (F.col("place") + F.col("s.b")).alias("b")).alias("s"))
-    return spans.groupBy("text_key").agg(F.collect_set("s").alias("spans"))
+    return spans.unionByName(everywhere).groupBy("text_key").agg(F.collect_set("s").alias("spans"))
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
