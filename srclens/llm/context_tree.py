@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from srclens.llm.common import Words, fold, groups, mixed, table, text_bytes, unpacked, written
 
 DEPTH = 5
-BLOCK_BYTES = 32 << 20
-TREE_ROWS = 400_000
+BLOCK_BYTES = 16 << 20
+TREE_ROWS = 100_000
 FOLDS, HELD_OUT = 5, 1
 END = 10
 LN2 = np.log(2.0)
