@@ -112,11 +112,15 @@ def escape_html(text: Column) -> Column:
     return F.replace(out, F.lit(">"), F.lit("&gt;"))
 
 
-def stored_name(original: Column, path: Column, size: Column, unix_time: Column) -> Column:
-    """``<stem>_<unix time>_<16 hex>.<ext>``; the hex part is a digest, so retries agree."""
+def stored_name(original: Column, unix_time: Column, *key: Column) -> Column:
+    """``<stem>_<unix time>_<16 hex>.<ext>``.
+
+    The hex part is a digest of the upload's ``key``, which names it among all
+    uploads (batch and number, say): names differ, and a retry gives the same one.
+    """
     return F.concat(
         file_stem(original), F.lit("_"), unix_time.cast("string"), F.lit("_"),
-        hex16(path, size, unix_time), F.lit("."), extension(original),
+        hex16(original, unix_time, *key), F.lit("."), extension(original),
     )
 
 
@@ -128,7 +132,9 @@ def report_id(unix_time: Column, *parts: Column) -> Column:
 
 
 def hex16(*parts: Column) -> Column:
-    joined = F.concat_ws("|", *[p.cast("string") for p in parts])
+    # A null and a text are told apart, and so are parts that hold the separator.
+    joined = F.concat_ws("|", *[F.concat(F.coalesce(F.length(p.cast("string")), F.lit(-1)).cast("string"), F.lit(":"),
+                                         F.coalesce(p.cast("string"), F.lit(""))) for p in parts])
     return F.substring(F.sha2(joined, 256), 1, 16)
 
 

@@ -115,9 +115,12 @@ def accepted_files(uploads: DataFrame, mode: str = "strict", *batch: str) -> Dat
     return good.join(any_bad, F.col("_bad") == 0, "left_semi")
 
 
-def manifest(uploads: DataFrame, mode: str = "strict", *batch: str) -> DataFrame:
-    """Accepted files with their stored name and path, without analysis."""
+def manifest(uploads: DataFrame, mode: str = "strict", *batch: str, key: str = "upload_id") -> DataFrame:
+    """Accepted files with their stored name and path, without analysis.
+
+    ``key`` tells the uploads of a batch apart.
+    """
     files = accepted_files(uploads, mode, *batch)
-    name = stored_name(F.col("original_name"), F.col("original_name"), F.col("size"), F.col("unix_time"))
+    name = stored_name(F.col("original_name"), F.col("unix_time"), *[F.col(b) for b in batch], F.col(key))
     return files.withColumn("stored_name", name).withColumn(
         "path", F.concat(F.lit("uploads/"), F.col("stored_name")))

@@ -7,6 +7,8 @@ inside the projection: no join, no shuffle.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,36 +52,79 @@ FIXER_TEXTS = {
 FIXER_MESSAGE = "Problème de formatage détecté par "
 FIXER_SUGGESTION = "Exécutez php-cs-fixer pour corriger automatiquement"
 
-# Fixer rules that carry options, and those that are plainly on.
-FIXER_OPTIONS = {
+# Fixer name -> its options, or True where it is plainly on.
+FIXER_RULES = {
+    "@PSR12": True,
+    "@PHP84Migration": True,
     "array_syntax": {"syntax": "short"},
-    "blank_line_before_statement": {"statements": "return"},
-    "class_attributes_separation": {"method": "one"},
+    "binary_operator_spaces": True,
+    "blank_line_after_opening_tag": True,
+    "blank_line_before_statement": {"statements": ["return"]},
+    "cast_spaces": True,
+    "class_attributes_separation": {"elements": {"method": "one"}},
     "concat_space": {"spacing": "one"},
+    "declare_strict_types": True,
+    "function_typehint_space": True,
+    "include": True,
+    "lowercase_cast": True,
+    "magic_constant_casing": True,
+    "method_argument_space": True,
+    "native_function_casing": True,
+    "new_with_braces": True,
+    "no_blank_lines_after_class_opening": True,
+    "no_blank_lines_after_phpdoc": True,
+    "no_empty_statement": True,
+    "no_extra_blank_lines": True,
+    "no_leading_import_slash": True,
+    "no_leading_namespace_whitespace": True,
     "no_mixed_echo_print": {"use": "echo"},
+    "no_multiline_whitespace_around_double_arrow": True,
+    "no_short_bool_cast": True,
+    "no_singleline_whitespace_before_semicolons": True,
+    "no_spaces_around_offset": True,
+    "no_trailing_comma_in_list_call": True,
+    "no_trailing_comma_in_singleline_array": True,
+    "no_unneeded_control_parentheses": True,
+    "no_unused_imports": True,
+    "no_whitespace_before_comma_in_array": True,
+    "no_whitespace_in_blank_line": True,
+    "normalize_index_brace": True,
+    "object_operator_without_whitespace": True,
+    "ordered_imports": True,
+    "php_unit_fqcn_annotation": True,
+    "phpdoc_align": True,
+    "phpdoc_annotation_without_dot": True,
+    "phpdoc_indent": True,
+    "phpdoc_inline_tag": True,
+    "phpdoc_no_access": True,
+    "phpdoc_no_alias_tag": True,
+    "phpdoc_no_empty_return": True,
+    "phpdoc_no_package": True,
+    "phpdoc_scalar": True,
+    "phpdoc_separation": True,
+    "phpdoc_single_line_var_spacing": True,
+    "phpdoc_summary": True,
+    "phpdoc_to_comment": True,
+    "phpdoc_trim": True,
+    "phpdoc_types": True,
+    "phpdoc_var_without_name": True,
+    "return_type_declaration": True,
+    "semicolon_after_instruction": True,
+    "short_scalar_cast": True,
+    "single_blank_line_before_namespace": True,
+    "single_class_element_per_statement": True,
+    "single_line_comment_style": True,
+    "single_quote": True,
+    "space_after_semicolon": True,
+    "standardize_not_equals": True,
+    "ternary_operator_spaces": True,
+    "trailing_comma_in_multiline": True,
+    "trim_array_spaces": True,
+    "unary_operator_spaces": True,
+    "whitespace_after_comma_in_array": True,
 }
-FIXERS_ON = """
-    @PSR12 @PHP84Migration array_syntax binary_operator_spaces blank_line_after_opening_tag
-    blank_line_before_statement cast_spaces class_attributes_separation concat_space
-    declare_strict_types function_typehint_space include lowercase_cast magic_constant_casing
-    method_argument_space native_function_casing new_with_braces
-    no_blank_lines_after_class_opening no_blank_lines_after_phpdoc no_empty_statement
-    no_extra_blank_lines no_leading_import_slash no_leading_namespace_whitespace
-    no_mixed_echo_print no_multiline_whitespace_around_double_arrow no_short_bool_cast
-    no_singleline_whitespace_before_semicolons no_spaces_around_offset
-    no_trailing_comma_in_list_call no_trailing_comma_in_singleline_array
-    no_unneeded_control_parentheses no_unused_imports no_whitespace_before_comma_in_array
-    no_whitespace_in_blank_line normalize_index_brace object_operator_without_whitespace
-    ordered_imports php_unit_fqcn_annotation phpdoc_align phpdoc_annotation_without_dot
-    phpdoc_indent phpdoc_inline_tag phpdoc_no_access phpdoc_no_alias_tag
-    phpdoc_no_empty_return phpdoc_no_package phpdoc_scalar phpdoc_separation
-    phpdoc_single_line_var_spacing phpdoc_summary phpdoc_to_comment phpdoc_trim phpdoc_types
-    phpdoc_var_without_name return_type_declaration semicolon_after_instruction
-    short_scalar_cast single_blank_line_before_namespace single_class_element_per_statement
-    single_line_comment_style single_quote space_after_semicolon standardize_not_equals
-    ternary_operator_spaces trailing_comma_in_multiline trim_array_spaces
-    unary_operator_spaces whitespace_after_comma_in_array
-""".split()
+
+FIXER_OPTIONS = {name: json.dumps(o, separators=(",", ":")) for name, o in FIXER_RULES.items() if o is not True}
 
 # Words (lower case) that decide the severity of a static finding.
 STATIC_ERROR_WORDS = ("undefined", "not found", "does not exist")
@@ -123,13 +168,13 @@ def _constant(table: dict[str, str], key: Column, default: Column) -> Column:
 
 
 def fixer_rules(spark: SparkSession) -> DataFrame:
-    """The fixer rule set: name, enabled, options."""
-    rows = [(name, True, FIXER_OPTIONS.get(name, {})) for name in FIXERS_ON]
-    return spark.createDataFrame(rows, "name STRING, enabled BOOLEAN, options MAP<STRING,STRING>")
+    """The fixer rule set: name, enabled, options as JSON (null: none)."""
+    rows = [(name, True, FIXER_OPTIONS.get(name)) for name in FIXER_RULES]
+    return spark.createDataFrame(rows, "name STRING, enabled BOOLEAN, options STRING")
 
 
 def normalize_fixer(findings: DataFrame) -> DataFrame:
-    """``finding_id, fixer`` -> severity, message, suggestion, and whether the rule is enabled."""
+    """``finding_id, fixer`` -> severity, message, suggestion, whether the rule is enabled, and its options."""
     name = F.coalesce(F.col("fixer"), F.lit(""))
     severity = F.when(name.isin(*ERROR_FIXERS), "error").when(
         name.isin(*WARNING_FIXERS), "warning").otherwise("info")
@@ -139,7 +184,8 @@ def normalize_fixer(findings: DataFrame) -> DataFrame:
         "finding_id", "fixer", severity.alias("severity"),
         _constant(messages, name, F.concat(F.lit(FIXER_MESSAGE), name)).alias("message"),
         _constant(suggestions, name, F.lit(FIXER_SUGGESTION)).alias("suggestion"),
-        name.isin(*FIXERS_ON).alias("enabled"))
+        name.isin(*FIXER_RULES).alias("enabled"),
+        _constant(FIXER_OPTIONS, name, F.lit(None).cast("string")).alias("options"))
 
 
 def _any_word(text: Column, words: tuple[str, ...]) -> Column:

@@ -11,6 +11,39 @@ from srclens.operators.rules.base import FALLBACK, LINE, Rule, RulePack, across,
 
 P = fixed.CAPTURE_PATTERNS
 
+# Arguments with their blanks taken once: text up to the delimiter without leading
+# blanks or, where all is blank, its last blank.
+_FIRST = r"(?:\s*+([^,\s][^,]*+)|\s*(\s))"
+_SECOND = r"(?:\s*+([^)\s][^)]*+)|\s*(\s))"
+STRPOS = rf"strpos\s*+\({_FIRST},{_SECOND}\)\s*+"
+SUBSTR = rf"substr\s*+\({_FIRST},\s*+-strlen\s*+\("
+SUBSTR_ENDS = (
+    SUBSTR + r"\s*+([^)\s]++(?:\s++[^)\s]++)*+)\s*+\)\s*+\)\s*+===\s*+\3",
+    SUBSTR + r"\s*(\s)\s*\)\s*+\)\s*+===\s*\3",
+)
+
+
+def _two_arguments(pattern: str):
+    """Trimmed arguments; each is in one of two groups, the other one is empty."""
+    def captures(line: Column) -> list[Column]:
+        a, b, c, d = groups(pattern, 4)(line)
+        return [trimmed(F.concat(a, b)), trimmed(F.concat(c, d))]
+
+    return captures
+
+
+def _ends_with(line: Column) -> Column:
+    return F.rlike(line, rx(SUBSTR_ENDS[0])) | F.rlike(line, rx(SUBSTR_ENDS[1]))
+
+
+def _ends_with_arguments(line: Column) -> list[Column]:
+    plain, blank = (groups(p, 3)(line) for p in SUBSTR_ENDS)
+    at, other = (F.regexp_instr(line, rx(p)) for p in SUBSTR_ENDS)
+    found = (at > 0) & ((other == 0) | (at < other))  # the one further left
+    return [trimmed(F.when(found, F.concat(plain[0], plain[1])).otherwise(F.concat(blank[0], blank[1]))),
+            trimmed(F.when(found, plain[2]).otherwise(blank[2]))]
+
+
 def _many_arguments(line: Column) -> Column:
     """The first call with two or more commas before its ')' is no control structure.
 
@@ -28,6 +61,11 @@ def _many_arguments(line: Column) -> Column:
     return ~F.coalesce(F.get(calls, F.lit(0)), F.lit("")).isin("", *fixed.NOT_FUNCTIONS)
 
 
+def _constructor_parameter(line: Column) -> Column:
+    pattern = r"function\s++__construct\s*+\((?=[^)]*+\))[^)]*?\$\w"
+    return F.rlike(up_to_last(line, ")"), rx(pattern))
+
+
 def _switch(line: Column) -> Column:
     return F.rlike(up_to_last(line, ")"), rx(r"switch\s*\(\s*[^)]++\)"))
 
@@ -82,9 +120,9 @@ def _rule(number, when, *needs, level=LINE, captures=None, in_file=None) -> Rule
 
 PACK = RulePack("migration", (
     _rule(33, match(P[33]), "array_keys", "===", "(", captures=groups(P[33], 1)),
-    _rule(34, match(P[34]), "strpos", "!==", "(", captures=_trimmed_groups(P[34], 2)),
-    _rule(35, match(P[35]), "strpos", "===", "(", captures=_trimmed_groups(P[35], 2)),
-    _rule(36, match(P[36]), "substr", "-strlen", "(", captures=_trimmed_groups(P[36], 2)),
+    _rule(34, match(STRPOS + r"!==\s*+false"), "strpos", "!==", "(", captures=_two_arguments(STRPOS + r"!==\s*+false")),
+    _rule(35, match(STRPOS + r"===\s*+0"), "strpos", "===", "(", captures=_two_arguments(STRPOS + r"===\s*+0")),
+    _rule(36, _ends_with, "substr", "-strlen", "(", captures=_ends_with_arguments),
     _rule(37, _switch, "switch", "(", captures=_trimmed_groups(P[37], 1)),
     _rule(38, _plain_property, "$", ";",
           captures=groups(P[38], 2)),
@@ -94,7 +132,7 @@ PACK = RulePack("migration", (
     _rule(42, _async_word, in_file=any_async_word),
     _rule(43, match(P[43]), "array", "(", captures=groups(P[43], 2)),
     _rule(44, match(P[44]), "call_user_func", "(", captures=groups(P[44], 2)),
-    _rule(45, match(r"function\s+__construct\s*\([^)]*\$(\w+)[^)]*\)"), "__construct", "$", "("),
+    _rule(45, _constructor_parameter, "__construct", "$", "("),
     _rule(46, _many_arguments, ",", "(", ")"),
     _rule(47, match(r"list\s*\("), "list", "("),
     _rule(48, lambda l: F.rlike(l, rx(P[48])) & ~F.rlike(l, rx(r"readonly\s+class")),

@@ -59,7 +59,16 @@ def line_bytes(line: Column) -> list[Column]:
 
 
 def _missing_blank_line(f: FileText) -> Column:
-    return has_namespace(f) & F.rlike(f.body, rx(r"namespace\s+[^;]+;(?!\s*\n\s*\n)"))
+    """A namespace declaration whose ';' is not followed by a blank line.
+
+    Declarations that end in one ';' share what follows it, so the text is judged
+    piece by piece.
+    """
+    pieces = F.split(f.body, ";", -1)
+    bare = F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, q: (
+        q.isNotNull() & has(p, "namespace") & F.rlike(p, rx(r"namespace\s[\s\S]"))
+        & ~F.coalesce(F.rlike(q, rx(r"^\s*\n\s*\n")), F.lit(False))))
+    return has_namespace(f) & F.exists(bare, lambda hit: hit)
 
 
 def _wrong_class_name(f: FileText) -> Column:

@@ -409,7 +409,12 @@ GATE = (CHECKED + ", per AS (SELECT batch_id, count(*) AS total_files, count(err
         f"CASE WHEN rejected > 0 THEN {quoted(gate.VALIDATION_FAILED[0])} END AS error_code, "
         f"CASE WHEN rejected > 0 THEN {quoted(gate.VALIDATION_FAILED[1])} END AS message, "
         "total_files - rejected AS accepted, rejected, total_files FROM per")
-_HEX = "substr(sha256(concat_ws('|', original_name, CAST(size AS VARCHAR), CAST(unix_time AS VARCHAR))), 1, 16)"
+def _digest(*parts: str) -> str:
+    shown = ", ".join(f"coalesce(length(CAST({p} AS VARCHAR)), -1) || ':' || coalesce(CAST({p} AS VARCHAR), '')" for p in parts)
+    return f"substr(sha256(concat_ws('|', {shown})), 1, 16)"
+
+
+_HEX = _digest("original_name", "unix_time", "batch_id", "upload_id")
 _STEM = f"regexp_replace({_BASE}, '\\.[^.]*$', '')"
 _STORED = f"{_STEM} || '_' || unix_time || '_' || {_HEX} || '.' || {_EXT}"
 STRICT = ("batch_id NOT IN (SELECT batch_id FROM checked WHERE error IS NOT NULL)")
@@ -430,8 +435,9 @@ GATE_RUN = (CHECKED + "SELECT (count(error) = 0 AND count(*) > 0) AS success, "
 PATH_PARTS = (f"WITH up AS ({rendered.UPLOADS}) SELECT upload_id, {_BASE} AS base_name, {_STEM} AS stem, "
               f"{_EXT} AS extension FROM up")
 STORED_NAME = (f"WITH up AS ({rendered.UPLOADS}) SELECT upload_id, {_STORED} AS stored_name, "
-               "'report_' || unix_time || '_' || substr(sha256(concat_ws('|', CAST(upload_id AS VARCHAR), "
-               "CAST(unix_time AS VARCHAR))), 1, 16) AS report_id FROM up")
+               f"'report_' || unix_time || '_' || {_digest('upload_id', 'unix_time')} AS report_id FROM up")
+STORED_NAMES_UNIQUE = (f"WITH up AS ({rendered.UPLOADS}) SELECT count(*) AS uploads, count(*) AS names "
+                       "FROM up WHERE original_name IS NOT NULL")
 _SIZE = ("CASE WHEN size < 1024 THEN size || ' Bytes' "
          "WHEN size < 1048576 THEN regexp_replace(CAST(round(size / 1024.0::DOUBLE, 2) AS VARCHAR), '\\.0$', '') || ' KB' "
          "WHEN size < 1073741824 THEN regexp_replace(CAST(round(size / 1048576.0::DOUBLE, 2) AS VARCHAR), '\\.0$', '') || ' MB' "
@@ -453,8 +459,9 @@ def purge_plan(target: str) -> str:
 
 
 def purge_summary(target: str) -> str:
-    return (f"SELECT target, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM ({purge_plan(target)}) "
-            "GROUP BY target")
+    return (f"SELECT {quoted(target)} AS target, count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes "
+            f"FROM ({purge_plan(target)})")
+
 
 
 def _case(column: str, table: dict[str, str], default: str) -> str:
@@ -463,6 +470,14 @@ def _case(column: str, table: dict[str, str], default: str) -> str:
 
 
 _F = "coalesce(fixer, '')"
+# The options of the fixer rules that have some.
+FIXER_OPTIONS = {
+    "array_syntax": '{"syntax":"short"}',
+    "blank_line_before_statement": '{"statements":["return"]}',
+    "class_attributes_separation": '{"elements":{"method":"one"}}',
+    "concat_space": '{"spacing":"one"}',
+    "no_mixed_echo_print": '{"use":"echo"}',
+}
 FIXER = (
     f"SELECT finding_id, fixer, CASE WHEN {_F} IN ({', '.join(map(quoted, normalize.ERROR_FIXERS))}) "
     f"THEN 'error' WHEN {_F} IN ({', '.join(map(quoted, normalize.WARNING_FIXERS))}) THEN 'warning' "
@@ -470,7 +485,8 @@ FIXER = (
     + _case(_F, {k: v[0] for k, v in normalize.FIXER_TEXTS.items()},
             f"{quoted(normalize.FIXER_MESSAGE)} || {_F}") + " AS message, "
     + _case(_F, {k: v[1] for k, v in normalize.FIXER_TEXTS.items()}, quoted(normalize.FIXER_SUGGESTION))
-    + f" AS suggestion, {_F} IN ({', '.join(map(quoted, normalize.FIXERS_ON))}) AS enabled "
+    + f" AS suggestion, {_F} IN ({', '.join(map(quoted, normalize.FIXER_RULES))}) AS enabled, "
+    + _case(_F, FIXER_OPTIONS, "NULL") + " AS options "
     f"FROM ({rendered.FIXER_FINDINGS})"
 )
 
@@ -515,3 +531,15 @@ def scan_corpus(files_sql: str) -> str:
     return (f"WITH corpus AS ({files_sql}) SELECT file_id, original_name, stored_name, "
             "CAST(strlen(src) AS BIGINT) AS size, CAST(len(string_split(src, chr(10))) AS INTEGER) AS n_lines "
             "FROM corpus")
+
+
+def rule_pack(files_sql: str) -> str:
+    """The user's pack of ``queries.USER_PACK``, written out."""
+    return (f"WITH {corpus(files_sql)}\nSELECT file_id, CAST(line AS BIGINT) AS line, 'info' AS severity, 'team.output' AS rule, "
+            f"'Output of ' || {_x(r'(echo|print)\s', 1)} AS message, 'Use the logger' AS suggestion, "
+            "CAST(NULL AS VARCHAR) AS before_code, CAST(NULL AS VARCHAR) AS after_code "
+            f"FROM lines WHERE {_m(r'(echo|print)\s')}")
+
+
+def report_replaced(files_sql: str) -> str:
+    return f"SELECT * FROM ({all_issues(files_sql)}) WHERE file_id % 2 = 0"

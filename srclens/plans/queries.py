@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from srclens.functions import text
 from srclens.operators import filters, gate, normalize, report, rollup, scan
-from srclens.operators.catalog import DEFAULT_PACKS, all_rules, only
-from srclens.operators.rules.base import FALLBACK
+from srclens.operators.catalog import DEFAULT_PACKS, all_rules, only, register_pack
+from srclens.operators.rules.base import FALLBACK, LINE, Rule, RulePack, groups, match
 from srclens.plans import oracles, rendered
 from srclens.session import shared_folder
 from srclens.sources import store
@@ -140,10 +140,16 @@ def _path_parts(up: DataFrame) -> DataFrame:
 def _stored_name(up: DataFrame) -> DataFrame:
     name, time = F.col("original_name"), F.col("unix_time")
     return up.select(
-        "upload_id", text.stored_name(name, name, F.col("size"), time).alias("stored_name"),
+        "upload_id", text.stored_name(name, time, F.col("batch_id"), F.col("upload_id")).alias("stored_name"),
         text.report_id(time, F.col("upload_id")).alias("report_id"))
 
 
+def _stored_names_unique(up: DataFrame) -> DataFrame:
+    """Uploads and distinct stored names; some uploads share name, size and time."""
+    return _stored_name(up).where(F.col("stored_name").isNotNull()).agg(
+        F.count("*").alias("uploads"), F.count_distinct("stored_name").alias("names"))
+
+
 def _format_size(up: DataFrame) -> DataFrame:
     return up.select("upload_id", "size", text.human_size(F.col("size")).alias("shown"))
 
@@ -151,7 +157,7 @@ def _format_size(up: DataFrame) -> DataFrame:
 def _purge(target: str, summary: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         plan = store.purge_plan(_sql(spark, sf_dir, oracles.LISTING, "orders"), target)
-        return store.purge_summary(plan) if summary else plan
+        return store.purge_summary(plan, target) if summary else plan
 
     return run
 
@@ -173,10 +179,30 @@ def _report_lookup(table_name: str) -> Query:
     return run
 
 
+def _report_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store a run, store it again with half of the files, read it back."""
+    root, files = shared_folder(spark), part_files(spark, sf_dir)
+    run = store.new_report_id(spark, RUN_TIME, "replaced")
+    store.save_report(files, root, run, nested=False)
+    store.save_report(files.where(F.col("file_id") % 2 == 0), root, run, nested=False)
+    return store.require_report(spark, root, run, "issues").drop("report_id")
+
+
+# A pack a user would add to the catalog.
+USER_PACK = RulePack("team", (Rule(
+    100, 20, LINE, "info", "team.output", "Output of <1>", "Use the logger", match(r"(echo|print)\s"),
+    captures=groups(r"(echo|print)\s", 1)),))
+
+
+def _rule_pack(files: DataFrame) -> DataFrame:
+    packs = register_pack(USER_PACK)
+    return scan.issues(files, only(100, packs=packs), failures=False).select(*RULE_COLUMNS)
+
+
 def _landed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part rows as a stream of newly landed data files, rendered as they arrive."""
     schema = table(spark, sf_dir, "part").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/part*.parquet")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[p]art.parquet")
     stream = stream.repartition(spark.sparkContext.defaultParallelism)  # short rows, long texts
     return _as_files(spark.sql(_with_sources(rendered.part_files("spark"), ("part",)), part=stream))
 
@@ -216,6 +242,7 @@ def queries() -> dict[str, Query]:
         # names and formatting
         "path_parts": _over(uploads, _path_parts),
         "stored_name": _over(uploads, _stored_name),
+        "stored_names_unique": _over(uploads, _stored_names_unique),
         "format_size": _over(uploads, _format_size),
         "escape_html": _over(part_files, _escape_html),
         # issues
@@ -246,6 +273,8 @@ def queries() -> dict[str, Query]:
         "report_json": _over(part_files, report.report_json),
         "report_lookup": _report_lookup("issues"),
         "report_lookup_summary": _report_lookup("summary"),
+        "report_replaced": _report_replaced,
+        "rule_pack": _over(part_files, _rule_pack),
         "purge_plan": _purge("uploads", False),
         "purge_plan_reports": _purge("reports", False),
         "purge_summary": _purge("uploads", True),
@@ -279,6 +308,7 @@ def oracle_sql() -> dict[str, str]:
         "manifest_per_row": oracles.manifest(False),
         "path_parts": oracles.PATH_PARTS,
         "stored_name": oracles.STORED_NAME,
+        "stored_names_unique": oracles.STORED_NAMES_UNIQUE,
         "format_size": oracles.FORMAT_SIZE,
         "escape_html": oracles.escape_html(parts),
         "all_issues": oracles.all_issues(parts),
@@ -305,6 +335,8 @@ def oracle_sql() -> dict[str, str]:
         "report_json": oracles.report_json(parts),
         "report_lookup": oracles.all_issues(parts),
         "report_lookup_summary": oracles.run_summary(parts),
+        "report_replaced": oracles.report_replaced(parts),
+        "rule_pack": oracles.rule_pack(parts),
         "purge_plan": oracles.purge_plan("uploads"),
         "purge_plan_reports": oracles.purge_plan("reports"),
         "purge_summary": oracles.purge_summary("uploads"),

@@ -136,7 +136,7 @@ SELECT page_id AS file_id, concat('page_', CAST(page_id AS STRING), '.php') AS o
 FROM pages
 """
 CONVERSATION_FILES = """
-SELECT conv_id * 100000 + turn AS file_id,
+SELECT concat(CAST(conv_id AS STRING), '/', CAST(turn AS STRING)) AS file_id,
        concat('turn_', CAST(conv_id AS STRING), '_', CAST(turn AS STRING), '.php') AS original_name,
        concat(role, '.php') AS stored_name, text AS src
 FROM conversations
@@ -149,24 +149,26 @@ SELECT o_orderkey AS upload_id, o_custkey AS batch_id, o_orderstatus, o_totalpri
        CASE WHEN o_orderkey % 211 = 1 THEN ''
             WHEN o_orderkey % 211 = 2 THEN '0'
             WHEN o_orderkey % 211 = 3 THEN NULL
+            WHEN o_orderkey % 13 = 10 THEN 'a/index.php'
             WHEN o_orderkey % 101 = 4 THEN concat('Order', CAST(o_orderkey AS STRING), '.inc')
             WHEN o_orderkey % 103 = 5 THEN concat('Order', CAST(o_orderkey AS STRING))
             WHEN o_orderkey % 107 = 6 THEN concat('dir.php/Order', CAST(o_orderkey AS STRING), '.php.txt')
             WHEN o_orderkey % 3 = 0 THEN concat('src/Order.', CAST(o_orderkey AS STRING), '.PHP')
             ELSE concat('Order', CAST(o_orderkey AS STRING), '.php') END AS original_name,
-       CAST(CASE WHEN o_orderkey % 59 = 7 THEN 5242880 + o_orderkey % 2
+       CAST(CASE WHEN o_orderkey % 13 = 10 THEN 1000
+                 WHEN o_orderkey % 59 = 7 THEN 5242880 + o_orderkey % 2
                  WHEN o_orderkey % 61 = 8 THEN floor(o_totalprice * 37)
                  WHEN o_orderkey % 67 = 9 THEN floor(o_totalprice / 1500)
                  ELSE floor(o_totalprice) END AS BIGINT) AS size,
        'application/x-php' AS mime_type,
-       1700000000 + o_orderkey AS unix_time
+       CASE WHEN o_orderkey % 13 = 10 THEN 1700000000 ELSE 1700000000 + o_orderkey END AS unix_time
 FROM orders
 """
 
 # Raw findings of external tools, one per event, with several finding shapes.
 FIXER_FINDINGS = """
 SELECT event_id AS finding_id,
-       CASE CAST(event_id % 17 AS INT)
+       CASE CAST(event_id % 19 AS INT)
             WHEN 0 THEN 'declare_strict_types' WHEN 1 THEN 'no_unused_imports'
             WHEN 2 THEN 'no_empty_statement' WHEN 3 THEN 'php_unit_fqcn_annotation'
             WHEN 4 THEN 'array_syntax' WHEN 5 THEN 'single_quote'
@@ -175,6 +177,7 @@ SELECT event_id AS finding_id,
             WHEN 10 THEN 'method_argument_space' WHEN 11 THEN 'no_whitespace_in_blank_line'
             WHEN 12 THEN 'phpdoc_align' WHEN 13 THEN 'return_type_declaration'
             WHEN 14 THEN 'class_attributes_separation' WHEN 15 THEN concat('custom_', event_type)
+            WHEN 16 THEN 'blank_line_before_statement' WHEN 17 THEN 'no_mixed_echo_print'
             ELSE NULL END AS fixer
 FROM events
 """

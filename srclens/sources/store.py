@@ -8,12 +8,16 @@ Layout below the store's root::
     summary/report_id=.../*.parquet    one row per run
     json/report_id=.../*.json          nested file reports
 
-A report id names the run, so writing the same run again replaces its
-partitions and nothing else: a retry is harmless.
+A report id names the run, so writing the same run again replaces its folders and
+nothing else, whatever it holds now: a retry is harmless.  The summary is written
+last; a run without one is not there.
 """
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +38,8 @@ INVALID_TARGET = "INVALID_TARGET"
 DIRECTORY_NOT_FOUND = "DIRECTORY_NOT_FOUND"
 PURGE_TARGETS = ("uploads", "reports")
 
+RUN_ID = re.compile(r"[\w.-]+")
+
 
 class StoreError(ValueError):
     """A request the store refuses; ``code`` says why."""
@@ -49,45 +55,64 @@ def new_report_id(spark: SparkSession, unix_time: int, *parts: str) -> str:
     return row.first()["id"]
 
 
+def _folder(root: str, table: str, run: str) -> str:
+    return f"{root.rstrip('/')}/{table}/report_id={run}"
+
+
 def _write(df: DataFrame, root: str, table: str, run: str, fmt: str = "parquet") -> None:
-    (df.withColumn("report_id", F.lit(run)).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("report_id")
-       .format(fmt).save(f"{root}/{table}"))
+    """Replace the run's own folder, also by no rows at all."""
+    df.write.mode("overwrite").format(fmt).save(_folder(root, table, run))
+
+
+def _read(spark: SparkSession, root: str, table: str, run: str) -> DataFrame:
+    """The run's own folder; no other run is listed."""
+    rows = spark.read.option("basePath", f"{root.rstrip('/')}/{table}").parquet(_folder(root, table, run))
+    return rows.where(F.col("report_id") == run)
 
 
 def save_report(files: DataFrame, root: str, run: str, packs: Packs = DEFAULT_PACKS,
                 nested: bool = True) -> None:
-    """Scan ``files`` once and store the run ``run``.
+    """Scan ``files`` once and store the run ``run``; its summary is written last.
 
     The texts are read a single time: the scan itself (file and hits) is stored
-    first, and every other table is a projection of the stored scan.
+    first, and every other table is a projection of the stored scan.  A run of no
+    files or no issues is stored like any other.
     """
+    if not RUN_ID.fullmatch(run):
+        raise StoreError(MISSING_REPORT_ID, run)
     spark = files.sparkSession
     scanned = with_hits(files, packs)
     reason = ["error"] if "error" in files.columns else []
-    _write(scanned.select("file_id", "original_name", "path", *reason, "hits"), root, "scan", run)
-    scanned = spark.read.parquet(f"{root}/scan").where(F.col("report_id") == run).drop("report_id")
+    scanned = scanned.select("file_id", "original_name", "path", *reason, "hits")
+    _write(scanned, root, "scan", run)
+    scanned = spark.read.schema(scanned.schema).parquet(_folder(root, "scan", run))
     _write(issues_of(scanned, packs), root, "issues", run)
-    _write(overview_of(scanned, packs, total_in_hits), root, "files", run)
+    overview = overview_of(scanned, packs, total_in_hits)
+    _write(overview, root, "files", run)
     if nested:
         _write(reports_of(scanned, packs), root, "json", run, "json")
-    stored = spark.read.parquet(f"{root}/files").where(F.col("report_id") == run)
+    stored = spark.read.schema(overview.schema).parquet(_folder(root, "files", run))
     _write(run_summary_of(stored), root, "summary", run)
 
 
 def lookup_report(spark: SparkSession, root: str, run: str | None, table: str = "issues") -> DataFrame:
-    """Rows of one stored run; only its partition is read.  No rows: not found."""
+    """Rows of one stored run; only its folder is listed and read."""
     if not run:
         raise StoreError(MISSING_REPORT_ID)
-    return spark.read.parquet(f"{root}/{table}").where(F.col("report_id") == run)
+    if not RUN_ID.fullmatch(run):
+        raise StoreError(REPORT_NOT_FOUND, run)
+    try:
+        return _read(spark, root, table, run)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise StoreError(REPORT_NOT_FOUND, run) from e
+        raise
 
 
 def require_report(spark: SparkSession, root: str, run: str | None, table: str = "summary") -> DataFrame:
-    """Like ``lookup_report`` but raises when the run is not stored."""
-    found = lookup_report(spark, root, run, table)
-    if found.isEmpty():
-        raise StoreError(REPORT_NOT_FOUND, run or "")
-    return found
+    """Like ``lookup_report`` for a run that is whole: its summary, written last, is there."""
+    lookup_report(spark, root, run, "summary")
+    return lookup_report(spark, root, run, table)
 
 
 def read_nested(spark: SparkSession, root: str, run: str) -> DataFrame:
@@ -98,7 +123,12 @@ def read_nested(spark: SparkSession, root: str, run: str) -> DataFrame:
         T.StructField("file_id", T.StringType()), T.StructField("part", T.IntegerType()),
         T.StructField("parts", T.IntegerType()), *schemas.FILE_REPORT.fields,
         T.StructField("report_id", T.StringType())])
-    return spark.read.schema(schema).json(f"{root}/json").where(F.col("report_id") == run)
+    try:
+        return spark.read.schema(schema).option("basePath", f"{root.rstrip('/')}/json").json(_folder(root, "json", run))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise StoreError(REPORT_NOT_FOUND, run) from e
+        raise
 
 
 def read_run_files(spark: SparkSession, path: str) -> DataFrame:
@@ -144,10 +174,12 @@ def _direct_child(path: Column, target: str) -> Column:
     return F.rlike(path, F.lit(rf"^{target}/[^./][^/]*$"))
 
 
-def purge_summary(plan: DataFrame) -> DataFrame:
-    """Counts of a purge plan, per target."""
-    return plan.groupBy("target").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+def purge_summary(plan: DataFrame, target: str | None = None) -> DataFrame:
+    """Counts of a purge plan per target; with ``target`` one row, also when it is empty."""
+    files, size = F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")
+    if target is None:
+        return plan.groupBy("target").agg(files, size)
+    return plan.agg(files, size).select(F.lit(target).alias("target"), "files", "bytes")
 
 
 def purge_directory(spark: SparkSession, directory: str, target: str) -> DataFrame:
@@ -155,15 +187,22 @@ def purge_directory(spark: SparkSession, directory: str, target: str) -> DataFra
     if target not in PURGE_TARGETS:
         raise StoreError(INVALID_TARGET, target)
     where = f"{directory.rstrip('/')}/{target}"
-    try:
-        listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-                  .load(where).select("path", "length"))
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            raise StoreError(DIRECTORY_NOT_FOUND, where) from e
-        raise
-    relative = F.concat(F.lit(target + "/"), base_name(F.col("path")))
-    return purge_plan(listed.select(relative.alias("path"), F.col("length").alias("size")), target)
+    rows = [(f"{target}/{name}", size) for name, size in _regular_files(spark, where)]
+    listed = spark.createDataFrame(rows, "path STRING, size LONG")
+    return listed.where(~F.startswith(base_name(F.col("path")), F.lit("."))).select(
+        F.lit(target).alias("target"), "path", "size")
+
+
+def _regular_files(spark: SparkSession, where: str) -> list[tuple[str, int]]:
+    """Names and sizes of the files directly in a directory, empty ones and any name included.
+
+    A plain listing: Spark's readers leave out empty files and names with ``_``.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        raise StoreError(DIRECTORY_NOT_FOUND, where)
+    return [(s.getPath().getName(), s.getLen()) for s in system.listStatus(path) if s.isFile()]
 
 
 def purge_store(spark: SparkSession, root: str, table: str, execute: bool = False) -> DataFrame:
@@ -175,12 +214,18 @@ def purge_store(spark: SparkSession, root: str, table: str, execute: bool = Fals
     if table not in (*TABLES, "json"):
         raise StoreError(INVALID_TARGET, table)
     fmt = "json" if table == "json" else "parquet"
-    current = spark.read.format(fmt).load(f"{root}/{table}")
+    folder = f"{root.rstrip('/')}/{table}"
+    try:
+        current = spark.read.schema("report_id STRING").format(fmt).load(folder)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise StoreError(DIRECTORY_NOT_FOUND, folder) from e
+        raise
     runs = current.groupBy("report_id").agg(F.count(F.lit(1)).alias("n"))
     counted = runs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("runs"))
     if not execute:
         return counted
     before = spark.createDataFrame(counted.collect(), counted.schema)  # a single row
-    (current.limit(0).write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy("report_id").format(fmt).save(f"{root}/{table}"))
+    (current.withColumn("nothing", F.lit(0)).limit(0).write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").partitionBy("report_id").format(fmt).save(folder))
     return before

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
-from helpers import counts_by_rule
+from helpers import counts_by_rule, files_of
+from srclens.operators.catalog import only
+from srclens.operators.scan import issues, with_rule_counts
 
 TRIM = b" \t\n\r\x00\x0b"
 
@@ -20,10 +23,22 @@ THEMES = {
     "members": ["public ", "private ", "protected ", "static ", "function ", "f", "$x", "$", ";", " =", "\n"],
     "words": ["ASYNC", "Promise", "curl_exec", "CURL_CLOSE", "curl_multi_", "(", "async", "\n", "É", "x"],
     "braces": ["class ", "trait", " A", "{", "}", " ", "function f", "()", "\n", "//"],
+    "strpos": ["strpos", "(", ")", ",", " ", "  ", "$a", "'b'", " !== ", "false", " === ", "0", "\n"],
+    "substr": ["substr", "(", ")", ",", " ", "$a", "-strlen", "-strlen(", " === ", "$b", "\n", "))"],
+    "whole calls": ["strpos( $a , $b ) !== false", "strpos($a,  ) === 0", "strpos( , x)!==  false", "substr($a, -strlen( $b )) === $b",
+                    "substr( , -strlen( )) === ", "substr($a,-strlen($b ) )===$bc", " ", "strpos(", "substr(", "\n"],
+    "quotes": ["\"", "$", "\\", "a", " ", "\n"],
+    "constructors": ["function __construct", "function  __construct (", "(", ")", "$", "$a", " ", ",", "\n"],
+    "ends": ["namespace ", "namespace A", ";", " ", "\n", "\n\n", "A", " \n \n"],
     "long": ["x" * 60, "é" * 30, " ", "\t", "\n"],
 }
 
 
+# The plain patterns of three rules.
+STRPOS = rb"strpos\s*\(\s*([^,]+),\s*([^)]+)\s*\)\s*"
+SUBSTR = rb"substr\s*\(\s*([^,]+),\s*-strlen\s*\(\s*([^)]+)\s*\)\s*\)\s*===\s*\2"
+
+
 def plain(text: bytes) -> dict[int, int]:
     lines = text.split(b"\n")
 
@@ -58,14 +73,19 @@ def plain(text: bytes) -> dict[int, int]:
         17: count(lambda l: re.search(rb"function\s+\w+\s*\([^)]*\)\s*{", l)
                   and not re.search(rb"function\s+\w+\s*\([^)]*\)\s*:\s*\w+", l)),
         21: count(lambda l: re.search(rb"\s+\Z", l) and not blank(l)),
+        25: count(lambda l: re.search(rb'"[^"\\$]*"', l) and not re.search(rb'"[^"]*\$[^"]*"', l)),
         27: count(lambda l: b"\t" in indent(l)),
         28: count(lambda l: indent(l) and b"\t" not in indent(l) and len(indent(l)) % 4 and not blank(l)),
         30: count(lambda l: re.search(rb"^(class|interface|trait)\s+\w+.*\{\Z", l.strip(TRIM))),
         31: count(lambda l: re.search(rb"function\s+\w+.*\{\Z", l.strip(TRIM))),
+        34: count(lambda l: re.search(STRPOS + rb"!==\s*false", l)),
+        35: count(lambda l: re.search(STRPOS + rb"===\s*0", l)),
+        36: count(lambda l: re.search(SUBSTR, l)),
         37: count(lambda l: re.search(rb"switch\s*\(\s*([^)]+)\s*\)", l)),
         38: count(lambda l: b"readonly" not in l and re.search(
             rb"(private|protected|public)\s+([^$]*\$(\w+))\s*;", l)),
         42: count(lambda l: re.search(rb"(?i)(curl_multi_|curl_exec.*curl_close|async|promise)", l)),
+        45: count(lambda l: re.search(rb"function\s+__construct\s*\([^)]*\$(\w+)[^)]*\)", l)),
         46: count(call),
     }
 
@@ -87,10 +107,39 @@ def test_random_texts(spark):
     assert all(hit.values()), hit
 
 
+def test_captures(spark):
+    """The previews of rules 34 to 36 have what the plain patterns capture, trimmed."""
+    rng = random.Random(8)
+    pieces = THEMES["strpos"][:-1] + THEMES["substr"][:-2] + 4 * THEMES["whole calls"][:-1]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 8))) for _ in range(1500)]
+    rows = issues(files_of(spark, texts), only(34, 35, 36)).where("before_code IS NOT NULL").select(
+        "file_id", "rule", "before_code").collect()
+    found = sorted((r.file_id, r.before_code) for r in rows)
+    expected = []
+    for i, text in enumerate(texts):
+        for pattern, shown in ((STRPOS + rb"!==\s*false", "strpos({}, {}) !== false"),
+                               (STRPOS + rb"===\s*0", "strpos({}, {}) === 0"),
+                               (SUBSTR, "substr({0}, -strlen({1})) === {1}")):
+            m = re.search(pattern, text.encode())
+            if m:
+                expected.append((i, shown.format(*(g.strip(TRIM).decode() for g in m.groups()))))
+    assert found == sorted(expected) and len(found) > 300
+
+
+HOSTILE = ["namespace ", "\"$", "strpos( ", "strpos(a, ", "substr(a,-strlen( ", "function __construct( $"]
+CALLS = ["strpos($a,", "substr($a,-strlen($b"]
+
+
 def test_long_hostile_lines_take_linear_time(spark):
-    """Lines on which backtracking patterns would need hours."""
+    """Lines on which backtracking patterns would need hours, with several ends."""
     tail = ") { , ; $a } use x;"
     starts = ["switch( a", "public ", "function f(", "word, word (x ", "curl_exec ", "use ", "namespace ",
               "\"", " ", "f(", "public $a "]
     found = counts_by_rule(spark, [s * (200_000 // len(s)) + tail for s in starts])
     assert found[0][37] == 1 and found[3][46] == 1 and found[4][42] == 0
+    for end in ("", " ) !== x", tail):
+        texts = [s * (100_000 // len(s)) + end for s in HOSTILE]
+        texts += [c + " " * 200_000 + end for c in CALLS]
+        began = time.time()
+        with_rule_counts(files_of(spark, texts), only(8, 25, 34, 35, 36, 45)).drop("body").collect()
+        assert time.time() - began < 10 * len(texts), end

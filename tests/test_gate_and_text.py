@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,7 +118,25 @@ def test_fixer_findings(spark):
     assert rows[1].message == "Problème de formatage détecté par other"
     rules = normalize.fixer_rules(spark)
     assert rules.where("enabled").count() == 68
-    assert rules.where("name = 'concat_space'").first().options == {"spacing": "one"}
+    options = {r.name: json.loads(r.options) for r in rules.where("options IS NOT NULL").collect()}
+    assert options["concat_space"] == {"spacing": "one"}
+    assert options["blank_line_before_statement"] == {"statements": ["return"]}
+    assert options["class_attributes_separation"] == {"elements": {"method": "one"}}
+    assert len(options) == 5
+
+
+def test_stored_names_differ(spark):
+    rows = [(i, b, "a/index.php", 10, 7) for i in (1, 2) for b in ("x", "y", None)]
+    up = spark.createDataFrame(rows, "upload_id LONG, batch_id STRING, original_name STRING, size LONG, unix_time LONG")
+    up = up.selectExpr("*", "0 AS status", "'text/x' AS mime_type")
+    names = lambda: sorted(r.stored_name for r in gate.manifest(up, "per_row", "batch_id").collect())
+    assert len(set(names())) == 6 and names() == names()
+
+
+def test_gate_of_no_files(spark):
+    up = spark.createDataFrame([], "upload_id LONG, original_name STRING, size LONG, status INT")
+    row = gate.gate_batch(up).first()
+    assert (row.success, row.error_code, row.total_files) == (False, "NO_FILES", 0)
 
 
 def test_static_findings(spark):

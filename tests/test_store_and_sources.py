@@ -201,3 +201,50 @@ def test_purge_directory(spark, tmp_path):
         with pytest.raises(store.StoreError) as e:
             store.purge_directory(spark, str(tmp_path), target)
         assert e.value.code == code
+
+
+def test_purge_takes_every_regular_file(spark, tmp_path):
+    uploads = tmp_path / "uploads"
+    uploads.mkdir()
+    assert store.purge_summary(store.purge_directory(spark, str(tmp_path), "uploads"), "uploads").first() == ("uploads", 0, 0)
+    for name, text in (("_a.php", "xy"), ("empty.php", ""), ("b.php", "z")):
+        (uploads / name).write_text(text)
+    plan = store.purge_directory(spark, str(tmp_path), "uploads")
+    assert sorted(r.path for r in plan.collect()) == ["uploads/_a.php", "uploads/b.php", "uploads/empty.php"]
+    assert store.purge_summary(plan, "uploads").first() == ("uploads", 3, 3)
+
+
+def test_retry_without_issues_leaves_none(spark, tmp_path):
+    root = str(tmp_path / "store")
+    clean = "<?php\n\ndeclare(strict_types=1);\n\nnamespace A;\n\nreturn [];\n"
+    bad, good = files_of(spark, ["<?php\necho 1;"]), files_of(spark, [clean])
+    packs = tuple(p for p in DEFAULT_PACKS if p.name == "psr")
+    store.save_report(bad, root, "report_1_x", packs, nested=False)
+    assert store.require_report(spark, root, "report_1_x", "issues").count()
+    store.save_report(good, root, "report_1_x", packs, nested=False)
+    assert store.require_report(spark, root, "report_1_x", "issues").count() == 0
+    assert store.require_report(spark, root, "report_1_x", "files").first().status == "success"
+
+
+def test_run_of_no_files(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.save_report(files_of(spark, ["x"]).limit(0), root, "report_1_none")
+    assert store.require_report(spark, root, "report_1_none").first().total_files == 0
+    assert store.require_report(spark, root, "report_1_none", "issues").count() == 0
+
+
+def test_runs_that_are_not_there(spark, tmp_path):
+    root = str(tmp_path / "store")
+
+    def code(run):
+        with pytest.raises(store.StoreError) as e:
+            store.require_report(spark, root, run)
+        return e.value.code
+
+    assert code("report_1_x") == "REPORT_NOT_FOUND"  # a new store
+    store.save_report(files_of(spark, ["x"]), root, "report_1_x")
+    assert code("report_2_y") == code("../report_1_x") == "REPORT_NOT_FOUND" and code("") == "MISSING_REPORT_ID"
+    for table in (*store.TABLES, "json"):
+        store.purge_store(spark, root, table, execute=True)
+    assert code("report_1_x") == "REPORT_NOT_FOUND"  # a purged one
+    assert store.purge_store(spark, root, "files").first() == (0, 0)
