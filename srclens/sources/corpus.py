@@ -4,7 +4,8 @@ Both give the same ``files`` DataFrame, one row per file::
 
     file_id, original_name, stored_name, path, size, mime_type, modified, body
 
-``body`` is the byte view of the content, null where it could not be read.
+``body`` is the byte view of the content, null where it could not be read.  The
+file sources add ``error``, the reason for that.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srclens.functions.text import base_name, byte_view
-from srclens.operators.gate import MAX_FILE_BYTES
+from srclens.operators.gate import MAX_FILE_BYTES, TOO_BIG
 
 PHP_GLOB = "*.[pP][hH][pP]"
+HIDDEN_NAME = "nom caché, non lu par la source"
 BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
 
@@ -31,31 +33,71 @@ def _binary(reader, path: str, glob: str | None, recursive: bool) -> DataFrame:
     return reader.load(path)
 
 
+def all_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``path, modificationTime, length`` of every regular file of a tree, whatever its name or size.
+
+    Spark's file source lists neither empty files nor names that begin with ``_`` or
+    ``.``; this listing by the file system has them.  It is made by the driver.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(conf)
+    wanted = jvm.org.apache.hadoop.fs.GlobFilter(glob) if glob else None
+    rows, found = [], system.listFiles(root, True)
+    while found.hasNext():
+        status = found.next()
+        if wanted is None or wanted.accept(status.getPath()):
+            rows.append((status.getPath().toString(), status.getModificationTime(), status.getLen()))
+    listed = spark.createDataFrame(rows, "path STRING, millis LONG, length LONG")
+    return listed.select("path", F.timestamp_millis("millis").alias("modificationTime"), "length")
+
+
 def read_files(spark: SparkSession, path: str, glob: str | None = PHP_GLOB,
                max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
-    """A corpus from a directory tree.
+    """A corpus from a directory tree: a row for every file, none left out.
 
-    The size limit is a predicate on ``length``, which the file reader uses to
-    skip big files without opening them; the extension prunes the listing.
+    ``error`` says why a file has no body: it is larger than ``max_bytes`` (found by a
+    predicate on ``length``, so it is not opened), or its name begins with ``_`` or
+    ``.`` and Spark's file source does not open it.  An empty file has an empty body.
     """
-    return from_binary(_binary(spark.read, path, glob, True), max_bytes)
+    read = from_binary(_binary(spark.read, path, glob, True), max_bytes)
+    left_out = all_files(spark, path, glob).join(list_files(spark, path, glob).select("path"), "path", "left_anti")
+    empty = F.col("length") == 0
+    rows = _file_columns(left_out, F.when(empty, ""), F.when(~empty, HIDDEN_NAME))
+    return read.unionByName(rows)
 
 
 def stream_files(spark: SparkSession, path: str, glob: str | None = PHP_GLOB,
                  max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
-    """The same corpus as a stream of newly landed files."""
+    """The same corpus as a stream of newly landed files.
+
+    The file source of a stream does not see empty files and hidden names; a batch
+    run over ``read_files`` has them.
+    """
     reader = spark.readStream.schema(BINARY_FILE)
     return from_binary(_binary(reader, path, glob, True), max_bytes)
 
 
 def from_binary(binary: DataFrame, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
-    if max_bytes is not None:
-        binary = binary.where(F.col("length") <= max_bytes)
+    """A corpus from rows ``path, modificationTime, length, content``.
+
+    A row longer than ``max_bytes`` stays, without a body and with the gate's error;
+    the two halves are told apart by ``length`` alone, so its content is not read.
+    """
+    none = F.lit(None).cast("string")
+    if max_bytes is None:
+        return _file_columns(binary, byte_view(F.col("content")), none)
+    fits = F.col("length") <= max_bytes
+    small = _file_columns(binary.where(fits), byte_view(F.col("content")), none)
+    return small.unionByName(_file_columns(binary.where(~fits), none, F.lit(TOO_BIG)))
+
+
+def _file_columns(rows: DataFrame, body: Column, error: Column) -> DataFrame:
     name = base_name(F.col("path"))
-    return binary.select(
+    return rows.select(
         F.col("path").alias("file_id"), name.alias("original_name"), name.alias("stored_name"),
         "path", F.col("length").alias("size"), F.lit(None).cast("string").alias("mime_type"),
-        F.col("modificationTime").alias("modified"), byte_view(F.col("content")).alias("body"))
+        F.col("modificationTime").alias("modified"), body.alias("body"), error.alias("error"))
 
 
 def with_missing(files: DataFrame, listed: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -67,11 +109,12 @@ def with_missing(files: DataFrame, listed: DataFrame, manifest: DataFrame) -> Da
     only paths are joined, never contents.  ``manifest`` has ``original_name,
     stored_name, path, size, mime_type`` with paths as the file source spells them.
     """
-    missing = manifest.join(listed.select("path"), "path", "left_anti")
+    known = listed.select("path").unionByName(files.select("path"))
+    missing = manifest.join(known, "path", "left_anti")
     rows = missing.select(
         F.col("path").alias("file_id"), "original_name", "stored_name", "path", "size", "mime_type",
         F.lit(None).cast("timestamp").alias("modified"), F.when(F.col("size") == 0, "").alias("body"))
-    return files.unionByName(rows)
+    return files.unionByName(rows, allowMissingColumns=True)
 
 
 def spread(rows: DataFrame) -> DataFrame:

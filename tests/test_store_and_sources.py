@@ -13,7 +13,7 @@ from srclens.operators.report import file_reports, report_json
 from srclens.operators.rollup import file_overview, file_status, rule_counts, run_summary
 from srclens.operators.scan import issues
 from srclens.sources import store
-from srclens.sources.corpus import from_table, list_files, read_files, stream_files, with_missing
+from srclens.sources.corpus import all_files, from_binary, from_table, list_files, read_files, stream_files, with_missing
 from srclens.streaming import lint_stream
 
 TEXTS = {
@@ -37,14 +37,23 @@ def tree(tmp_path):
 
 
 def test_read_files(spark, tree):
+    (tree / "_b.php").write_text("<?php")
+    (tree / ".c.php").write_text("<?php")
+    (tree / "__tests__").mkdir()
+    (tree / "__tests__" / "a.php").write_text("<?php")
     files = read_files(spark, str(tree))
-    names = {r.original_name: r.size for r in files.select("original_name", "size").collect()}
-    # The file source leaves out empty files; see the manifest test.
-    assert names == {**{n: len(t.encode()) for n, t in TEXTS.items() if t}, "UPPER.PHP": 14}
+    rows = {r.original_name: r for r in files.collect()}
+    sizes = {**{n: len(t.encode()) for n, t in TEXTS.items()}, "UPPER.PHP": 14, "big.php": 5 * 1024 * 1024 + 1,
+             "_b.php": 5, ".c.php": 5, "a.php": 5}
+    assert {n: r.size for n, r in rows.items()} == sizes
+    assert rows["empty.php"].body == "" and rows["big.php"].body is None
+    assert {n for n, r in rows.items() if r.error} == {"big.php", "_b.php", ".c.php", "a.php"}
+    assert rows["big.php"].error == "Fichier trop volumineux (maximum 5MB)"
     plan = files._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(length,5242880)" in plan
-    listing = list_files(spark, str(tree))
-    assert listing.count() == 6
+    assert "LessThanOrEqual(length,5242880)" in plan and "GreaterThan(length,5242880)" in plan
+    assert run_summary(files).first().total_files == all_files(spark, str(tree), "*.[pP][hH][pP]").count() == 9
+    failed = {r.file_id.rsplit("/", 1)[1]: r.message for r in issues(files).where("rule = 'ANALYSIS_ERROR'").collect()}
+    assert set(failed) == {"big.php", "_b.php", ".c.php", "a.php"} and failed["big.php"].endswith("(maximum 5MB)")
 
 
 def test_manifest_brings_back_empty_and_missing_files(spark, tree):
@@ -56,7 +65,7 @@ def test_manifest_brings_back_empty_and_missing_files(spark, tree):
         "original_name STRING, stored_name STRING, path STRING, size LONG, mime_type STRING")
     files = with_missing(read_files(spark, str(tree)), list_files(spark, str(tree)), manifest)
     by_name = {r.original_name: r for r in file_overview(files).collect()}
-    assert len(by_name) == 6
+    assert len(by_name) == 7
     assert by_name["empty.php"].total_issues == 4 and by_name["empty.php"].status == "error"
     assert by_name["gone.php"].total_issues is None and by_name["gone.php"].status == "error"
     plan = list_files(spark, str(tree))._jdf.queryExecution().executedPlan().toString()
@@ -64,7 +73,7 @@ def test_manifest_brings_back_empty_and_missing_files(spark, tree):
 
 
 def test_file_and_table_sources_agree(spark, tree):
-    rows = spark.createDataFrame([(n, t) for n, t in TEXTS.items() if t], "name STRING, text STRING")
+    rows = spark.createDataFrame(list(TEXTS.items()), "name STRING, text STRING")
     table = from_table(rows, F.col("name"), F.col("text"), F.col("name"))
     cols = ["stored_name", "seq", "rule", "line", "message", "after_code"]
     one = issues(table, DEFAULT_PACKS, "stored_name").select(*cols).collect()
@@ -81,13 +90,21 @@ def test_stream_equals_batch(spark, tree, tmp_path_factory):
         write = lambda: lint_stream.write_stream(
             rows, str(out / name), str(out / f"{name}-state"), available_now=True).awaitTermination()
         write()
-        expected = batch(read_files(spark, str(tree)))
+        expected = batch(read_files(spark, str(tree)).where("size > 0"))  # a stream has no empty files
         got = spark.read.schema(rows.schema).parquet(str(out / name))
         assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
         write()  # nothing new has landed: nothing is added
         assert spark.read.parquet(str(out / name)).count() == expected.count()
 
 
+def test_large_rows_of_a_table_stay(spark):
+    rows = spark.createDataFrame([("a/x.php", 3, bytearray(b"abc")), ("a/y.php", 9, bytearray(b"<?php 123"))],
+                                 "path STRING, length LONG, content BINARY").selectExpr(
+        "path", "current_timestamp() AS modificationTime", "length", "content")
+    found = {r.original_name: (r.body, r.error) for r in from_binary(rows, 5).collect()}
+    assert found == {"x.php": ("abc", None), "y.php": (None, "Fichier trop volumineux (maximum 5MB)")}
+
+
 def test_new_files_are_picked_up_once(spark, tmp_path):
     landing, out = tmp_path / "in", tmp_path / "out"
     landing.mkdir()
@@ -103,7 +120,8 @@ def test_running_summary(spark, tree):
     query = (summary.writeStream.format("memory").queryName("running_summary")
              .outputMode("complete").trigger(availableNow=True).start())
     query.awaitTermination()
-    assert spark.table("running_summary").collect() == run_summary(read_files(spark, str(tree))).collect()
+    assert spark.table("running_summary").collect() == run_summary(
+        read_files(spark, str(tree)).where("size > 0")).collect()
 
 
 def test_store_round_trip(spark, tmp_path):
