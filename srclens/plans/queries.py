@@ -219,6 +219,14 @@ def _streamed(rows_of, after=lambda df: df) -> Query:
     return run
 
 
+def _batch_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of the micro-batches of what has landed."""
+    root = shared_folder(spark)
+    lint_stream.write_batch_summaries(
+        _landed_parts(spark, sf_dir), f"{root}/batches", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{root}/batches").withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for rule in all_rules(DEFAULT_PACKS):
@@ -286,6 +294,9 @@ def queries() -> dict[str, Query]:
         # streams
         "stream_issues": _streamed(lint_stream.issue_stream),
         "stream_reports": _streamed(lint_stream.overview_stream),
+        "stream_compliance": _streamed(lint_stream.compliance_stream),
+        "stream_migration": _streamed(_migration_summary),
+        "stream_batches": _batch_summaries,
         "stream_summary": _streamed(lint_stream.overview_stream, rollup.run_summary_of),
     }
     return out
@@ -347,5 +358,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_issues": oracles.all_issues(parts),
         "stream_reports": oracles.file_overview(parts),
         "stream_summary": oracles.run_summary(parts),
+        "stream_compliance": oracles.psr_compliance(parts),
+        "stream_migration": oracles.migration_summary(parts),
+        "stream_batches": f"SELECT CAST(0 AS BIGINT) AS batch_id, * FROM ({oracles.run_summary(parts)})",
     }
     return out

@@ -115,6 +115,18 @@ def test_new_files_are_picked_up_once(spark, tmp_path):
         assert spark.read.parquet(str(out)).count() == n
 
 
+def test_batch_summaries(spark, tmp_path):
+    landing, out = tmp_path / "in", str(tmp_path / "out")
+    landing.mkdir()
+    files = stream_files(spark, str(landing))
+    for name in ("a.php", "b.php"):
+        (landing / name).write_text(TEXTS["bad.php"])
+        for _ in range(2):  # the second time nothing has landed
+            lint_stream.write_batch_summaries(files, out, str(tmp_path / "state"), available_now=True).awaitTermination()
+    rows = {r.batch_id: r.total_files for r in spark.read.parquet(out).collect()}
+    assert rows == {0: 1, 1: 1}
+
+
 def test_running_summary(spark, tree):
     summary = lint_stream.summary_stream(stream_files(spark, str(tree)))
     query = (summary.writeStream.format("memory").queryName("running_summary")
