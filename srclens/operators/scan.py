@@ -281,6 +281,54 @@ def issues(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *keep:
     return issues_of(with_hits(files, packs), packs, *keep, failures=failures)
 
 
+def issue_rows(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *keep: str,
+               failures: bool = True) -> DataFrame:
+    """The issues as a stream of rows: ``step`` and ``number`` with the issue columns.
+
+    The lines are exploded before they are judged, so a row holds at most one hit
+    per rule and memory does not grow with the hits of a file, whatever its size.
+    The report order within a file is (step, line, number).
+    """
+    keep = keep or ("file_id",)
+    reason = F.lit(UNREADABLE)
+    if "error" in files.columns:
+        reason = F.coalesce(F.col("error"), reason)
+    ready = prepared(files, packs)
+    rules = [r for p in packs for r in evaluated(p)]
+    text = _file_text()
+    whole = [F.when(r.hits(text), _hit(r, F.lit(1), text)) for r in rules if r.level == FILE]
+    for pack in packs:
+        others = [r for r in evaluated(pack) if r.level != FALLBACK]
+        whole += [F.when(~any_hit(others), _hit(r, F.lit(1), None)) for r in pack.rules if r.level == FALLBACK]
+    none = F.array().cast(f"array<{HIT_TYPE}>")
+    of_file = F.when(F.col("body").isNotNull(), F.array_compact(F.array(*whole)) if whole else none).otherwise(
+        F.array(failure_hit(reason)) if failures else none)
+    line_rules = [r for r in rules if r.level == LINE]
+    gates = {r: r.possible(F.col("body")) for r in line_rules}
+    ready = ready.select(
+        *keep, *[F.coalesce(g, F.lit(False)).alias(f"_may_{r.number}") for r, g in gates.items() if g is not None],
+        of_file.alias("_of_file"), *(["_lines"] if line_rules else []))
+    # The hits of the file travel as the first element, not beside every line.
+    first = F.array(F.struct(F.lit(None).cast("string").alias("line"), F.col("_of_file").alias("hits")))
+    pieces = first
+    if line_rules:
+        lines = F.transform(F.col("_lines"), lambda x: F.struct(x.alias("line"), F.lit(None).cast(f"array<{HIT_TYPE}>").alias("hits")))
+        pieces = F.coalesce(F.concat(first, lines), first)
+    may = [f"_may_{r.number}" for r, g in gates.items() if g is not None]
+    rows = ready.select(*keep, *may, F.posexplode(pieces).alias("pos", "piece")).select(
+        *keep, *may, "pos", F.col("piece.line").alias("line"), F.col("piece.hits").alias("hits"))
+
+    def one(rule: Rule) -> Column:
+        test = rule.hits(F.col("line"))
+        if gates[rule] is not None:
+            test = F.col(f"_may_{rule.number}") & test
+        return F.when(test, _hit(rule, F.col("pos"), F.col("line")))
+
+    found = F.array_compact(F.array(*[one(r) for r in line_rules])) if line_rules else none
+    hits = rows.select(*keep, F.explode(F.when(F.col("pos") == 0, F.col("hits")).otherwise(found)).alias("hit"))
+    return hits.select(*keep, "hit.step", "hit.number", *_issue_columns(packs))
+
+
 def failed_files(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> DataFrame:
     """Failure rows of unreadable files: one for the file, one per analyzer that reports its own."""
     reason = F.coalesce(F.col("error"), F.lit(UNREADABLE)) if "error" in files.columns else F.lit(UNREADABLE)

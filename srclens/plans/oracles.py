@@ -223,6 +223,13 @@ def all_issues(files_sql: str) -> str:
             f"SELECT file_id, seq, {', '.join(ISSUE_COLUMNS)} FROM issues")
 
 
+def issue_rows(files_sql: str) -> str:
+    steps = " ".join(f"WHEN {n} THEN {step}" for n, step in STEP.items())
+    return (f"WITH {corpus(files_sql)},\n{issues()}\n"
+            f"SELECT file_id, CAST(CASE number {steps} ELSE 0 END AS INTEGER) AS step, CAST(number AS INTEGER) AS number, "
+            f"{', '.join(ISSUE_COLUMNS)} FROM issues")
+
+
 def one_rule(files_sql: str, number: int) -> str:
     numbers = MIGRATION_NUMBERS if number == 49 else (number,)
     return (f"WITH {corpus(files_sql)},\n{issues(numbers, False)}\n"

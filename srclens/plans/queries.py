@@ -258,6 +258,8 @@ def queries() -> dict[str, Query]:
         "all_issues_documents": _over(document_files, scan.issues),
         "all_issues_pages": _over(page_files, scan.issues),
         "all_issues_conversations": _over(conversation_files, scan.issues),
+        "issue_rows": _over(part_files, scan.issue_rows),
+        "issue_rows_documents": _over(document_files, scan.issue_rows),
         "failed_files": _over(part_files, scan.failed_files),
         "migration_issues": _over(part_files, _migration_issues),
         "rewrite_preview": _over(part_files, _rewrite_preview),
@@ -326,6 +328,8 @@ def oracle_sql() -> dict[str, str]:
         "all_issues_documents": oracles.all_issues(docs),
         "all_issues_pages": oracles.all_issues(pages),
         "all_issues_conversations": oracles.all_issues(turns),
+        "issue_rows": oracles.issue_rows(parts),
+        "issue_rows_documents": oracles.issue_rows(docs),
         "failed_files": oracles.failed_files(parts),
         "migration_issues": oracles.migration_issues(parts),
         "rewrite_preview": oracles.rewrite_preview(parts),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from helpers import files_of
 from srclens.operators import filters, gate, report, rollup, scan
 from srclens.sources.corpus import from_table
 
@@ -67,3 +69,20 @@ def test_texts_are_folded_to_a_literal(corpus):
 def test_lookups_need_no_join(spark):
     up = spark.createDataFrame([(1, 0, "a.php", 1)], "upload_id LONG, status INT, original_name STRING, size LONG")
     assert "Join" not in plan_of(gate.validate_files(up))
+
+
+def test_issue_rows_are_the_issues(spark):
+    texts = ["<?php\necho $x; \n\tvar $a;\n", "", None, "<?php\n" + "\t \n" * 50, "<?php\nnamespace A;\nuse B;\nclass C {\n"]
+    files = files_of(spark, texts)
+    shown = scan.ISSUE_COLUMNS
+    rows = scan.issue_rows(files)
+    assert sorted(map(str, rows.select("file_id", *shown).collect())) == sorted(
+        map(str, scan.issues(files).select("file_id", *shown).collect()))
+    order = Window.partitionBy("file_id").orderBy("step", "line", "number")
+    numbered = rows.withColumn("seq", F.row_number().over(order)).select("file_id", "seq", "rule", "line")
+    assert sorted(map(str, numbered.collect())) == sorted(
+        map(str, scan.issues(files).select("file_id", "seq", "rule", "line").collect()))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "sort_array" not in plan
+    none = scan.issue_rows(files, failures=False).where("rule = 'ANALYSIS_ERROR'")
+    assert none.count() == 0
