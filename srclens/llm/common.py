@@ -28,6 +28,19 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of a few MB, unless the session says otherwise.
+
+    Spark's own limit counts rows, and ten thousand long texts are no small batch.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null: null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
@@ -104,7 +117,7 @@ def substrings(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed(h + (ends - starts).astype(np.uint64))
 
 
-def groups(offsets: np.ndarray, limit: int = 1 << 21) -> list[tuple[int, int]]:
+def groups(offsets: np.ndarray, limit: int = 1 << 20) -> list[tuple[int, int]]:
     """Ranges of texts of at most ``limit`` bytes together (a longer text stands alone)."""
     out, start = [], 0
     while start < len(offsets) - 1:
@@ -167,6 +180,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed_texts(docs: DataFrame, row: Column) -> DataFrame:
     """(row, text_key, packed): texts as compressed bytes, a third of their size in a shuffle."""
+    bounded_batches(docs.sparkSession)
     text = F.col("text").cast("string").cast("binary")
     return docs.select(row.cast("long").alias("row"), text.alias("text")).mapInArrow(
         _pack, "row long, text_key long, packed binary")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srclens.llm import tokens
-from srclens.llm.common import table, text_bytes, written
+from srclens.llm.common import bounded_batches, table, text_bytes, written
 
 CONTEXT = 2048
 PER_SHARD = 20_000
@@ -110,6 +110,7 @@ def cut(docs: DataFrame, longest: int = CONTEXT, vocabulary: str = tokens.VOCABU
 
     A null text is empty: its only id is 0.
     """
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                         ("length", pa.int64()), ("ids_crc32", pa.int64())])
 

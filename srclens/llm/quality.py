@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm.common import Words, fold, groups, table, text_bytes, written
+from srclens.llm.common import Words, bounded_batches, fold, groups, table, text_bytes, written
 
 KINDS = ("lower", "upper", "digit", "blank", "newline", "stop", "call", "bar", "symbol")
 COUNTS = ("n_bytes", *KINDS, "words", "letters2", "repeats", "near_repeats", "lines", "line_repeats")
@@ -163,6 +163,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, counts): a row for each document."""
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counted, schema)
 
@@ -224,6 +225,7 @@ def score_counts(counted: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents predicted to be of class 1, columns unchanged; no shuffle."""
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index("text")
 
     def run(batches):

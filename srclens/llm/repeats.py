@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srclens.llm.common import (
-    groups, mixed, packed_texts, prefix_sums, substrings, table, text_bytes, text_key, unpacked, written)
+    bounded_batches, groups, mixed, packed_texts, prefix_sums, substrings, table, text_bytes, text_key, unpacked, written)
 from srclens.llm.suffix import repeated
 
 LEAST = 200
@@ -144,6 +144,7 @@ def _shard_finder(least: int):
 
 def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(text_key, spans): for each distinct text with repeats, places (a, b) that cover them; they may overlap."""
+    bounded_batches(docs.sparkSession)
     text = F.col("text").cast("string").cast("binary").alias("text")
     rows = written(docs.select(text).where(F.octet_length("text") >= least).mapInArrow(
         _anchor_rows(least),
@@ -276,4 +277,28 @@ def op8_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_suffix_array_repeats": op8_suffix_array_repeats}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_suffix_array_repeats": """
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), k AS (
+    SELECT r, i, hash(substr(h, 2 * i + 1, 400)) AS m
+    FROM (SELECT r, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS i FROM d)
+), f AS (
+    SELECT r, i FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)
+), cut AS (
+    SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run
+    FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM f)
+), runs AS (
+    SELECT r, min(i) AS a, max(i) + 200 AS b FROM cut GROUP BY r, run
+), kept AS (
+    SELECT r, string_agg(substr(h, 2 * start + 1, 2 * (a - start)), '' ORDER BY start) AS k
+    FROM (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS start, a FROM (
+              SELECT r, a, b FROM runs UNION ALL SELECT r, length(h) // 2, NULL FROM d))
+    JOIN d USING (r) GROUP BY r
+), n AS (
+    SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM runs GROUP BY r
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN n USING (r)
+"""}

@@ -14,7 +14,7 @@ import numpy as np
 from srclens.llm.common import BLANK, groups, prefix_sums, substrings
 
 VOCABULARY = "word_bpe_49k.json"
-MOST_KEPT = 2_000_000  # pieces a worker remembers before it starts anew
+MOST_KEPT = 600_000  # pieces a worker remembers before it starts anew
 
 _LETTER, _DIGIT, _OTHER = 1, 2, 3
 _KIND = np.full(256, _OTHER, np.uint8)
