@@ -151,7 +151,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     what it replies to).  Messages of one turn are ordered by role and text.
     """
     parsed = written(parse(messages))
-    counted = written(linked(units(parsed)))
+    counted = written(linked(written(units(parsed))))
     per_message = counted.groupBy("mid").agg(
         F.count_if(F.col("kind") == "paragraph").alias("n_quotes"),
         F.count_distinct(F.when(F.col("target").isNotNull(), F.col("run"))).alias("n_linked"),
