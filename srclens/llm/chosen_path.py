@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm.common import Words, groups, mixed, packed_texts, table, text_bytes, unpacked, written
+from srclens.llm.common import Words, bounded_batches, groups, mixed, packed_texts, table, text_bytes, unpacked, written
 from srclens.llm.components import components
 
 WORDS = 5
@@ -36,7 +36,8 @@ REPEATS = 3  # runs at each deeper level
 ALIKE = 0.5  # share of member pairs that split alike from which a bucket is compared in blocks
 BLOCK = 512
 DEPTH = 8  # a bucket still large there is compared in blocks as well
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+SETS_AT_ONCE = 256
 
 TOKEN_BITS = 52
 _DOCS = 1 << (64 - TOKEN_BITS)
@@ -91,26 +92,30 @@ def _signer(words: int, similarity: float, runs: float):
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Children of each (set, bucket, picks used on the path there), one for each run.
 
-    A set without unused picks goes to the child of such sets.
+    A set without unused picks goes to the child of such sets.  A few hundred sets
+    are held as Python objects at a time.
     """
     names = ["bucket", "run", "child", "used", "rid"]
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64())
-    for batch in batches:
-        out = []
-        for rid, picks, paths in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            tokens = np.array(picks, np.int64)
-            for path in paths:
-                free = tokens[~np.isin(tokens, path["used"])]
-                for run in range(REPEATS):
-                    start = mixed(np.array([path["bucket"]], np.int64).view(np.uint64) + np.uint64(run + 1))
-                    rank = mixed(free.view(np.uint64) ^ start)
-                    if len(free):
-                        k = int(rank.argmin())
-                        child, used = rank[k:k + 1].view(np.int64)[0], [*path["used"], int(free[k])]
-                    else:
-                        child, used = mixed(start).view(np.int64)[0], path["used"]
-                    out.append((path["bucket"], run, int(child), used, rid))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names)
+    for whole in batches:
+        for start in range(0, len(whole), SETS_AT_ONCE):
+            batch = whole.slice(start, SETS_AT_ONCE)
+            out = []
+            for rid, picks, paths in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                tokens = np.array(picks, np.int64)
+                for path in paths:
+                    free = tokens[~np.isin(tokens, path["used"])]
+                    for run in range(REPEATS):
+                        seed = mixed(np.array([path["bucket"]], np.int64).view(np.uint64) + np.uint64(run + 1))
+                        rank = mixed(free.view(np.uint64) ^ seed)
+                        if len(free):
+                            k = int(rank.argmin())
+                            child, used = rank[k:k + 1].view(np.int64)[0], [*path["used"], int(free[k])]
+                        else:
+                            child, used = mixed(seed).view(np.int64)[0], path["used"]
+                        out.append((path["bucket"], run, int(child), used, rid))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names)
 
 
 def buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +151,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def common(tokens: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+def common(tokens: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray, most: int = 1 << 18) -> np.ndarray:
     """Sizes of the intersections of sets i and j, pair by pair."""
     n = np.diff(bounds)
     out = np.zeros(len(i), np.int64)
@@ -225,9 +230,9 @@ def _block_comparer(words: int, similarity: float):
         used, codes = np.unique(codes, return_inverse=True)
         owner = np.repeat(np.arange(len(ids)), n)
         shared = np.zeros((len(left), len(right)), np.float32)
-        for at in range(1 if len(used) and used[0] < 0 else 0, len(used), 8192):
-            here = (codes >= at) & (codes < at + 8192)
-            part = np.zeros((len(ids), min(8192, len(used) - at)), np.float32)
+        for at in range(1 if len(used) and used[0] < 0 else 0, len(used), 2048):
+            here = (codes >= at) & (codes < at + 2048)
+            part = np.zeros((len(ids), min(2048, len(used) - at)), np.float32)
             part[owner[here], codes[here] - at] = 1
             shared += part[left] @ part[right].T
         linked = _similar(shared, n[left][:, None], n[right][None], similarity) & (ids[left][:, None] != ids[right][None])
@@ -258,6 +263,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     Texts without words (null, empty, blank) equal each other and nothing else.
     A row without an id stands alone: class null, no links.
     """
+    bounded_batches(docs.sparkSession)
     runs = -math.log(1 - recall)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = rows.where("doc_id IS NOT NULL")
@@ -336,4 +342,25 @@ def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_chosen_path_join": op5_chosen_path_join}
-ORACLES: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLES = {"op5_chosen_path_join": f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+        '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w
+    FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+    FROM d
+), u AS (
+    SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s
+), p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id
+    GROUP BY ALL HAVING count(*) * 1.8 >= 0.8 * (any_value(a.n) + any_value(b.n)) - 1e-9
+), e AS (
+    SELECT x, y FROM p UNION ALL SELECT y, x FROM p
+), r(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id
+)
+SELECT doc_id, min(root) AS class_id, (SELECT count(*) FROM e WHERE e.x = r.doc_id) AS n_links FROM r GROUP BY doc_id
+"""}
