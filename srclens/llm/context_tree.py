@@ -22,10 +22,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm.common import Words, fold, groups, mixed, table, text_bytes, unpacked, written
+from srclens.llm.common import Words, bounded_batches, fold, groups, mixed, table, text_bytes, unpacked, written
 
 DEPTH = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 TREE_ROWS = 100_000
 FOLDS, HELD_OUT = 5, 1
 END = 10
@@ -277,6 +277,7 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     base is the word model of add-half counts over the training tokens.
     ``bits_per_byte`` is the code length per byte of the words, parted by blanks, and the end.
     """
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
