@@ -8,13 +8,15 @@ with one anchor meet in one shard, equal windows as one; there a suffix array
 window holds for every place the window stands in.
 
 Anchors, windows and spans are rows; a passage in a third of all documents is one
-window for its inner anchors, summed up before it is shuffled.
+window for its inner anchors, summed up before it is shuffled.  An anchor with more
+distinct windows than a shard should hold is split by what lies around it (``_parted``).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from srclens.llm.suffix import repeated
 LEAST = 200
 ANCHOR = 32
 SHARD_BYTES = 2 << 20
+HELD = "anchor long, window long, many boolean, text_key long, start long, before int, bytes binary"
 
 
 def _sliding(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -82,7 +85,7 @@ def _anchor_rows(least: int):
 
 def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the windows asked for of each text."""
-    names = ["anchor", "window", "many", "text_key", "start", "before", "bytes"]
+    names = ["anchor", "window", "many", "text_key", "start", "before", "bytes", "hot"]
     for batch in batches:
         out = []
         for key, packed, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -90,9 +93,76 @@ def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in asked:
                 start = w["place"] - w["before"]
                 out.append((w["anchor"], w["window"], w["many"], key, start, w["before"],
-                            text[start:w["place"] + w["after"]]))
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names)
+                            text[start:w["place"] + w["after"]], w["hot"]))
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names)
+
+
+def _halves(least: int):
+    """The strings of each piece in two halves, by how far before the anchor they start (low <= bytes < high).
+
+    A half reaches as far as its strings do.  Its core is what they all hold, so that
+    equal strings have equal cores; a half of one string is its core.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("bytes"))
+            for x, y in groups(offsets):
+                own, places = data[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x]
+                rows, raw, sums = batch.slice(x, y - x), own.tobytes(), prefix_sums(own)
+                start, before, low, high = (
+                    rows.column(c).to_numpy().astype(np.int64) for c in ("start", "before", "low", "high"))
+                at = places[:-1] + before
+                after = places[1:] - at
+                for a, b in ((low, (low + high) // 2), ((low + high) // 2, high)):
+                    k = np.flatnonzero(np.maximum(a, least - after) <= np.minimum(b - 1, before))
+                    a, b, p, reach = a[k], b[k], at[k], np.minimum(before[k], b[k] - 1)
+                    stop = p + np.minimum(after[k], least - a)
+                    core = mixed(substrings(sums, p - a, p - b + 1 + least) + (a * 2 * least + b).astype(np.uint64))
+                    piece = mixed(substrings(sums, p - reach, stop) + reach.astype(np.uint64))
+                    cut = [raw[i:j] for i, j in zip((p - reach).tolist(), stop.tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(rows.column(c).take(pa.array(k)) for c in ("anchor", "window", "many", "text_key")),
+                         pa.array(start[k] + before[k] - reach), pa.array(reach, pa.int32()), pa.array(cut, pa.binary()),
+                         pa.array(a, pa.int32()), pa.array(b, pa.int32()),
+                         pa.array(core.view(np.int64)), pa.array(piece.view(np.int64))],
+                        ["anchor", "window", "many", "text_key", "start", "before", "bytes", "low", "high", "core", "piece"])
+    return run
+
+
+def _parted(windows: DataFrame, least: int, limit: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame], int]:
+    """Windows of anchors too large for a shard: pieces to sort, their windows, spans that need no sorting, bytes to sort.
+
+    All windows of one anchor are aligned by it.  Level by level the strings through it
+    are halved, and the halves meet by their cores: a core that stands once holds no
+    repeat, one with equal pieces only needs no sorting, one with few distinct pieces is
+    a group of a shard, and the others are halved again.  At the last level a piece is
+    one string and equals its core, so every group gets small enough.
+    """
+    pieces = windows.withColumns({"low": F.lit(0), "high": F.lit(least - ANCHOR + 1)})
+    sort, links, size = [], [], 0
+    done = [windows.where("many").withColumns({"core": F.lit(0), "piece": F.lit(0)})]
+    while True:
+        rows = written(pieces.select("anchor", "window", "many", "text_key", "start", "before", "bytes", "low", "high").mapInArrow(
+            _halves(least), HELD + ", low int, high int, core long, piece long"))
+        cores = written(rows.groupBy("core", "piece").agg(
+            F.count("*").alias("n"), F.max("many").alias("many"), F.first(F.octet_length("bytes")).alias("size")).groupBy("core").agg(
+            F.sum("n").alias("n"), F.max("many").alias("many"), F.count("*").alias("pieces"), F.sum("size").alias("size")).where(
+            "pieces > 1 OR n > 1 OR many").select("core", "size", F.when(F.col("pieces") == 1, "done").when(
+                F.col("size") <= limit, "sort").otherwise("split").alias("fate")))
+        rows = written(rows.join(cores.select("core", "fate"), "core"))
+        done.append(rows.where("fate = 'done'"))
+        few = rows.where("fate = 'sort'")
+        links.append(few.select("anchor", "window", "core", "piece"))
+        sort.append(few.groupBy("core", "piece").agg(
+            ((F.count("*") > 1) | F.max("many")).alias("many"),
+            F.min(F.struct("text_key", "start", "before", "bytes")).alias("one")).select(
+            F.col("core").alias("anchor"), F.col("piece").alias("window"), "many", "one.*"))
+        found = {r.fate: r.size for r in cores.groupBy("fate").agg(F.sum("size").alias("size")).collect()}
+        size += found.get("sort", 0)
+        if "split" not in found:
+            return sort, links, done, size
+        pieces = rows.where("fate = 'split'")
 
 
 def _spans_of(flags: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -151,8 +221,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         "text_key long, place long, anchor long, window long, before int, after int"))
     shared = written(rows.groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("window").alias("w0"), F.max("window").alias("w1")).where("n > 1").select(
-        "anchor", (F.col("w0") != F.col("w1")).alias("differ")))
-    members = written(rows.join(shared, "anchor"))
+        "anchor", "n", (F.col("w0") != F.col("w1")).alias("differ")))
+    members = written(rows.join(shared.drop("n"), "anchor"))
 
     # An anchor whose windows are all equal needs no sorting: each of their strings stands
     # in all of them.  Of the other windows one place each; its text is fetched from one document.
@@ -162,19 +232,41 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     windows = written(mixed_members.groupBy("anchor", "window").agg(
         (F.count("*") > 1).alias("many"), F.first("text_key").alias("text_key"), F.first("place").alias("place"),
         F.first("before").alias("before"), F.first("after").alias("after")))
+    # Anchors too large for their share of a shard; as each has many bytes, they are few.
+    limit = SHARD_BYTES // 4
+    places = shared.where(F.col("differ") & (F.col("n") * (2 * least - ANCHOR) > limit)).select("anchor")
+    hot = written(windows.join(F.broadcast(places), "anchor").groupBy("anchor").agg(
+        F.sum(F.col("before") + F.col("after")).alias("size")).where(F.col("size") > limit).select(
+        "anchor", F.lit(True).alias("hot")))
+    windows = windows.join(F.broadcast(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     keyed = packed_texts(docs.where(F.octet_length(F.col("text").cast("string")) >= least), F.lit(0))
     asked = windows.groupBy("text_key").agg(F.collect_list(F.struct(
-        "anchor", "window", "many", "place", "before", "after")).alias("asked"))
-    total = windows.agg(F.sum(F.col("before") + F.col("after"))).first()[0] or 0
-    shards = -(-total // SHARD_BYTES) or 1
+        "anchor", "window", "many", "place", "before", "after", "hot")).alias("asked"))
+    total = windows.where("NOT hot").agg(F.sum(F.col("before") + F.col("after"))).first()[0] or 0
     once = keyed.select("text_key", "packed").dropDuplicates(["text_key"])  # copies are dropped before the shuffle, too
     cut = once.join(asked, "text_key").select("text_key", "packed", "asked").mapInArrow(
-        _cut_windows, "anchor long, window long, many boolean, text_key long, start long, before int, bytes binary")
-    found = cut.groupBy(
+        _cut_windows, HELD + ", hot boolean")
+    sort, links, done = [], [], []
+    if hot.first() is not None:
+        cut = written(cut)
+        sort, links, done, more = _parted(cut.where("hot").drop("hot"), least, limit)
+        total += more
+    shards = -(-total // SHARD_BYTES) or 1
+    rest = reduce(DataFrame.unionByName, sort, cut.where("NOT hot").drop("hot"))
+    found = written(rest.groupBy(
         F.pmod(F.xxhash64("anchor"), F.lit(shards))).applyInArrow(
-        _shard_finder(least), "anchor long, window long, spans array<struct<a:int,b:int>>")
+        _shard_finder(least), "anchor long, window long, spans array<struct<a:int,b:int>>"))
+    if done:
+        pieces = found.withColumnsRenamed({"anchor": "core", "window": "piece"})
+        sorted_ones = reduce(DataFrame.unionByName, links).join(pieces, ["core", "piece"]).select("anchor", "window", "spans")
+        whole = reduce(DataFrame.unionByName, [d.select("anchor", "window", "before", F.octet_length("bytes").alias("size"))
+                                               for d in done]).where(F.col("size") >= least)
+        whole = whole.select("anchor", "window", F.array(F.struct(
+            (-F.col("before")).alias("a"), (F.col("size") - F.col("before")).alias("b"))).alias("spans"))
+        found = written(found.unionByName(sorted_ones.unionByName(whole).groupBy("anchor", "window").agg(
+            F.flatten(F.collect_set("spans")).alias("spans"))))
     spans = mixed_members.select("anchor", "window", "text_key", "place").distinct().join(
-        written(found), ["anchor", "window"]).select("text_key", "place", F.explode("spans").alias("s")).select(
+        found, ["anchor", "window"]).select("text_key", "place", F.explode("spans").alias("s")).select(
         "text_key", F.struct((F.col("place") + F.col("s.a")).alias("a"), (F.col("place") + F.col("s.b")).alias("b")).alias("s"))
     return spans.unionByName(everywhere).groupBy("text_key").agg(F.collect_set("s").alias("spans"))
 

@@ -65,6 +65,36 @@ def test_whole_table(spark):
     assert sorted(map(tuple, repeats.op8_suffix_array_repeats(spark, sf).collect()), key=str) == expected(docs)
 
 
+@pytest.mark.parametrize("length", [60, 150, 600])
+def test_hot_anchor(spark, monkeypatch, tmp_path, length):
+    """A passage in many contexts: no group is far above the shard size, and no repeat is lost."""
+    rng = random.Random(length)
+    words = lambda n: " ".join(str(rng.randrange(10 ** 6)) for _ in range(n))
+    passage = words(120)[:length]
+    near = [words(30) for _ in range(12)]
+    texts = [words(35) + passage + words(35) for _ in range(300)]
+    texts += [rng.choice(near) + passage + rng.choice(near) for _ in range(100)]
+    texts += [near[0][-k:] + passage + near[1][:60 - k] for k in range(60)] + [passage * 4]
+    docs = list(enumerate(texts))
+    finder = repeats._shard_finder
+
+    def measured(least):
+        find = finder(least)
+
+        def run(rows):
+            size = sum(map(len, rows.column("bytes").to_pylist()))
+            (tmp_path / f"{rows.column('anchor')[0].as_py()}-{size}").touch()
+            return find(rows)
+        return run
+
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 20000)
+    monkeypatch.setattr(repeats, "_shard_finder", measured)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, repeats.digests(df).collect()), key=str) == expected(docs)
+    sizes = [int(f.name.split("-")[-1]) for f in tmp_path.iterdir()]
+    assert sizes and max(sizes) <= 2 * 20000
+
+
 def test_repeated_rows(spark):
     docs = [(1, "q" * 50 + str(list(range(100)))), (1, "q" * 50 + str(list(range(100)))), (None, "z" * 150)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
