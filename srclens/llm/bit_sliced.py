@@ -12,19 +12,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from srclens.llm.common import table
 from srclens.llm.vectors import best, block, grid, usable
 
 SCALE = 1024
-LIMIT = float(2**24)
 TOP = 10
 EVERY = 100
+LONG = 2**63 - 1
 
 
 def quantised(v: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """floor(scale * x) as integers, held to +-2^24 so that sums stay in a long."""
-    return np.clip(np.floor(v * scale), -LIMIT, LIMIT).astype(np.int64)
+    """floor(scale * x) as integers: longs, or Python's where one would not fit."""
+    with np.errstate(over="ignore"):
+        found = np.floor(v * scale)
+    if np.abs(found).max(initial=0) < 2.0**61:
+        return found.astype(np.int64)
+    whole = [int(f) if np.isfinite(f) else int(x) * scale for f, x in zip(found.ravel().tolist(), v.ravel().tolist())]
+    return np.array(whole, object).reshape(v.shape)
 
 
 def _bitmap(bits: np.ndarray) -> np.ndarray:
@@ -42,7 +48,8 @@ class Index:
         self.digits = max(1, int(np.abs(x).max(initial=0)).bit_length() + 1)
         self.offset = 1 << (self.digits - 1)
         shifted = (x + self.offset).T  # never negative
-        slices = np.stack([_bitmap((shifted >> d) & 1) for d in range(self.digits)], axis=1)
+        parts = [((shifted >> d) & (1 << 60) - 1).astype(np.int64) for d in range(0, self.digits, 60)]
+        slices = np.stack([_bitmap((parts[d // 60] >> d % 60) & 1) for d in range(self.digits)], axis=1)
         self.slices = np.stack([slices, ~slices])  # sign, attribute, digit, word
         self.all = _bitmap(np.ones(self.n, np.uint8))
 
@@ -71,7 +78,7 @@ class Index:
             out.append(x[0] if len(x) else np.zeros_like(self.all))
             w += 1
         over = (1 << self.digits) - 1 - self.offset
-        less = int(size[q >= 0].sum()) * self.offset + int(size[q < 0].sum()) * over
+        less = sum(size[q >= 0].tolist()) * self.offset + sum(size[q < 0].tolist()) * over
         return np.array(out).reshape(-1, len(self.all)), less
 
     def top(self, q: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, list[int]]:
@@ -104,7 +111,7 @@ class Index:
 
 
 def search_block(rows: pa.Table, queries: pa.Table, k: int, scale: int) -> pa.Table:
-    """The k best rows of one block for each query of one block."""
+    """The k best rows of one block for each query of one block; a score below all longs is null."""
     ids, v = block(rows)
     asked, w = block(queries)
     out: list[tuple] = []
@@ -114,7 +121,9 @@ def search_block(rows: pa.Table, queries: pa.Table, k: int, scale: int) -> pa.Ta
         for i, q in enumerate(quantised(w, scale)):
             own = int(at[i]) if at[i] < len(ids) and ids[at[i]] == asked[i] else None
             places, scores = index.top(q, k, own)
-            out += [(int(asked[i]), int(ids[p]), s) for p, s in zip(places, scores)]
+            if max(scores, default=0) > LONG:
+                raise OverflowError(f"score {max(scores)} of query {asked[i]} does not fit a long")
+            out += [(int(asked[i]), int(ids[p]), s if s >= -LONG - 1 else None) for p, s in zip(places, scores)]
     columns = list(zip(*out)) or [(), (), ()]
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
@@ -125,11 +134,13 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = TOP, scale: int = SCA
     Rows whose id is divisible by ``every`` are queries; candidates are all other
     rows of the same dimension.  Vectors null or holding null or non-finite
     components take no part; rows with one id count once (``vectors.usable``);
-    components beyond 2^24 after scaling are held there.  No rows: no result rows.
+    a score among the k largest that does not fit a long is an error.  No rows: no
+    result rows.
     """
     found = grid(usable(vectors), every).applyInArrow(
         lambda rows, queries: search_block(rows, queries, k, scale), "query_id long, vec_id long, score long")
-    return best(found, k)
+    low = F.raise_error(F.lit("a score does not fit a long")).cast("long")  # nulls are last: no better rows
+    return best(found, k).withColumn("score", F.coalesce("score", low))
 
 
 def op4_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,26 @@ def test_bit_sliced(spark, monkeypatch, levels):
     assert got(bit_sliced.top_k(spark.createDataFrame(rows, SCHEMA), 10)) == brute(rows, 10, 10, inner, True)
 
 
+@pytest.mark.parametrize("large", [20000.5, 1e15, 3e30])
+def test_bit_sliced_large_components(spark, large):
+    """Components are not held at a limit; scores that no query returns may exceed a long."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(c)) for c in v], 0, 0.5, 1, "x") for i, v in enumerate(rng.normal(size=(60, 4)))]
+    for i in range(0, 60, 10):  # most queries do not see the large component
+        rows[i][1][3] = 0.0
+    for i, x in ((3, large), (4, large), (5, 0.9 * large), (7, -17000.0), (8, -30000.0), (10, -0.5)):
+        rows[i][1][3] = float(np.float32(x))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(bit_sliced.top_k(df, 10)) == brute(rows, 10, 10, inner, True)
+
+
+def test_bit_sliced_score_beyond_a_long(spark):
+    for other in (1e15, -1e15):
+        rows = [(0, [1e15], 0, 0.5, 1, "x"), (7, [other], 0, 0.5, 1, "x")]
+        with pytest.raises(Exception, match="not fit a long"):
+            bit_sliced.top_k(spark.createDataFrame(rows, SCHEMA), 10).collect()
+
+
 @pytest.mark.parametrize("levels", [None, 1])
 def test_block_join(spark, monkeypatch, levels):
     monkeypatch.setattr(vectors, "ROWS_PER_BLOCK", 100)
