@@ -253,19 +253,10 @@ def _block_comparer(words: int, similarity: float):
     return compare
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links) for each row of ``docs`` (doc_id, text).
-
-    A class holds the documents connected by links; its id is the least doc_id.
-    ``n_links``: the other documents whose shingle set has a Jaccard similarity of
-    at least ``similarity``, copies included.  Words are runs without ASCII white
-    space, lower-cased in A-Z; a text of fewer than ``words`` words is one shingle.
-    Texts without words (null, empty, blank) equal each other and nothing else.
-    A row without an id stands alone: class null, no links.
-    """
-    bounded_batches(docs.sparkSession)
+def _classes(rows: DataFrame, similarity: float, words: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rid, ...) of each row with an id, rid its shingle set; (rid, root, class_id, n_links) of each set."""
+    bounded_batches(rows.sparkSession)
     runs = -math.log(1 - recall)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = rows.where("doc_id IS NOT NULL")
     signed = written(known.mapInArrow(
         _signer(words, similarity, runs), "doc_id long, rid long, n long, picks array<long>"))
@@ -321,20 +312,57 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         "rid", F.coalesce("root", "rid").alias("root"), "doc",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least = found.groupBy("root").agg(F.min("doc").alias("class_id"))
-    classes = written(found.join(least, "root").select("rid", "class_id", "n_links"))
+    return signed, written(found.join(least, "root").select("rid", "root", "class_id", "n_links"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links) for each row of ``docs`` (doc_id, text).
+
+    A class holds the documents connected by links; its id is the least doc_id.
+    ``n_links``: the other documents whose shingle set has a Jaccard similarity of
+    at least ``similarity``, copies included.  Words are runs without ASCII white
+    space, lower-cased in A-Z; a text of fewer than ``words`` words is one shingle.
+    Texts without words (null, empty, blank) equal each other and nothing else.
+    A row without an id stands alone: class null, no links.
+    """
+    rows = _rows(docs)
+    signed, classes = _classes(rows, similarity, words, recall)
     alone = rows.where("doc_id IS NULL").select(
         "doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return signed.select("doc_id", "rid").join(classes, "rid").select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that have the least id of their class, columns unchanged, each once.
+    """One document of each class, columns unchanged: a row with its least id, of that id's sets the least one.
 
-    Rows without an id are kept.
+    Rows that share an id but not their shingle set may stand for two classes; both
+    stay then.  Rows without an id are kept.
     """
-    kept = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id IS NULL"))
+    place = docs.columns.index("text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [identity(tokens, bounds) for _, tokens, bounds in shingle_sets(
+                *text_bytes(batch.column(place).cast(pa.string())), WORDS)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.concatenate(found or [np.zeros(0, np.int64)]))], [*batch.schema.names, "__rid"])
+
+    signed, classes = _classes(_rows(docs), SIMILARITY, WORDS, RECALL)
+    first = signed.select("doc_id", "rid").join(classes, "rid").where("doc_id = class_id").groupBy("root").agg(
+        F.min(F.struct("doc_id", "rid")).alias("one")).select("one.*")
+    times = signed.groupBy("doc_id").agg((F.count("*") > 1).alias("several"))
+    kept = written(first.join(times, "doc_id").select(
+        F.col("doc_id").alias("kept_id"), F.col("rid").alias("kept_rid"), "several"))
+    same = F.col("doc_id").cast("long") == F.col("kept_id")
+    single = docs.join(kept.where("NOT several"), same, "left_semi")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    shared = docs.join(kept.where("several"), same, "left_semi").mapInArrow(sets, fields + ", `__rid` bigint").join(
+        kept, same & (F.col("__rid") == F.col("kept_rid")), "left_semi").dropDuplicates(["doc_id", "__rid"]).drop("__rid")
+    return single.unionByName(shared).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,16 @@ def test_keep_one(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, want))
 
 
+def test_keep_one_of_shared_ids(spark):
+    """Both texts of an id stay when they stand for two classes; copies and near copies go."""
+    text, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(4, text), (4, other), (4, other), (5, text), (6, other + " end"), (7, "alone"), (8, text), (8, "only here"),
+            (9, None), (9, "more")]
+    kept = cp.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [
+        (4, text), (4, other), (7, "alone"), (8, "only here"), (9, None), (9, "more")]))
+
+
 def test_no_rows(spark):
     assert got(cp.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))) == {}
 
