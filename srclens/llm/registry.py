@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 from srclens.llm import (
-    bit_sliced, block_join, chosen_path, context_tree, mixing, packing, quality, quotes, repeats, warc)
+    alignment, bit_sliced, block_join, chosen_path, context_tree, mixing, packing, quality, quotes, repeats, warc)
 
-MODULES = (quotes, mixing, warc, bit_sliced, chosen_path, quality, context_tree, repeats, block_join, packing)
+MODULES = (
+    quotes, mixing, warc, bit_sliced, chosen_path, quality, context_tree, repeats, block_join, packing, alignment)
 
 
 def queries() -> dict:
