@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm.common import prefix_sums, substrings, table, text_bytes, written
+from srclens.llm.common import bounded_batches, prefix_sums, substrings, table, text_bytes, written
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_BYTES = 6 << 20  # texts that share a block's pairs; a longer text is a block of its own
@@ -272,6 +272,7 @@ def _block(known: Aligner, number: int, ids: list, texts: list[bytes]) -> pa.Rec
 
 def blocks(docs: DataFrame, a: str = A_VOCABULARY, b: str = B_VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents in blocks of bounded bytes, with their groups, links and units."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = aligner(a, b), TaskContext.get().partitionId() << 32
