@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 from srclens.llm import (
-    alignment, bit_sliced, block_join, chosen_path, context_tree, mixing, multi_index, packing, quality, quotes, repeats, warc)
+    alignment, bit_sliced, block_join, chosen_path, context_tree, conversations, mixing, multi_index, packing, quality,
+    quotes, repeats, warc)
 
 MODULES = (
     quotes, mixing, warc, bit_sliced, chosen_path, quality, context_tree, repeats, block_join, packing, alignment,
-    multi_index)
+    multi_index, conversations)
 
 
 def queries() -> dict:
