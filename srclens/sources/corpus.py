@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from srclens.functions.text import base_name, byte_view
 from srclens.operators.gate import MAX_FILE_BYTES, TOO_BIG
+from srclens.sources import tree
 
 PHP_GLOB = "*.[pP][hH][pP]"
 HIDDEN_NAME = "nom caché, non lu par la source"
@@ -53,12 +54,29 @@ def all_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = PHP_GLOB,
-               max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+               max_bytes: int | None = MAX_FILE_BYTES, in_tasks: bool | None = None) -> DataFrame:
     """A corpus from a directory tree: a row for every file, none left out.
 
-    ``error`` says why a file has no body: it is larger than ``max_bytes`` (found by a
-    predicate on ``length``, so it is not opened), or its name begins with ``_`` or
-    ``.`` and Spark's file source does not open it.  An empty file has an empty body.
+    The tree is listed and its files are opened in tasks (``tree``): hidden names and
+    empty files are read like any other.  ``error`` says why a file has no body: it is
+    larger than ``max_bytes`` and was not opened, it is gone since it was listed, or
+    it cannot be read.  A store that only Spark reaches (``in_tasks`` False; found out
+    when not given) is read by ``read_by_source`` instead.
+    """
+    if in_tasks is None:
+        in_tasks = tree.reachable(path)
+    if not in_tasks:
+        return read_by_source(spark, path, glob, max_bytes)
+    return from_read(tree.read_listed(tree.list_tree(spark, path, glob), max_bytes))
+
+
+def read_by_source(spark: SparkSession, path: str, glob: str | None = PHP_GLOB,
+                   max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+    """The same by Spark's file source, listed by the driver.
+
+    Files over ``max_bytes`` are found by a predicate on ``length`` and not opened.
+    Names that begin with ``_`` or ``.`` have a reason, as the source does not open
+    them; a file that vanishes after the listing ends the job.
     """
     read = from_binary(_binary(spark.read, path, glob, True), max_bytes)
     left_out = all_files(spark, path, glob).join(list_files(spark, path, glob).select("path"), "path", "left_anti")
@@ -67,12 +85,17 @@ def read_files(spark: SparkSession, path: str, glob: str | None = PHP_GLOB,
     return read.unionByName(rows)
 
 
+def from_read(rows: DataFrame) -> DataFrame:
+    """A corpus from ``tree.read_listed``: rows without content keep their reason."""
+    return _file_columns(rows, byte_view(F.col("content")), F.col("error"))
+
+
 def stream_files(spark: SparkSession, path: str, glob: str | None = PHP_GLOB,
                  max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
     """The same corpus as a stream of newly landed files.
 
-    The file source of a stream does not see empty files and hidden names; a batch
-    run over ``read_files`` has them.
+    The file source of a stream does not see empty files and hidden names;
+    ``streaming.batches.FileStream`` brings them in.
     """
     reader = spark.readStream.schema(BINARY_FILE)
     return from_binary(_binary(reader, path, glob, True), max_bytes)

@@ -28,6 +28,7 @@ from srclens.operators.catalog import DEFAULT_PACKS
 from srclens.operators.report import reports_of
 from srclens.operators.rollup import Packs, overview_of, run_summary_of, total_in_hits
 from srclens.operators.scan import issues_of, with_hits
+from srclens.sources import tree
 
 TABLES = ("scan", "issues", "files", "summary")
 
@@ -187,21 +188,26 @@ def purge_directory(spark: SparkSession, directory: str, target: str) -> DataFra
     if target not in PURGE_TARGETS:
         raise StoreError(INVALID_TARGET, target)
     where = f"{directory.rstrip('/')}/{target}"
-    rows = [(f"{target}/{name}", size) for name, size in _regular_files(spark, where)]
-    listed = spark.createDataFrame(rows, "path STRING, size LONG")
-    return listed.where(~F.startswith(base_name(F.col("path")), F.lit("."))).select(
-        F.lit(target).alias("target"), "path", "size")
+    if not _exists(spark, where):
+        raise StoreError(DIRECTORY_NOT_FOUND, where)
+    if tree.reachable(where):
+        listed = tree.list_directory(spark, where)
+    else:  # a store that only Spark reaches: a plain listing, made by the driver
+        listed = spark.createDataFrame(_regular_files(spark, where), "path STRING, length LONG")
+    name = base_name(F.col("path"))
+    return listed.where(~F.startswith(name, F.lit("."))).select(
+        F.lit(target).alias("target"), F.concat(F.lit(f"{target}/"), name).alias("path"), F.col("length").alias("size"))
 
 
-def _regular_files(spark: SparkSession, where: str) -> list[tuple[str, int]]:
-    """Names and sizes of the files directly in a directory, empty ones and any name included.
+def _exists(spark: SparkSession, where: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
-    A plain listing: Spark's readers leave out empty files and names with ``_``.
-    """
+
+def _regular_files(spark: SparkSession, where: str) -> list[tuple[str, int]]:
+    """Names and sizes of the files directly in a directory, empty ones and any name included."""
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        raise StoreError(DIRECTORY_NOT_FOUND, where)
     return [(s.getPath().getName(), s.getLen()) for s in system.listStatus(path) if s.isFile()]
 
 

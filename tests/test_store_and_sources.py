@@ -36,12 +36,12 @@ def tree(tmp_path):
     return tmp_path
 
 
-def test_read_files(spark, tree):
+def test_read_by_source(spark, tree):
     (tree / "_b.php").write_text("<?php")
     (tree / ".c.php").write_text("<?php")
     (tree / "__tests__").mkdir()
     (tree / "__tests__" / "a.php").write_text("<?php")
-    files = read_files(spark, str(tree))
+    files = read_files(spark, str(tree), in_tasks=False)
     rows = {r.original_name: r for r in files.collect()}
     sizes = {**{n: len(t.encode()) for n, t in TEXTS.items()}, "UPPER.PHP": 14, "big.php": 5 * 1024 * 1024 + 1,
              "_b.php": 5, ".c.php": 5, "a.php": 5}
