@@ -27,9 +27,10 @@ def reports_of(scanned: DataFrame, packs: Packs = DEFAULT_PACKS,
                per_part: int = ISSUES_PER_PART) -> DataFrame:
     """``file_id, part, parts`` and the fields of a file report.
 
-    Built inside the file's row: no grouping, no shuffle.  Input order is kept
-    as ``file_id``; sort by it (and ``part``) when presenting a report.
+    Built inside the file's row: no grouping, no shuffle.  Files that carry their
+    ``ordinal`` keep it; sort by it (else by ``file_id``) and ``part`` to present a report.
     """
+    own = [c for c in ("file_id", "ordinal") if c in scanned.columns]
     reason = F.col("error") if "error" in scanned.columns else None
     hits, readable = F.col("hits"), F.col("hits").isNotNull()
 
@@ -39,7 +40,7 @@ def reports_of(scanned: DataFrame, packs: Packs = DEFAULT_PACKS,
     metrics = metric_columns(packs, total_in_hits)
     ordered = ordered_hits(hits, reason)
     heads = scanned.select(
-        "file_id", F.col("original_name").alias("name"), "path",
+        *own, F.col("original_name").alias("name"), "path",
         status_of(~readable, metrics["errors"] > 0, metrics["warnings"] > 0).alias("status"),
         compliance_array(packs, readable, total_in_hits).alias("psr_compliance"),
         if_readable(migration_columns(packs, total_in_hits)).alias("migration_summary"),
@@ -50,10 +51,10 @@ def reports_of(scanned: DataFrame, packs: Packs = DEFAULT_PACKS,
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda i: F.slice(F.col("ordered"), i * per_part + 1, F.lit(per_part)))
     parts = heads.select(
-        "file_id", "parts", "name", "path", "status", "psr_compliance", "migration_summary",
+        *own, "parts", "name", "path", "status", "psr_compliance", "migration_summary",
         "metrics", F.posexplode(cut).alias("part", "hits"))
     return parts.select(
-        "file_id", "part", "parts", "name", "path", "status", rendered_issues(packs).alias("issues"),
+        *own, "part", "parts", "name", "path", "status", rendered_issues(packs).alias("issues"),
         "psr_compliance", "migration_summary", "metrics")
 
 
@@ -61,4 +62,5 @@ def report_json(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
     """File reports as JSON text (fields without a value are left out)."""
     reports = file_reports(files, packs)
     fields = [F.col(f) for f in schemas.FILE_REPORT.fieldNames()]
-    return reports.select("file_id", "part", "parts", F.to_json(F.struct(*fields)).alias("report"))
+    own = [c for c in ("file_id", "ordinal") if c in reports.columns]
+    return reports.select(*own, "part", "parts", F.to_json(F.struct(*fields)).alias("report"))

@@ -86,9 +86,10 @@ def file_overview(files: DataFrame, packs: Packs = DEFAULT_PACKS) -> DataFrame:
 def overview_of(found: DataFrame, packs: Packs = DEFAULT_PACKS, total: Total = total_of) -> DataFrame:
     """The overview of files that carry their rule counts (or, with ``total_in_hits``, their hits)."""
     metrics = metric_columns(packs, total)
-    totals = found.select("file_id", "original_name", *[c.alias(n) for n, c in metrics.items()])
+    own = [c for c in ("file_id", "ordinal", "original_name") if c in found.columns]
+    totals = found.select(*own, *[c.alias(n) for n, c in metrics.items()])
     status = status_of(F.col("total_issues").isNull(), F.col("errors") > 0, F.col("warnings") > 0)
-    return totals.select("file_id", "original_name", status.alias("status"), *METRICS)
+    return totals.select(*own, status.alias("status"), *METRICS)
 
 
 def run_summary_of(statuses: DataFrame) -> DataFrame:

@@ -260,13 +260,18 @@ def _issue_fields(hit: Column, packs: tuple[RulePack, ...]) -> dict[str, Column]
     return {name: fields[name].alias(name) for name in ISSUE_COLUMNS}
 
 
+def kept_columns(files: DataFrame) -> tuple[str, ...]:
+    """What issue rows carry of their file: its id, and its place in the input where it has one."""
+    return tuple(c for c in ("file_id", "ordinal") if c in files.columns)
+
+
 def issues_of(scanned: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *keep: str,
               failures: bool = True) -> DataFrame:
     """Issue rows of files that carry their ``hits`` (from ``with_hits`` or a stored scan).
 
     Without ``failures`` unreadable files give no row.
     """
-    keep = keep or ("file_id",)
+    keep = keep or kept_columns(scanned)
     reason = F.col("error") if failures and "error" in scanned.columns else None
     # Exploding an expression (not the bare column) keeps the optimizer from
     # adding a size filter below, which would evaluate every rule a second time.
@@ -289,7 +294,7 @@ def issue_rows(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *k
     per rule and memory does not grow with the hits of a file, whatever its size.
     The report order within a file is (step, line, number).
     """
-    keep = keep or ("file_id",)
+    keep = keep or kept_columns(files)
     reason = F.lit(UNREADABLE)
     if "error" in files.columns:
         reason = F.coalesce(F.col("error"), reason)

@@ -12,6 +12,7 @@ from srclens.operators.rules import fixed_values as fixed
 from srclens.operators.rules.base import FALLBACK, FILE, split_template
 from srclens.operators.scan import ISSUE_COLUMNS, UNREADABLE
 from srclens.plans import rendered
+from srclens.sources import tree
 
 RULES = {r.number: r for p in DEFAULT_PACKS for r in p.rules}
 ANALYZER = {r.number: p.name for p in DEFAULT_PACKS for r in p.rules}
@@ -559,3 +560,55 @@ def rule_pack(files_sql: str) -> str:
 
 def report_replaced(files_sql: str) -> str:
     return f"SELECT * FROM ({all_issues(files_sql)}) WHERE file_id % 2 = 0"
+
+
+_HIDDEN = "CASE file_id % 10 WHEN 1 THEN '_' WHEN 2 THEN '.' ELSE '' END"
+
+
+def read_tree(files_sql: str) -> str:
+    """Files of the landed tree: every seventh is gone before it is read, large ones are not opened."""
+    return (f"WITH corpus AS ({files_sql}), landed AS (SELECT {_HIDDEN} || original_name AS original_name, file_id, src, "
+            "CAST(strlen(src) AS BIGINT) AS size FROM corpus WHERE src IS NOT NULL), judged AS (SELECT *, "
+            f"CASE WHEN size > {rendered.READ_LIMIT} THEN {quoted(gate.TOO_BIG)} WHEN file_id % 7 = 3 THEN "
+            f"{quoted(tree.GONE)} END AS error FROM landed) SELECT original_name, size, error, "
+            "CASE WHEN error IS NULL THEN CAST(len(string_split(src, chr(10))) AS INTEGER) END AS n_lines FROM judged")
+
+
+def failed_reads(files_sql: str) -> str:
+    severity, rule, message = fixed.ANALYSIS_ERROR
+    return (f"SELECT original_name, {quoted(severity)} AS severity, {quoted(rule)} AS rule, {quoted(message)} || error AS message, "
+            f"CAST(0 AS BIGINT) AS line FROM ({read_tree(files_sql)}) WHERE error IS NOT NULL")
+
+
+def file_ordinals(files_sql: str) -> str:
+    return (f"SELECT file_id, original_name, row_number() OVER (ORDER BY original_name, file_id) AS ordinal "
+            f"FROM ({files_sql})")
+
+
+def in_order(files_sql: str, rows_sql: str) -> str:
+    """Rows of files with the place of their file by name."""
+    return (f"SELECT r.*, o.ordinal FROM ({rows_sql}) r "
+            f"JOIN (SELECT file_id, ordinal FROM ({file_ordinals(files_sql)})) o ON r.file_id = o.file_id")
+
+
+def every_file(files_sql: str) -> str:
+    """Who brings each file: hidden names and directories and empty files come by reconciling."""
+    metrics = "total_issues, errors, warnings, info, migration_suggestions"
+    return (f"WITH own AS ({files_sql}), landed AS (SELECT file_id, {_HIDDEN} AS hidden, src FROM own WHERE src IS NOT NULL), "
+            "renamed AS (SELECT o.file_id, l.hidden || o.original_name AS original_name, l.hidden || o.original_name AS stored_name, "
+            "o.src FROM own o JOIN landed l ON o.file_id = l.file_id) "
+            "SELECT CASE WHEN l.hidden <> '' OR l.file_id % 9 = 0 OR l.src = '' THEN 'r-' ELSE 's-' END || (l.file_id % 2) AS batch_id, "
+            f"x.original_name, x.status, {', '.join('x.' + m.strip() for m in metrics.split(','))} "
+            f"FROM ({file_overview('SELECT * FROM renamed')}) x JOIN landed l ON x.file_id = l.file_id")
+
+
+def batch_reports(files_sql: str) -> str:
+    """One batch: per file its status and metrics, standards, migration grade and number of issue rows."""
+    return (f"SELECT 's-0' AS batch_id, f.* EXCLUDE (original_name), c.compliant_standards, c.standard_issues, "
+            "m.total_suggestions, m.complexity, i.issue_rows, s.total_files "
+            f"FROM ({file_overview(files_sql)}) f "
+            "LEFT JOIN (SELECT file_id, CAST(count_if(compliant) AS BIGINT) AS compliant_standards, CAST(sum(issues_count) AS BIGINT) AS standard_issues "
+            f"FROM ({psr_compliance(files_sql)}) GROUP BY file_id) c ON f.file_id = c.file_id "
+            f"LEFT JOIN ({migration_summary(files_sql)}) m ON f.file_id = m.file_id "
+            f"LEFT JOIN (SELECT file_id, count(*) AS issue_rows FROM ({all_issues(files_sql)}) GROUP BY file_id) i ON f.file_id = i.file_id "
+            f"CROSS JOIN ({run_summary(files_sql)}) s")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srclens.functions import text
@@ -13,9 +13,11 @@ from srclens.operators.catalog import DEFAULT_PACKS, all_rules, only, register_p
 from srclens.operators.rules.base import FALLBACK, LINE, Rule, RulePack, groups, match
 from srclens.plans import oracles, rendered
 from srclens.session import shared_folder
-from srclens.sources import store
-from srclens.sources.corpus import from_table, spread
+from srclens.operators.ordinal import with_ordinal
+from srclens.sources import store, tree
+from srclens.sources.corpus import from_read, from_table, spread
 from srclens.streaming import lint_stream
+from srclens.streaming.batches import BatchStore, FileStream, write_batch_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -227,6 +229,72 @@ def _batch_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/batches").withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
+def _landed_tree(files: DataFrame, root: str) -> None:
+    """Part files as real files in directories; some names and directories are hidden, null bodies stay away."""
+    k = F.col("file_id")
+    hidden = F.when(k % 10 == 1, "_").when(k % 10 == 2, ".").otherwise("")
+    folder = F.concat(F.when(k % 9 == 0, "__d").otherwise("d"), (k % 8).cast("string"), F.lit("/"))
+    rows = files.where(F.col("body").isNotNull()).select(
+        F.concat(folder, hidden, "original_name").alias("path"), F.encode("body", "ISO-8859-1").alias("content"))
+    tree.land_files(rows, root).write.format("noop").mode("overwrite").save()
+
+
+def _part_number(name: str) -> Column:
+    return F.regexp_extract(name, r"(\d+)\.php$", 1).cast("long")
+
+
+def _read_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land the parts, list them, remove some, read all that was listed; large ones are not opened."""
+    root = shared_folder(spark)
+    _landed_tree(part_files(spark, sf_dir), root)
+    listed = tree.list_tree(spark, root)
+    gone = listed.where(_part_number("path") % 7 == 3)
+    tree.remove_files(gone).write.format("noop").mode("overwrite").save()
+    files = from_read(tree.read_listed(listed, rendered.READ_LIMIT))
+    lines = F.when(F.col("body").isNotNull(), F.size(scan.split_lines(F.col("body"))))
+    return files.select("original_name", "size", "error", lines.alias("n_lines"))
+
+
+def _failed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failure rows of the files that could not be read."""
+    rows = _read_tree(spark, sf_dir).where("error IS NOT NULL")
+    files = rows.select(F.col("original_name").alias("file_id"), "original_name", F.lit(None).cast("string").alias("body"), "error")
+    return scan.failed_files(files).where("analyzer = 'run'").select("original_name", "severity", "rule", "message", "line")
+
+
+def _every_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two waves of files, each taken by a stream that starts anew and a reconciling run."""
+    root = shared_folder(spark)
+    found = BatchStore(spark, f"{root}/reports")
+    files = part_files(spark, sf_dir)
+    for wave in (0, 1):
+        _landed_tree(files.where(F.col("file_id") % 2 == wave), f"{root}/in")
+        stream = FileStream(spark, f"{root}/in", found, f"{root}/checkpoint")
+        stream.start(available_now=True).awaitTermination()
+        stream.reconcile()
+        stream.reconcile()  # nothing is left
+    return found.read("files").select("batch_id", "original_name", "status", *rollup.METRICS)
+
+
+def _batch_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file what the committed batches hold: status, metrics, compliance, migration, size of the batch."""
+    root = shared_folder(spark)
+    found = BatchStore(spark, f"{root}/reports")
+    write_batch_reports(_landed_parts(spark, sf_dir), found, f"{root}/checkpoint", available_now=True).awaitTermination()
+    standards = found.read("compliance").groupBy("batch_id", "file_id").agg(
+        F.count_if("compliant").alias("compliant_standards"), F.sum("issues_count").alias("standard_issues"))
+    hints = found.read("migration").select("batch_id", "file_id", "total_suggestions", "complexity")
+    listed = found.read("issues").groupBy("batch_id", "file_id").agg(F.count("*").alias("issue_rows"))
+    out = found.read("files").drop("original_name")
+    for part in (standards, hints, listed):
+        out = out.join(part, ["batch_id", "file_id"], "left")
+    return out.join(found.read("summary").select("batch_id", "total_files"), "batch_id")
+
+
+def _in_order(operator) -> Query:
+    return lambda spark, sf_dir: operator(with_ordinal(part_files(spark, sf_dir), "original_name"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for rule in all_rules(DEFAULT_PACKS):
@@ -236,6 +304,9 @@ def queries() -> dict[str, Query]:
         "scan_corpus": _over(part_files, _scan_corpus),
         "scan_corpus_documents": _over(document_files, _scan_corpus),
         "scan_lines": _over(document_files, _scan_lines),
+        "read_tree": _read_tree,
+        "failed_reads": _failed_reads,
+        "file_ordinals": _in_order(lambda f: f.select("file_id", "original_name", "ordinal")),
         # gate
         "validate_files": _over(uploads, lambda up: gate.validate_files(up).select(
             "upload_id", "original_name", "status", "size", "error")),
@@ -258,6 +329,8 @@ def queries() -> dict[str, Query]:
         "all_issues_documents": _over(document_files, scan.issues),
         "all_issues_pages": _over(page_files, scan.issues),
         "all_issues_conversations": _over(conversation_files, scan.issues),
+        "issues_in_order": _in_order(scan.issues),
+        "overview_in_order": _in_order(rollup.file_overview),
         "issue_rows": _over(part_files, scan.issue_rows),
         "issue_rows_documents": _over(document_files, scan.issue_rows),
         "failed_files": _over(part_files, scan.failed_files),
@@ -299,6 +372,8 @@ def queries() -> dict[str, Query]:
         "stream_compliance": _streamed(lint_stream.compliance_stream),
         "stream_migration": _streamed(_migration_summary),
         "stream_batches": _batch_summaries,
+        "stream_batch_reports": _batch_reports,
+        "stream_every_file": _every_file,
         "stream_summary": _streamed(lint_stream.overview_stream, rollup.run_summary_of),
     }
     return out
@@ -312,6 +387,11 @@ def oracle_sql() -> dict[str, str]:
         "scan_corpus": oracles.scan_corpus(parts),
         "scan_corpus_documents": oracles.scan_corpus(docs),
         "scan_lines": oracles.SCAN_LINES,
+        "read_tree": oracles.read_tree(parts),
+        "failed_reads": oracles.failed_reads(parts),
+        "file_ordinals": oracles.file_ordinals(parts),
+        "issues_in_order": oracles.in_order(parts, oracles.all_issues(parts)),
+        "overview_in_order": oracles.in_order(parts, oracles.file_overview(parts)),
         "validate_files": oracles.VALIDATE,
         "rejected_files": oracles.REJECTS,
         "validate_client": oracles.CLIENT,
@@ -364,6 +444,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_summary": oracles.run_summary(parts),
         "stream_compliance": oracles.psr_compliance(parts),
         "stream_migration": oracles.migration_summary(parts),
+        "stream_batch_reports": oracles.batch_reports(parts),
+        "stream_every_file": oracles.every_file(parts),
         "stream_batches": f"SELECT CAST(0 AS BIGINT) AS batch_id, * FROM ({oracles.run_summary(parts)})",
     }
     return out

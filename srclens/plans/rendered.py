@@ -103,6 +103,9 @@ def _piece(condition: str | None, lines: str) -> str:
 
 _BODY = "concat(" + ",\n    ".join(_piece(c, t) for c, t in _LINES) + ")"
 
+# Files of the rendered tree that are larger are not opened.
+READ_LIMIT = 1200
+
 _CLEAN = "<?php\n\ndeclare(strict_types=1);\n\nnamespace Parts\\Clean;\n\n// «p_name», «p_brand»\nreturn [];\n"
 _TALKS = _CLEAN + "// echo «p_retailprice»\n"
 

@@ -83,8 +83,8 @@ def save_report(files: DataFrame, root: str, run: str, packs: Packs = DEFAULT_PA
         raise StoreError(MISSING_REPORT_ID, run)
     spark = files.sparkSession
     scanned = with_hits(files, packs)
-    reason = ["error"] if "error" in files.columns else []
-    scanned = scanned.select("file_id", "original_name", "path", *reason, "hits")
+    more = [c for c in ("ordinal", "error") if c in files.columns]
+    scanned = scanned.select("file_id", "original_name", "path", *more, "hits")
     _write(scanned, root, "scan", run)
     scanned = spark.read.schema(scanned.schema).parquet(_folder(root, "scan", run))
     _write(issues_of(scanned, packs), root, "issues", run)
@@ -121,7 +121,7 @@ def read_nested(spark: SparkSession, root: str, run: str) -> DataFrame:
     if not run:
         raise StoreError(MISSING_REPORT_ID)
     schema = T.StructType([
-        T.StructField("file_id", T.StringType()), T.StructField("part", T.IntegerType()),
+        T.StructField("file_id", T.StringType()), T.StructField("ordinal", T.LongType()), T.StructField("part", T.IntegerType()),
         T.StructField("parts", T.IntegerType()), *schemas.FILE_REPORT.fields,
         T.StructField("report_id", T.StringType())])
     try:
