@@ -43,6 +43,15 @@ def total_in_hits(numbers: list[int]) -> Column:
                   f"CAST(size(filter(hits.number, x -> x IN ({listed}))) AS BIGINT), NULL)")
 
 
+def total_in_map(numbers: list[int]) -> Column:
+    """The same from a map ``counts`` of rule number to hits; null for an unreadable file."""
+    if not numbers:
+        return F.lit(0).cast("long")
+    listed = ", ".join(map(str, numbers))
+    return F.expr(f"IF(counts IS NOT NULL, aggregate(map_values(map_filter(counts, (k, v) -> k IN ({listed}))), "
+                  "CAST(0 AS BIGINT), (a, v) -> a + v), NULL)")
+
+
 def _severity(packs: Packs, severity: str) -> list[int]:
     return numbers_where(packs, lambda r: r.severity == severity)
 

@@ -280,6 +280,11 @@ def issues_of(scanned: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *
     return hits.select(*keep, (F.col("pos") + 1).alias("seq"), *_issue_columns(packs))
 
 
+def issue_fields(packs: tuple[RulePack, ...]) -> tuple[Column, ...]:
+    """The issue columns over a column named ``hit``."""
+    return _issue_columns(packs)
+
+
 def issues(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *keep: str,
            failures: bool = True) -> DataFrame:
     """The flat issue table: one row per issue, ``seq`` is the report order within a file."""
@@ -290,11 +295,23 @@ def issue_rows(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *k
                failures: bool = True) -> DataFrame:
     """The issues as a stream of rows: ``step`` and ``number`` with the issue columns.
 
-    The lines are exploded before they are judged, so a row holds at most one hit
-    per rule and memory does not grow with the hits of a file, whatever its size.
     The report order within a file is (step, line, number).
     """
     keep = keep or kept_columns(files)
+    hits = hit_rows(files, packs, *keep, failures=failures)
+    return hits.select(*keep, "hit.step", "hit.number", *_issue_columns(packs))
+
+
+LINES_MARK = -1  # the number of a row that is no hit: its line is how many lines there are
+
+
+def hit_rows(files: DataFrame, packs: tuple[RulePack, ...], *keep: str, failures: bool = True,
+             mark_lines: bool = False) -> DataFrame:
+    """Columns to keep and ``hit``, one row per hit.
+
+    The lines are exploded before they are judged, so a row holds at most one hit
+    per rule and memory does not grow with the hits of a file, whatever its size.
+    """
     reason = F.lit(UNREADABLE)
     if "error" in files.columns:
         reason = F.coalesce(F.col("error"), reason)
@@ -302,6 +319,9 @@ def issue_rows(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *k
     rules = [r for p in packs for r in evaluated(p)]
     text = _file_text()
     whole = [F.when(r.hits(text), _hit(r, F.lit(1), text)) for r in rules if r.level == FILE]
+    if mark_lines:
+        whole.append(F.struct(F.lit(LINES_MARK).alias("step"), F.size("_lines").alias("line"),
+                              F.lit(LINES_MARK).alias("number"), F.lit(None).cast("array<string>").alias("captures")))
     for pack in packs:
         others = [r for r in evaluated(pack) if r.level != FALLBACK]
         whole += [F.when(~any_hit(others), _hit(r, F.lit(1), None)) for r in pack.rules if r.level == FALLBACK]
@@ -330,8 +350,7 @@ def issue_rows(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS, *k
         return F.when(test, _hit(rule, F.col("pos"), F.col("line")))
 
     found = F.array_compact(F.array(*[one(r) for r in line_rules])) if line_rules else none
-    hits = rows.select(*keep, F.explode(F.when(F.col("pos") == 0, F.col("hits")).otherwise(found)).alias("hit"))
-    return hits.select(*keep, "hit.step", "hit.number", *_issue_columns(packs))
+    return rows.select(*keep, F.explode(F.when(F.col("pos") == 0, F.col("hits")).otherwise(found)).alias("hit"))
 
 
 def failed_files(files: DataFrame, packs: tuple[RulePack, ...] = DEFAULT_PACKS) -> DataFrame:

@@ -13,6 +13,7 @@ from srclens.operators.catalog import DEFAULT_PACKS, all_rules, only, register_p
 from srclens.operators.rules.base import FALLBACK, LINE, Rule, RulePack, groups, match
 from srclens.plans import oracles, rendered
 from srclens.session import shared_folder
+from srclens.operators.assembly import Assembly
 from srclens.operators.ordinal import with_ordinal
 from srclens.sources import store, tree
 from srclens.sources.corpus import from_read, from_table, spread
@@ -354,6 +355,8 @@ def queries() -> dict[str, Query]:
         "visible_files": _over(part_files, lambda f: filters.visible_files(f, ACTIVE)),
         # reports and store
         "report_json": _over(part_files, report.report_json),
+        "report_json_by_ranges": _over(part_files, lambda f: report.as_json(Assembly(f, chunk=rendered.READ_LIMIT).reports())),
+        "issues_by_ranges_documents": _over(document_files, lambda f: Assembly(f).issues()),
         "report_lookup": _report_lookup("issues"),
         "report_lookup_summary": _report_lookup("summary"),
         "report_replaced": _report_replaced,
@@ -428,6 +431,8 @@ def oracle_sql() -> dict[str, str]:
         "filter_display": oracles.filtered(parts, oracles.display_filter(ACTIVE)),
         "visible_files": oracles.visible_files(parts, ACTIVE),
         "report_json": oracles.report_json(parts),
+        "report_json_by_ranges": oracles.report_json(parts),
+        "issues_by_ranges_documents": oracles.all_issues(docs),
         "report_lookup": oracles.all_issues(parts),
         "report_lookup_summary": oracles.run_summary(parts),
         "report_replaced": oracles.report_replaced(parts),

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from srclens import schemas
 from srclens.functions.text import base_name, report_id
+from srclens.operators.assembly import Assembly
 from srclens.operators.catalog import DEFAULT_PACKS
 from srclens.operators.report import reports_of
 from srclens.operators.rollup import Packs, overview_of, run_summary_of, total_in_hits
@@ -71,28 +72,41 @@ def _read(spark: SparkSession, root: str, table: str, run: str) -> DataFrame:
     return rows.where(F.col("report_id") == run)
 
 
+LARGE_TEXT = 1 << 20  # characters; the hits of a longer text are not held in one row
+
+
 def save_report(files: DataFrame, root: str, run: str, packs: Packs = DEFAULT_PACKS,
-                nested: bool = True) -> None:
+                nested: bool = True, large: int = LARGE_TEXT) -> None:
     """Scan ``files`` once and store the run ``run``; its summary is written last.
 
     The texts are read a single time: the scan itself (file and hits) is stored
-    first, and every other table is a projection of the stored scan.  A run of no
-    files or no issues is stored like any other.
+    first, and every other table is a projection of the stored scan.  Texts of more than
+    ``large`` characters are stored with it instead of their hits and go through
+    ``assembly``, chunk by chunk.  A run of no files or no issues is stored like any other.
     """
     if not RUN_ID.fullmatch(run):
         raise StoreError(MISSING_REPORT_ID, run)
     spark = files.sparkSession
-    scanned = with_hits(files, packs)
-    more = [c for c in ("ordinal", "error") if c in files.columns]
-    scanned = scanned.select("file_id", "original_name", "path", *more, "hits")
+    is_large = F.coalesce(F.length("body") > large, F.lit(False))
+    parted = files.withColumn("is_large", is_large).withColumns({
+        "large_body": F.when(F.col("is_large"), F.col("body")), "body": F.when(~F.col("is_large"), F.col("body"))})
+    more = [c for c in ("ordinal", "stored_name", "error") if c in files.columns]
+    scanned = with_hits(parted, packs).select("file_id", "original_name", "path", *more, "hits", "is_large", "large_body")
     _write(scanned, root, "scan", run)
     scanned = spark.read.schema(scanned.schema).parquet(_folder(root, "scan", run))
-    _write(issues_of(scanned, packs), root, "issues", run)
-    overview = overview_of(scanned, packs, total_in_hits)
-    _write(overview, root, "files", run)
+    small, rest = scanned.where("NOT is_large"), scanned.where("is_large")
+    tables = {"issues": issues_of(small, packs), "files": overview_of(small, packs, total_in_hits)}
     if nested:
-        _write(reports_of(scanned, packs), root, "json", run, "json")
-    stored = spark.read.schema(overview.schema).parquet(_folder(root, "files", run))
+        tables["json"] = reports_of(small, packs)
+    if not rest.isEmpty():
+        made = Assembly(rest.withColumnRenamed("large_body", "body"), packs)
+        tables["issues"] = tables["issues"].unionByName(made.issues())
+        tables["files"] = tables["files"].unionByName(made.overview())
+        if nested:
+            tables["json"] = tables["json"].unionByName(made.reports())
+    for table, rows in tables.items():
+        _write(rows, root, table, run, "json" if table == "json" else "parquet")
+    stored = spark.read.schema(tables["files"].schema).parquet(_folder(root, "files", run))
     _write(run_summary_of(stored), root, "summary", run)
 
 
