@@ -612,3 +612,26 @@ def batch_reports(files_sql: str) -> str:
             f"LEFT JOIN ({migration_summary(files_sql)}) m ON f.file_id = m.file_id "
             f"LEFT JOIN (SELECT file_id, count(*) AS issue_rows FROM ({all_issues(files_sql)}) GROUP BY file_id) i ON f.file_id = i.file_id "
             f"CROSS JOIN ({run_summary(files_sql)}) s")
+
+
+def rule_statistics(*corpora: str) -> str:
+    """Rule frequencies of several corpora, with the files each rule hits and the number of runs."""
+    rows = " UNION ALL ".join(f"SELECT * FROM ({rule_counts(c)})" for c in corpora)
+    named = " UNION ALL ".join(
+        f"SELECT {i} AS run, number, file_id FROM (WITH {corpus(c)},\n{hits()}\nSELECT DISTINCT number, file_id FROM hits)"
+        for i, c in enumerate(corpora))
+    return (f"WITH counted AS ({rows}), held AS (SELECT number, count(*) AS files FROM ({named}) GROUP BY number) "
+            "SELECT counted.number, analyzer, rule, severity, reachable, CAST(sum(hits) AS BIGINT) AS hits, "
+            "CAST(max(coalesce(files, 0)) AS BIGINT) AS files, "
+            f"CAST({len(corpora)} AS BIGINT) AS runs FROM counted LEFT JOIN held ON held.number = counted.number "
+            "GROUP BY ALL")
+
+
+def retention(files_sql: str, first: int, day: int, done: bool) -> str:
+    """Four daily runs; the oldest is beyond the last three and older than 60 hours."""
+    runs = (f"SELECT CAST({first} + d * {day} AS BIGINT) AS unix_time, "
+            f"count(f.file_id) AS total_files, CAST(4 - d AS BIGINT) AS place, d = 0 AS remove "
+            f"FROM range(4) r(d) LEFT JOIN ({files_sql}) f ON f.file_id % 4 = d GROUP BY d")
+    if not done:
+        return runs
+    return f"SELECT unix_time, total_files, 0 AS failures FROM ({runs}) WHERE NOT remove"

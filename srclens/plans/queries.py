@@ -230,6 +230,34 @@ def _batch_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/batches").withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
+def _stored_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics merged over two stored runs; texts are not read again."""
+    root = shared_folder(spark)
+    for i, files in enumerate((part_files, document_files)):
+        run = store.new_report_id(spark, RUN_TIME + i, "statistics")
+        store.save_report(files(spark, sf_dir), root, run, nested=False)
+    return store.rule_statistics(spark, root)
+
+
+DAY = 86_400
+
+
+def _retention(done: bool) -> Query:
+    """Four daily runs of a quarter of the parts each; those older than 60 hours go, but for the last three."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root, files = shared_folder(spark), part_files(spark, sf_dir)
+        for day in range(4):
+            name = store.new_report_id(spark, RUN_TIME + day * DAY, "retention")
+            store.save_report(files.where(F.col("file_id") % 4 == day), root, name, only(1, 37), nested=False)
+        plan = store.retention_plan(spark, root, RUN_TIME + 4 * DAY, max_age=60 * 3600, keep_last=3)
+        if not done:
+            return plan.drop("report_id")
+        failed = store.apply_retention(plan, root).where("error IS NOT NULL").count()
+        return store.runs_of(spark, root).select("unix_time", "total_files", F.lit(failed).alias("failures"))
+
+    return run
+
+
 def _landed_tree(files: DataFrame, root: str) -> None:
     """Part files as real files in directories; some names and directories are hidden, null bodies stay away."""
     k = F.col("file_id")
@@ -364,6 +392,9 @@ def queries() -> dict[str, Query]:
         "purge_plan": _purge("uploads", False),
         "purge_plan_reports": _purge("reports", False),
         "purge_summary": _purge("uploads", True),
+        "rule_statistics_stored": _stored_statistics,
+        "retention_plan": _retention(False),
+        "retention_done": _retention(True),
         # findings of external tools
         "normalize_fixer": _over(_findings(rendered.FIXER_FINDINGS), normalize.normalize_fixer),
         "normalize_stan": _over(_findings(rendered.STATIC_FINDINGS), normalize.normalize_static),
@@ -440,6 +471,9 @@ def oracle_sql() -> dict[str, str]:
         "purge_plan": oracles.purge_plan("uploads"),
         "purge_plan_reports": oracles.purge_plan("reports"),
         "purge_summary": oracles.purge_summary("uploads"),
+        "rule_statistics_stored": oracles.rule_statistics(parts, docs),
+        "retention_plan": oracles.retention(parts, RUN_TIME, DAY, False),
+        "retention_done": oracles.retention(parts, RUN_TIME, DAY, True),
         "normalize_fixer": oracles.FIXER,
         "normalize_stan": oracles.STATIC,
         "normalize_sniffer": oracles.SNIFFER,

@@ -5,6 +5,7 @@ Layout below the store's root::
     scan/report_id=.../*.parquet       one row per file with its hits
     issues/report_id=.../*.parquet     flat issue rows
     files/report_id=.../*.parquet      one row per file: status, metrics
+    rules/report_id=.../*.parquet      one row per rule: its hits, and the files it hits
     summary/report_id=.../*.parquet    one row per run
     json/report_id=.../*.json          nested file reports
 
@@ -16,6 +17,7 @@ last; a run without one is not there.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +27,15 @@ from pyspark.sql import types as T
 from srclens import schemas
 from srclens.functions.text import base_name, report_id
 from srclens.operators.assembly import Assembly
-from srclens.operators.catalog import DEFAULT_PACKS
+from srclens.operators.catalog import DEFAULT_PACKS, all_rules, rule_catalog
+from srclens.operators.ordinal import ordinals
 from srclens.operators.report import reports_of
-from srclens.operators.rollup import Packs, overview_of, run_summary_of, total_in_hits
+from srclens.operators.rollup import Packs, Total, overview_of, run_summary_of, total_in_hits, total_in_map
 from srclens.operators.scan import issues_of, with_hits
+from srclens.session import shared_folder
 from srclens.sources import tree
 
-TABLES = ("scan", "issues", "files", "summary")
+TABLES = ("scan", "issues", "files", "rules", "summary")
 
 # Outcome codes of a lookup and of a purge.
 MISSING_REPORT_ID = "MISSING_REPORT_ID"
@@ -98,18 +102,59 @@ def save_report(files: DataFrame, root: str, run: str, packs: Packs = DEFAULT_PA
     tables = {"issues": issues_of(small, packs), "files": overview_of(small, packs, total_in_hits)}
     if nested:
         tables["json"] = reports_of(small, packs)
+    sums = [_rule_sums(small, packs, total_in_hits)]
     if not rest.isEmpty():
         made = Assembly(rest.withColumnRenamed("large_body", "body"), packs)
+        sums.append(_rule_sums(made.counted, packs, total_in_map))
         tables["issues"] = tables["issues"].unionByName(made.issues())
         tables["files"] = tables["files"].unionByName(made.overview())
         if nested:
             tables["json"] = tables["json"].unionByName(made.reports())
+    tables["rules"] = _merged(reduce(DataFrame.unionByName, sums))
     for table, rows in tables.items():
         _write(rows, root, table, run, "json" if table == "json" else "parquet")
     stored = spark.read.schema(tables["files"].schema).parquet(_folder(root, "files", run))
     _write(run_summary_of(stored), root, "summary", run)
 
 
+def _rule_sums(found: DataFrame, packs: Packs, total: Total) -> DataFrame:
+    """``number, hits, files`` of every rule: one row of partial sums a task, turned into rows."""
+    numbers = [r.number for r in all_rules(packs)]
+    sums = found.agg(*[c for n in numbers for c in (
+        F.coalesce(F.sum(total([n])), F.lit(0)).alias(f"hits_{n}"), F.count_if(total([n]) > 0).alias(f"files_{n}"))])
+    rows = F.array(*[F.struct(F.lit(n).alias("number"), F.col(f"hits_{n}").alias("hits"), F.col(f"files_{n}").alias("files"))
+                     for n in numbers])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def _merged(sums: DataFrame, *more: Column) -> DataFrame:
+    return sums.groupBy("number").agg(F.sum("hits").alias("hits"), F.sum("files").alias("files"), *more)
+
+
+def rule_statistics(spark: SparkSession, root: str, runs: list[str] | None = None, packs: Packs = DEFAULT_PACKS) -> DataFrame:
+    """How often each rule of the catalog hits in stored runs (all, or those named), zero included.
+
+    ``number, analyzer, rule, severity, reachable, hits, files, runs``: merged from the sums
+    that each run has stored; no text and no issue is read.  Runs without a summary do
+    not count.  A rule that a run's packs did not have is zero there.
+    """
+    top = root.rstrip("/")
+    try:
+        sums = spark.read.schema("number INT, hits LONG, files LONG, report_id STRING").parquet(f"{top}/rules")
+        whole = spark.read.schema("total_files LONG, report_id STRING").parquet(f"{top}/summary")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise StoreError(REPORT_NOT_FOUND, root) from e
+        raise
+    if runs is not None:
+        sums, whole = (x.where(F.col("report_id").isin(*runs)) for x in (sums, whole))
+    sums = sums.join(whole.select("report_id"), "report_id", "left_semi")
+    merged = _merged(sums, F.count("*").alias("runs"))
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("hits", "files", "runs")]
+    return rule_catalog(spark, packs).join(merged, "number", "left").select(
+        "number", "analyzer", "rule", "severity", "reachable", *zero)
+
+
 def lookup_report(spark: SparkSession, root: str, run: str | None, table: str = "issues") -> DataFrame:
     """Rows of one stored run; only its folder is listed and read."""
     if not run:
@@ -249,3 +294,68 @@ def purge_store(spark: SparkSession, root: str, table: str, execute: bool = Fals
     (current.withColumn("nothing", F.lit(0)).limit(0).write.mode("overwrite")
      .option("partitionOverwriteMode", "static").partitionBy("report_id").format(fmt).save(folder))
     return before
+
+
+# -------------------------------------------------------------------- retention
+
+
+def runs_of(spark: SparkSession, root: str) -> DataFrame:
+    """``report_id, unix_time, total_files`` of the whole runs of a store, from their summaries."""
+    try:
+        rows = spark.read.schema("total_files LONG, report_id STRING").parquet(f"{root.rstrip('/')}/summary")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise StoreError(DIRECTORY_NOT_FOUND, root) from e
+        raise
+    unix_time = F.regexp_extract("report_id", r"^report_(\d+)_", 1)
+    return rows.select("report_id", F.when(unix_time != "", unix_time).cast("long").alias("unix_time"), "total_files")
+
+
+def retention_plan(spark: SparkSession, root: str, now: int, max_age: int | None = None,
+                   keep_last: int | None = None) -> DataFrame:
+    """``report_id, unix_time, total_files, place, remove``: which runs a retention takes away.
+
+    A run goes when it is older than ``max_age`` seconds and not among the ``keep_last``
+    newest; with one of the two given, that one decides, with none nothing goes.  ``place``
+    is 1 for the newest; a run whose id has no time is the oldest of all.  Nothing is
+    deleted here.
+    """
+    placed = ordinals(runs_of(spark, root), F.col("unix_time").desc_nulls_last(), "report_id")
+    tests = []
+    if max_age is not None:
+        tests.append(F.coalesce(F.col("unix_time") < now - max_age, F.lit(True)))
+    if keep_last is not None:
+        tests.append(F.col("ordinal") > keep_last)
+    remove = reduce(Column.__and__, tests) if tests else F.lit(False)
+    return placed.select("report_id", "unix_time", "total_files", F.col("ordinal").alias("place"), remove.alias("remove"))
+
+
+def retention_summary(plan: DataFrame) -> DataFrame:
+    """One row: runs and files that go, and that stay."""
+    gone = F.col("remove")
+    return plan.agg(
+        F.count_if(gone).alias("runs_removed"), F.coalesce(F.sum(F.when(gone, F.col("total_files"))), F.lit(0)).alias("files_removed"),
+        F.count_if(~gone).alias("runs_kept"), F.coalesce(F.sum(F.when(~gone, F.col("total_files"))), F.lit(0)).alias("files_kept"))
+
+
+def apply_retention(plan: DataFrame, root: str) -> DataFrame:
+    """Remove the folders of the plan's runs, in tasks: ``report_id, table, error`` of each.
+
+    Summaries go first: a run that is half removed is not there for a reader, and the
+    rest of it is removed when the plan is applied again.  Other runs are not touched.
+    """
+    spark, top = plan.sparkSession, root.rstrip("/")
+    if not tree.reachable(top):
+        raise StoreError(INVALID_TARGET, f"{top} cannot be reached by tasks")
+    place = tree.Place(top)
+    going = plan.where("remove").select("report_id")
+    done = []
+    for tables in (["summary"], [t for t in (*TABLES, "json") if t != "summary"]):
+        named = going.select("report_id", F.explode(F.array(*map(F.lit, tables))).alias("table"))
+        path = F.concat(F.lit(place.spelled(place.inner) + "/"), "table", F.lit("/report_id="), "report_id")
+        where = shared_folder(spark)
+        tree.remove_directories(named.select(path.alias("path"))).write.parquet(where)  # carried out here, once
+        done.append(spark.read.schema("path STRING, error STRING").parquet(where))
+    parts = F.split("path", "/")
+    return done[0].unionByName(done[1]).select(
+        F.regexp_replace(F.element_at(parts, -1), "^report_id=", "").alias("report_id"), F.element_at(parts, -2).alias("table"), "error")

@@ -249,3 +249,24 @@ def remove_files(paths: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array([one(n) for n in names], pa.string())], ["path", "error"])
 
     return paths.select("path").mapInArrow(run, "path STRING, error STRING")
+
+
+def remove_directories(paths: DataFrame) -> DataFrame:
+    """Delete directories (column ``path``) with all they hold, in tasks: ``path, error`` of each."""
+    def one(path: str) -> str | None:
+        try:
+            place = Place(path)
+            place.system.delete_dir(place.inner)
+        except FileNotFoundError:
+            return None
+        except (OSError, pa.ArrowException) as problem:
+            return _reason(problem)
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([one(n) for n in names], pa.string())], ["path", "error"])
+
+    return paths.select("path").mapInArrow(run, "path STRING, error STRING")
