@@ -34,6 +34,7 @@ RECALL = 1 - 1e-6  # of pairs at the threshold; more similar ones are missed les
 SMALL = 32  # sets in a bucket compared by brute force
 REPEATS = 3  # runs at each deeper level
 ALIKE = 0.5  # share of member pairs that split alike from which a bucket is compared in blocks
+JUDGED = 32  # sets of a bucket, in expectation, on which that share is estimated; it decides the way, not the result
 BLOCK = 512
 DEPTH = 8  # a bucket still large there is compared in blocks as well
 SHARD_BYTES = 1 << 20
@@ -118,6 +119,13 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names)
 
 
+def _children(picks: DataFrame, members: DataFrame) -> DataFrame:
+    """(bucket, run, child, used, rid): what each member of some buckets chooses in each run."""
+    paths = members.groupBy("rid").agg(F.collect_list(F.struct("bucket", "used")).alias("paths"))
+    return picks.join(paths, "rid").select("rid", "picks", "paths").mapInArrow(
+        _split, "bucket long, run int, child long, used array<long>, rid long")
+
+
 def buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bucket, rid) of all small buckets and of all buckets to be compared in blocks."""
     picks = reps.select("rid", "picks")
@@ -133,14 +141,15 @@ def buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         if depth == DEPTH - 1:
             dense.append(large.select("bucket", "rid"))
             break
-        paths = large.groupBy("rid").agg(F.collect_list(F.struct("bucket", "used")).alias("paths"))
-        children = written(picks.join(paths, "rid").select("rid", "picks", "paths").mapInArrow(
-            _split, "bucket long, run int, child long, used array<long>, rid long"))
-        same = F.sum(F.col("f") * F.col("f")) * REPEATS / (F.sum("f") * F.sum("f"))
-        alike = written(children.groupBy("bucket", "run", "child").agg(F.count("*").cast("double").alias("f"))
-                        .groupBy("bucket").agg(same.alias("same")).where(F.col("same") >= ALIKE).select("bucket"))
+        # Whether a bucket's members are alike is seen on some of its sets before the others are split.
+        some = large.where(F.pmod(F.xxhash64("rid", "bucket"), F.col("m")) < JUDGED)
+        chosen = _children(picks, some).groupBy("bucket", "run", "child").agg(F.count("*").cast("double").alias("f"))
+        n = F.sum("f") / REPEATS
+        same = F.try_divide(F.sum(F.col("f") * (F.col("f") - 1)), REPEATS * n * (n - 1))
+        alike = written(chosen.groupBy("bucket").agg(same.alias("same")).where(F.col("same") >= ALIKE).select("bucket"))
         dense.append(written(large.join(alike, "bucket").select("bucket", "rid")))
-        rows = children.join(alike, "bucket", "left_anti").select(F.col("child").alias("bucket"), "rid", "used")
+        rows = written(_children(picks, large.join(alike, "bucket", "left_anti")).select(
+            F.col("child").alias("bucket"), "rid", "used"))
     return _all(small), _all(dense) if dense else rows.select("bucket", "rid").limit(0)
 
 
