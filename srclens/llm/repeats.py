@@ -203,12 +203,12 @@ def _shard_finder(least: int):
             else:
                 spans = _spans_of(flags[a:a + len(window) - least + 1], least)
             if spans:
+                # Two strings of a window overlap, as it is shorter than both together: they are one run.
                 out.append((rows.column("anchor")[k].as_py(), rows.column("window")[k].as_py(),
-                            [{"a": x - before, "b": y - before} for x, y in spans]))
-        span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        columns = list(zip(*out)) or [[]] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), span))],
-                        names=["anchor", "window", "spans"])
+                            spans[0][0] - before, spans[-1][1] - before))
+        columns = list(zip(*out)) or [[]] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+                        names=["anchor", "window", "a", "b"])
     return find
 
 
@@ -255,19 +255,19 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     rest = reduce(DataFrame.unionByName, sort, cut.where("NOT hot").drop("hot"))
     found = written(rest.groupBy(
         F.pmod(F.xxhash64("anchor"), F.lit(shards))).applyInArrow(
-        _shard_finder(least), "anchor long, window long, spans array<struct<a:int,b:int>>"))
+        _shard_finder(least), "anchor long, window long, a int, b int"))
     if done:
         pieces = found.withColumnsRenamed({"anchor": "core", "window": "piece"})
-        sorted_ones = reduce(DataFrame.unionByName, links).join(pieces, ["core", "piece"]).select("anchor", "window", "spans")
+        sorted_ones = reduce(DataFrame.unionByName, links).join(pieces, ["core", "piece"]).select("anchor", "window", "a", "b")
         whole = reduce(DataFrame.unionByName, [d.select("anchor", "window", "before", F.octet_length("bytes").alias("size"))
                                                for d in done]).where(F.col("size") >= least)
-        whole = whole.select("anchor", "window", F.array(F.struct(
-            (-F.col("before")).alias("a"), (F.col("size") - F.col("before")).alias("b"))).alias("spans"))
+        whole = whole.select("anchor", "window", (-F.col("before")).alias("a"), (F.col("size") - F.col("before")).alias("b"))
+        # What the pieces of a window cover is one run, too.
         found = written(found.unionByName(sorted_ones.unionByName(whole).groupBy("anchor", "window").agg(
-            F.flatten(F.collect_set("spans")).alias("spans"))))
+            F.min("a").alias("a"), F.max("b").alias("b"))))
     spans = mixed_members.select("anchor", "window", "text_key", "place").distinct().join(
-        found, ["anchor", "window"]).select("text_key", "place", F.explode("spans").alias("s")).select(
-        "text_key", F.struct((F.col("place") + F.col("s.a")).alias("a"), (F.col("place") + F.col("s.b")).alias("b")).alias("s"))
+        found, ["anchor", "window"]).select(
+        "text_key", F.struct((F.col("place") + F.col("a")).alias("a"), (F.col("place") + F.col("b")).alias("b")).alias("s"))
     return spans.unionByName(everywhere).groupBy("text_key").agg(F.collect_set("s").alias("spans"))
 
 
