@@ -25,7 +25,7 @@ class FileText:
 
 
 Predicate = Callable[..., Column]
-Captures = Callable[..., list[Column]]
+Captures = Callable[..., list[Column] | Column]  # the Columns, or one array of them
 
 
 @dataclass(frozen=True)

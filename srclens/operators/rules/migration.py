@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from srclens.functions.text import has, rx, studly, trimmed, up_to_last
 from srclens.operators.rules import fixed_values as fixed
 from srclens.operators.rules.base import FALLBACK, LINE, Rule, RulePack, across, groups, match
+from srclens.operators.rules.calls import own_end, short_or_long, two_arguments
 
 P = fixed.CAPTURE_PATTERNS
 
-# Arguments with their blanks taken once: text up to the delimiter without leading
-# blanks or, where all is blank, its last blank.
+# For lines of ordinary length (``short_or_long``).  Arguments with their blanks taken
+# once: text up to the delimiter without leading blanks or, where all is blank, its last blank.
 _FIRST = r"(?:\s*+([^,\s][^,]*+)|\s*(\s))"
 _SECOND = r"(?:\s*+([^)\s][^)]*+)|\s*(\s))"
 STRPOS = rf"strpos\s*+\({_FIRST},{_SECOND}\)\s*+"
@@ -44,6 +45,13 @@ def _ends_with_arguments(line: Column) -> list[Column]:
             trimmed(F.when(found, plain[2]).otherwise(blank[2]))]
 
 
+NOT_FALSE, ZERO = r"!==\s*+false", r"===\s*+0"
+CONTAINS, STARTS = (
+    short_or_long((match(STRPOS + tail), _two_arguments(STRPOS + tail)), two_arguments("strpos", r"\s*+" + tail))
+    for tail in (NOT_FALSE, ZERO))
+ENDS = short_or_long((_ends_with, _ends_with_arguments), own_end("substr"))
+
+
 def _many_arguments(line: Column) -> Column:
     """The first call with two or more commas before its ')' is no control structure.
 
@@ -62,8 +70,12 @@ def _many_arguments(line: Column) -> Column:
 
 
 def _constructor_parameter(line: Column) -> Column:
-    pattern = r"function\s++__construct\s*+\((?=[^)]*+\))[^)]*?\$\w"
-    return F.rlike(up_to_last(line, ")"), rx(pattern))
+    """A constructor opens before the last variable in front of a ')'."""
+    def declares(piece: Column) -> Column:
+        front = F.regexp_extract(piece, r"(?d)^(.*)\$\w", 1)
+        return F.rlike(front, rx(r"function\s++__construct\s*+\("))
+
+    return F.exists(F.split(up_to_last(line, ")"), r"\)", -1), declares)
 
 
 def _switch(line: Column) -> Column:
@@ -120,9 +132,9 @@ def _rule(number, when, *needs, level=LINE, captures=None, in_file=None) -> Rule
 
 PACK = RulePack("migration", (
     _rule(33, match(P[33]), "array_keys", "===", "(", captures=groups(P[33], 1)),
-    _rule(34, match(STRPOS + r"!==\s*+false"), "strpos", "!==", "(", captures=_two_arguments(STRPOS + r"!==\s*+false")),
-    _rule(35, match(STRPOS + r"===\s*+0"), "strpos", "===", "(", captures=_two_arguments(STRPOS + r"===\s*+0")),
-    _rule(36, _ends_with, "substr", "-strlen", "(", captures=_ends_with_arguments),
+    _rule(34, CONTAINS[0], "strpos", "!==", "(", captures=CONTAINS[1]),
+    _rule(35, STARTS[0], "strpos", "===", "(", captures=STARTS[1]),
+    _rule(36, ENDS[0], "substr", "-strlen", "(", captures=ENDS[1]),
     _rule(37, _switch, "switch", "(", captures=_trimmed_groups(P[37], 1)),
     _rule(38, _plain_property, "$", ";",
           captures=groups(P[38], 2)),

@@ -140,7 +140,8 @@ def _hit(rule: Rule, line_no: Column, text) -> Column:
     if rule.captures is None:
         captures = F.lit(None).cast("array<string>")
     else:
-        captures = F.array(*[to_utf8(c) for c in rule.captures(text)])
+        found = rule.captures(text)
+        captures = F.transform(found if isinstance(found, Column) else F.array(*found), to_utf8)
     return F.struct(
         F.lit(rule.step).alias("step"), line_no.alias("line"),
         F.lit(rule.number).alias("number"), captures.alias("captures"))

@@ -6,8 +6,10 @@ import random
 import re
 import time
 
+import pytest
 from helpers import counts_by_rule, files_of
 from srclens.operators.catalog import only
+from srclens.operators.rules import calls
 from srclens.operators.scan import issues, with_rule_counts
 
 TRIM = b" \t\n\r\x00\x0b"
@@ -90,7 +92,14 @@ def plain(text: bytes) -> dict[int, int]:
     }
 
 
-def test_random_texts(spark):
+@pytest.fixture(params=["as lines are", "all long"])
+def form(request, monkeypatch):
+    """Rules 34 to 36 have one form for short lines and one for long ones."""
+    if request.param == "all long":
+        monkeypatch.setattr(calls, "SHORT", -1)
+
+
+def test_random_texts(spark, form):
     rng = random.Random(7)
     texts = []
     for pieces in THEMES.values():
@@ -107,7 +116,7 @@ def test_random_texts(spark):
     assert all(hit.values()), hit
 
 
-def test_captures(spark):
+def test_captures(spark, form):
     """The previews of rules 34 to 36 have what the plain patterns capture, trimmed."""
     rng = random.Random(8)
     pieces = THEMES["strpos"][:-1] + THEMES["substr"][:-2] + 4 * THEMES["whole calls"][:-1]
@@ -127,7 +136,9 @@ def test_captures(spark):
 
 
 HOSTILE = ["namespace ", "\"$", "strpos( ", "strpos(a, ", "substr(a,-strlen( ", "function __construct( $"]
-CALLS = ["strpos($a,", "substr($a,-strlen($b"]
+CALLS = ["strpos($a,", "substr($a,-strlen($b", "substr($a,-strlen("]
+UNCLOSED = ["strpos( ", "strpos(a, ", "substr(a ", "substr(a,-strlen( ", "substr(a,-strlen(", "function __construct( ",
+            "function __construct( $"]
 
 
 def test_long_hostile_lines_take_linear_time(spark):
@@ -143,3 +154,17 @@ def test_long_hostile_lines_take_linear_time(spark):
         began = time.time()
         with_rule_counts(files_of(spark, texts), only(8, 25, 34, 35, 36, 45)).drop("body").collect()
         assert time.time() - began < 10 * len(texts), end
+
+
+def test_unclosed_calls_take_a_second(spark):
+    """200 KB of one unclosed call, with and without an end that is almost a hit."""
+    def run(texts):
+        began = time.time()
+        rows = with_rule_counts(files_of(spark, texts), only(34, 35, 36, 45)).drop("body").collect()
+        return time.time() - began, rows
+
+    run(["strpos("])
+    for call in UNCLOSED:
+        for end in ("", "x, y", "x) !== false", "$b )) === $c", "a) , $b)", "a))=== substr(a,-strlen(b"):
+            took, _ = run([call * (200_000 // len(call)) + end])
+            assert took < 3, (call, end, took)  # a second, and the time to plan on a busy machine
