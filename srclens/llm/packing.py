@@ -31,14 +31,14 @@ class Capacity:
 
     ``norm`` takes the sequence whose weighted residual is smallest after the piece
     is in; ``dot`` the one whose residual points most in the direction of the piece.
-    The defaults let tokens alone bind: a sequence of n tokens has at most n
-    documents and costs at most n squared.
+    All three count in the choice by default, but tokens alone bind: a sequence of
+    n tokens has at most n documents and costs at most n squared.
     """
 
     tokens: int = CONTEXT
     documents: int = CONTEXT
     attention: float = float(CONTEXT) ** 2
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
     def demand(self, lengths: np.ndarray) -> np.ndarray:
@@ -88,21 +88,26 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), per_shard: int = PER_SHA
 
     Sequences are gapless from offset 0.  Pieces are dealt to shards by a hash of
     the whole row; equal rows meet in one shard and are packed like any others.
+    Input columns of the two new names are replaced, any others are kept.
     """
     shards = -(-pieces.count() // per_shard) or 1
-    columns = list(pieces.columns)
-    place = F.pmod(F.xxhash64(*columns), F.lit(shards))
+    pieces = pieces.drop("sequence_id", "offset")
+    # Names of our own inside: the input's may clash or hold dots.
+    columns = [f"c{i}" for i in range(len(pieces.columns))]
+    length = columns[pieces.columns.index("length")]
+    plain = pieces.toDF(*columns)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # Not the order the rows came in: the same rows give the same sequences after a retry.
         rows = rows.sort_values(columns, kind="stable", ignore_index=True)
-        sequence, offset = best_fit(rows["length"].to_numpy(np.int64), cap)
+        sequence, offset = best_fit(rows[length].to_numpy(np.int64), cap)
         rows["sequence_id"] = (rows.pop("shard").to_numpy(np.int64) << 32) + sequence
         rows["offset"] = offset
         return rows
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return pieces.withColumn("shard", place).groupBy("shard").applyInPandas(run, schema)
+    schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes) + ", sequence_id long, offset long"
+    packed = plain.withColumn("shard", F.pmod(F.xxhash64(*columns), F.lit(shards))).groupBy("shard").applyInPandas(run, schema)
+    return packed.toDF(*pieces.columns, "sequence_id", "offset")
 
 
 def cut(docs: DataFrame, longest: int = CONTEXT, vocabulary: str = tokens.VOCABULARY) -> DataFrame:

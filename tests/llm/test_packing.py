@@ -96,6 +96,49 @@ def test_every_capacity_holds(lengths, rule, documents, attention):
                                                           - own[np.argsort(offset[sequence == s])]).tolist()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=50), st.sampled_from(["norm", "dot"]))
+def test_each_piece_goes_where_the_weights_say(lengths, rule):
+    """Replays the choices: the sequence taken has the best weighted score of all that fit."""
+    cap = Capacity(64, 5, 3000.0 + 64**2, (1.0, 2.0, 0.5), rule)
+    n = np.array(lengths, np.int64)
+    sequence, _ = best_fit(n, cap)
+    limit, left = (64, 5, cap.attention), {}
+    for i in np.argsort(-n, kind="stable"):
+        d = (int(n[i]), 1, int(n[i]) ** 2)
+        score = {}
+        for s, r in left.items():
+            if all(x >= y for x, y in zip(r, d)):
+                score[s] = (-sum(w * x * y / m**2 for w, x, y, m in zip(cap.weights, r, d, limit)) if rule == "dot"
+                            else sum(w * ((x - y) / m) ** 2 for w, x, y, m in zip(cap.weights, r, d, limit)))
+        own = int(sequence[i])
+        if score:
+            assert score[own] <= min(score.values()) + 1e-9
+        else:
+            assert own not in left
+        left[own] = tuple(x - y for x, y in zip(left.get(own, limit), d))
+
+
+def test_all_capacities_count_in_the_choice():
+    n = np.random.default_rng(6).integers(1, 2049, 2000)
+    by_all, by_tokens = (best_fit(n, Capacity(weights=w))[0] for w in (Capacity().weights, (1.0, 0.0, 0.0)))
+    assert min(Capacity().weights) > 0 and (by_all != by_tokens).any()
+    assert by_all.max() <= by_tokens.max()
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(TEXTS)], SCHEMA)
+    plain = packing.cut(docs)
+    odd = plain
+    for name in ("shard", "_Shard", "sequence_id", "offset", "a.b"):
+        odd = odd.withColumn(name, plain["doc_id"])
+    rows = packing.pack(odd, per_shard=1000)
+    assert rows.columns == [*plain.columns, "shard", "_Shard", "a.b", "sequence_id", "offset"]
+    found = rows.collect()
+    check(found, TEXTS)
+    assert all(r.shard == r.doc_id == r["a.b"] for r in found)
+
+
 def test_sequences_are_few():
     n = np.random.default_rng(5).integers(1, 2049, 5000)
     sequence, _ = best_fit(n, Capacity())
