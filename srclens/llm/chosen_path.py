@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm.common import Words, bounded_batches, groups, mixed, packed_texts, table, text_bytes, unpacked, written
+from srclens.llm.common import Words, bounded_batches, groups, mixed, packed_texts, plain_names, table, text_bytes, unpacked, written
 from srclens.llm.components import components
 
 WORDS = 5
@@ -349,8 +349,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, columns unchanged: a row with its least id, of that id's sets the least one.
 
     Rows that share an id but not their shingle set may stand for two classes; both
-    stay then.  Rows without an id are kept.
+    stay then.  Rows without an id are kept.  Other columns may have any name.
     """
+    names = docs.columns
+    docs = plain_names(docs, ("doc_id", "text"))
     place = docs.columns.index("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +373,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     shared = docs.join(kept.where("several"), same, "left_semi").mapInArrow(sets, fields + ", `__rid` bigint").join(
         kept, same & (F.col("__rid") == F.col("kept_rid")), "left_semi").dropDuplicates(["doc_id", "__rid"]).drop("__rid")
-    return single.unionByName(shared).unionByName(docs.where("doc_id IS NULL"))
+    return single.unionByName(shared).unionByName(docs.where("doc_id IS NULL")).toDF(*names)
 
 
 def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

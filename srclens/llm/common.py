@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def plain_names(docs: DataFrame, keep: Iterable[str]) -> DataFrame:
+    """``docs`` with columns c0, c1, ... but for those in ``keep``.
+
+    For operators that add columns: the input's own names may clash with them.
+    """
+    keep = set(keep)
+    return docs.toDF(*(n if n in keep else f"c{i}" for i, n in enumerate(docs.columns)))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null: null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

@@ -130,19 +130,22 @@ def mix_documents(docs: DataFrame, share: float = 0.9) -> DataFrame:
     """The documents of a mix of ``share`` of all tokens, each at most once, columns unchanged.
 
     The document at which a source's budget ends keeps its first words, parted by
-    blanks; n_chars follows.
+    blanks; n_chars follows.  The domain is always that of ``source``; a column of
+    that name is like any other one.
     """
-    known = docs.withColumn("domain", F.expr(DOMAIN)) if "domain" not in docs.columns else docs
-    chosen = mixture(known, LEVELS, domain_weights(), F.col("available") * share, count_words(F.col("text")),
-                     F.col("doc_id"), epochs=1)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    known = rows.select("row", "row.lang", "row.source").withColumn("domain", F.expr(DOMAIN))
+    chosen = mixture(known, LEVELS, domain_weights(), F.col("available") * share, count_words(F.col("row.text")),
+                     F.col("row.doc_id"), epochs=1)
+    row = F.col("doc")["row"]
     cut = F.col("taken") < F.col("tokens")
-    words = F.filter(F.split(F.col("doc.text"), r"[ \t\n\r]+"), lambda w: w != "")
+    words = F.filter(F.split(row["text"], r"[ \t\n\r]+"), lambda w: w != "")
     text = F.when(cut, F.array_join(F.slice(words, 1, F.greatest(F.col("taken"), F.lit(1)).cast("int")), " ")).otherwise(
-        F.col("doc.text"))
+        row["text"])
     changed = {"text": text}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(cut, F.char_length(text)).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return chosen.select(*(changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+        changed["n_chars"] = F.when(cut, F.char_length(text)).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return chosen.select(*(changed.get(c, F.col(f"doc.row.`{c}`")).alias(c) for c in docs.columns))
 
 
 QUERIES = {"op2_hierarchical_mix": op2_hierarchical_mix}

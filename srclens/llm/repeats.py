@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srclens.llm.common import (
-    bounded_batches, groups, mixed, packed_texts, prefix_sums, substrings, table, text_bytes, text_key, unpacked, written)
+    bounded_batches, groups, mixed, packed_texts, plain_names, prefix_sums, substrings, table, text_bytes, text_key,
+    unpacked, written)
 from srclens.llm.suffix import repeated
 
 LEAST = 200
@@ -330,8 +331,10 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents without repeated strings, cut at whole characters; n_chars follows the text.
 
     Columns and rows stay; a text all of which is repeated becomes empty, and a
-    null text stays null.  Other columns travel beside the text.
+    null text stays null.  Other columns, of any name, travel beside the text.
     """
+    names = docs.columns
+    docs = plain_names(docs, ("doc_id", "text", "n_chars"))
     place, schema = docs.columns.index("text"), docs.schema
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -361,7 +364,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spans = written(repeated_spans(docs, least)).withColumnRenamed("text_key", "__key").withColumnRenamed(
         "spans", "__spans")
     keyed = docs.mapInArrow(keys, fields + ", `__key` bigint").join(spans, "__key", "left")
-    return keyed.select(*(F.col(f"`{c}`") for c in docs.columns), "__spans").mapInArrow(run, schema)
+    return keyed.select(*(F.col(f"`{c}`") for c in docs.columns), "__spans").mapInArrow(run, schema).toDF(*names)
 
 
 def op8_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline as pipeline
-from srclens.llm import mixing, quality
+from srclens.llm import chosen_path, mixing, quality, repeats
 from srclens.llm.common import table, written
 from test_chosen_path import brute as brute_classes
 from test_packing import plain_ids
@@ -151,6 +151,19 @@ def test_empty_and_odd_rows(spark, tmp_path):
     assert pipeline.run(spark, odd).count() > 0
 
 
+@pytest.mark.parametrize("stage", [mixing.mix_documents, chosen_path.keep_one, repeats.remove_repeats])
+def test_clashing_columns_change_nothing(spark, stage):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    odd = docs
+    for c in ("domain", "__rid", "kept_id", "kept_rid", "several", "__key", "__spans", "spans", "row", "doc", "mix_0", "taken", "rid"):
+        odd = odd.withColumn(c, docs["doc_id"])
+    found = stage(odd)
+    assert found.columns == odd.columns
+    rows = found.collect()
+    assert all(r["domain"] == r["__rid"] == r["__key"] == r["row"] == r.doc_id for r in rows)
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in rows) == sorted(tuple(r) for r in stage(docs).collect())
+
+
 def test_mixture_repeats_epochs(spark):
     docs = spark.createDataFrame([(i, f"s{i % 2}", 10 if i % 2 else 90) for i in range(20)], "doc_id long, source string, w long")
     out = mixing.mixture(docs, ["source"], [mixing.F.lit(1)], mixing.F.lit(600), mixing.F.col("w"), mixing.F.col("doc_id")).collect()
