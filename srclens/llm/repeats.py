@@ -131,53 +131,47 @@ def _halves(least: int):
     return run
 
 
-def _parted(windows: DataFrame, least: int, limit: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame], int]:
-    """Windows of anchors too large for a shard: pieces to sort, their windows, spans that need no sorting, bytes to sort.
+def _parted(windows: DataFrame, least: int, limit: int) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """Windows of anchors too large for a shard: pieces to sort, spans that need no sorting, bytes to sort.
 
     All windows of one anchor are aligned by it.  Level by level the strings through it
     are halved, and the halves meet by their cores: a core that stands once holds no
     repeat, one with equal pieces only needs no sorting, one with few distinct pieces is
     a group of a shard, and the others are halved again.  At the last level a piece is
-    one string and equals its core, so every group gets small enough.
+    one string and equals its core, so every group gets small enough.  A piece that
+    stands twice is repeated whole; one that stands once is sorted under its own place.
     """
     pieces = windows.withColumns({"low": F.lit(0), "high": F.lit(least - ANCHOR + 1)})
-    sort, links, size = [], [], 0
-    done = [windows.where("many").withColumns({"core": F.lit(0), "piece": F.lit(0)})]
+    sort, whole, size = [], [], 0
+    span = ("text_key", F.col("start").alias("a"), (F.col("start") + F.octet_length("bytes")).alias("b"))
     while True:
         rows = written(pieces.select("anchor", "window", "many", "text_key", "start", "before", "bytes", "low", "high").mapInArrow(
             _halves(least), HELD + ", low int, high int, core long, piece long"))
         cores = written(rows.groupBy("core", "piece").agg(
-            F.count("*").alias("n"), F.max("many").alias("many"), F.first(F.octet_length("bytes")).alias("size")).groupBy("core").agg(
-            F.sum("n").alias("n"), F.max("many").alias("many"), F.count("*").alias("pieces"), F.sum("size").alias("size")).where(
-            "pieces > 1 OR n > 1 OR many").select("core", "size", F.when(F.col("pieces") == 1, "done").when(
+            F.count("*").alias("n"), F.max("many").alias("many"), F.min("many").alias("covered"),
+            F.first(F.octet_length("bytes")).alias("size")).groupBy("core").agg(
+            F.sum("n").alias("n"), F.max("many").alias("many"), F.min("covered").alias("covered"),
+            F.count("*").alias("pieces"), F.sum("size").alias("size")).where(
+            "(pieces > 1 OR n > 1 OR many) AND NOT covered").select("core", "size", F.when(F.col("pieces") == 1, "done").when(
                 F.col("size") <= limit, "sort").otherwise("split").alias("fate")))
         rows = written(rows.join(cores.select("core", "fate"), "core"))
-        done.append(rows.where("fate = 'done'"))
+        whole.append(rows.where("fate = 'done' AND NOT many").select(*span))
         few = rows.where("fate = 'sort'")
-        links.append(few.select("anchor", "window", "core", "piece"))
-        sort.append(few.groupBy("core", "piece").agg(
+        kinds = few.groupBy("core", "piece").agg(
             ((F.count("*") > 1) | F.max("many")).alias("many"),
-            F.min(F.struct("text_key", "start", "before", "bytes")).alias("one")).select(
-            F.col("core").alias("anchor"), F.col("piece").alias("window"), "many", "one.*"))
+            F.min(F.struct("text_key", "start", "before", "bytes")).alias("one"))
+        whole.append(few.where("NOT many").join(kinds.where("many").select("core", "piece"), ["core", "piece"], "leftsemi").select(*span))
+        sort.append(kinds.select(F.col("core").alias("anchor"), F.col("piece").alias("window"), "many", "one.*"))
         found = {r.fate: r.size for r in cores.groupBy("fate").agg(F.sum("size").alias("size")).collect()}
         size += found.get("sort", 0)
         if "split" not in found:
-            return sort, links, done, size
+            return sort, whole, size
         pieces = rows.where("fate = 'split'")
 
 
-def _spans_of(flags: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Maximal runs covered by strings of ``least`` bytes that start at the flagged places."""
-    at = np.flatnonzero(flags)
-    if not len(at):
-        return []
-    cuts = np.flatnonzero(np.diff(at) > least)
-    return list(zip(at[np.append(0, cuts + 1)].tolist(), (at[np.append(cuts, len(at) - 1)] + least).tolist()))
-
-
 def _shard_finder(least: int):
     def find(rows):
-        """Covered spans of each window of a shard, relative to its anchor."""
+        """What repeats of each window of a shard that stands once: (text_key, a, b), one run each."""
         rows = rows.sort_by([("text_key", "ascending"), ("start", "ascending"), ("window", "ascending")])
         keys, starts = rows.column("text_key").to_pylist(), rows.column("start").to_pylist()
         raw = rows.column("bytes").to_pylist()
@@ -195,21 +189,16 @@ def _shard_finder(least: int):
             size += len(new)
             last = (key, max(last[1] if last[0] == key else 0, start + len(window)))
         bounds.append(size)
-        flags = repeated(np.frombuffer(b"".join(parts), np.uint8), np.array(bounds, np.int64), least)
-        out = []
-        for k, (a, window) in enumerate(zip(at, raw)):
-            before = rows.column("before")[k].as_py()
-            if rows.column("many")[k].as_py():
-                spans = [(0, len(window))] if len(window) >= least else []
-            else:
-                spans = _spans_of(flags[a:a + len(window) - least + 1], least)
-            if spans:
-                # Two strings of a window overlap, as it is shorter than both together: they are one run.
-                out.append((rows.column("anchor")[k].as_py(), rows.column("window")[k].as_py(),
-                            spans[0][0] - before, spans[-1][1] - before))
-        columns = list(zip(*out)) or [[]] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-                        names=["anchor", "window", "a", "b"])
+        flagged = np.flatnonzero(repeated(np.frombuffer(b"".join(parts), np.uint8), np.array(bounds, np.int64), least))
+        once = np.flatnonzero(~rows.column("many").to_numpy())
+        at, start = np.array(at, np.int64)[once], np.array(starts, np.int64)[once]
+        first = np.searchsorted(flagged, at)
+        stop = np.searchsorted(flagged, at + np.fromiter(map(len, raw), np.int64, len(raw))[once] - least + 1)
+        hit = stop > first
+        at, start, first, stop = at[hit], start[hit], first[hit], stop[hit]
+        # Two strings of a window overlap, as it is shorter than both together: they are one run.
+        return pa.table([rows.column("text_key").take(pa.array(once[hit])), pa.array(start + flagged[first] - at),
+                         pa.array(start + flagged[stop - 1] + least - at)], names=["text_key", "a", "b"])
     return find
 
 
@@ -225,21 +214,24 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         "anchor", "n", (F.col("w0") != F.col("w1")).alias("differ")))
     members = written(rows.join(shared.drop("n"), "anchor"))
 
-    # An anchor whose windows are all equal needs no sorting: each of their strings stands
-    # in all of them.  Of the other windows one place each; its text is fetched from one document.
-    everywhere = members.where("NOT differ").select(
-        "text_key", F.struct((F.col("place") - F.col("before")).alias("a"), (F.col("place") + F.col("after")).alias("b")).alias("s"))
+    # A window that stands in several places is repeated whole, and so is each one of an anchor
+    # whose windows are all equal.  Only windows that stand once are searched, among all of their
+    # anchor; each has its own place, so that what is found needs no join with places.
+    span = ("text_key", (F.col("place") - F.col("before")).alias("a"), (F.col("place") + F.col("after")).alias("b"))
     mixed_members = members.where("differ")
     windows = written(mixed_members.groupBy("anchor", "window").agg(
         (F.count("*") > 1).alias("many"), F.first("text_key").alias("text_key"), F.first("place").alias("place"),
         F.first("before").alias("before"), F.first("after").alias("after")))
+    spans = [members.where("NOT differ").select(*span),
+             mixed_members.join(windows.where("many").select("anchor", "window"), ["anchor", "window"], "leftsemi").select(*span)]
+    windows = windows.join(windows.where("NOT many").select("anchor").distinct(), "anchor", "leftsemi")
     # Anchors too large for their share of a shard; as each has many bytes, they are few.
     limit = SHARD_BYTES // 4
     places = shared.where(F.col("differ") & (F.col("n") * (2 * least - ANCHOR) > limit)).select("anchor")
     hot = written(windows.join(F.broadcast(places), "anchor").groupBy("anchor").agg(
         F.sum(F.col("before") + F.col("after")).alias("size")).where(F.col("size") > limit).select(
         "anchor", F.lit(True).alias("hot")))
-    windows = windows.join(F.broadcast(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    windows = written(windows.join(F.broadcast(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
     keyed = packed_texts(docs.where(F.octet_length(F.col("text").cast("string")) >= least), F.lit(0))
     asked = windows.groupBy("text_key").agg(F.collect_list(F.struct(
         "anchor", "window", "many", "place", "before", "after", "hot")).alias("asked"))
@@ -247,29 +239,17 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     once = keyed.select("text_key", "packed").dropDuplicates(["text_key"])  # copies are dropped before the shuffle, too
     cut = once.join(asked, "text_key").select("text_key", "packed", "asked").mapInArrow(
         _cut_windows, HELD + ", hot boolean")
-    sort, links, done = [], [], []
+    sort = []
     if hot.first() is not None:
         cut = written(cut)
-        sort, links, done, more = _parted(cut.where("hot").drop("hot"), least, limit)
+        sort, whole, more = _parted(cut.where("hot").drop("hot"), least, limit)
+        spans += whole
         total += more
     shards = -(-total // SHARD_BYTES) or 1
     rest = reduce(DataFrame.unionByName, sort, cut.where("NOT hot").drop("hot"))
-    found = written(rest.groupBy(
-        F.pmod(F.xxhash64("anchor"), F.lit(shards))).applyInArrow(
-        _shard_finder(least), "anchor long, window long, a int, b int"))
-    if done:
-        pieces = found.withColumnsRenamed({"anchor": "core", "window": "piece"})
-        sorted_ones = reduce(DataFrame.unionByName, links).join(pieces, ["core", "piece"]).select("anchor", "window", "a", "b")
-        whole = reduce(DataFrame.unionByName, [d.select("anchor", "window", "before", F.octet_length("bytes").alias("size"))
-                                               for d in done]).where(F.col("size") >= least)
-        whole = whole.select("anchor", "window", (-F.col("before")).alias("a"), (F.col("size") - F.col("before")).alias("b"))
-        # What the pieces of a window cover is one run, too.
-        found = written(found.unionByName(sorted_ones.unionByName(whole).groupBy("anchor", "window").agg(
-            F.min("a").alias("a"), F.max("b").alias("b"))))
-    spans = mixed_members.select("anchor", "window", "text_key", "place").distinct().join(
-        found, ["anchor", "window"]).select(
-        "text_key", F.struct((F.col("place") + F.col("a")).alias("a"), (F.col("place") + F.col("b")).alias("b")).alias("s"))
-    return spans.unionByName(everywhere).groupBy("text_key").agg(F.collect_set("s").alias("spans"))
+    spans.append(rest.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards))).applyInArrow(
+        _shard_finder(least), "text_key long, a long, b long"))
+    return reduce(DataFrame.unionByName, spans).groupBy("text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
