@@ -31,6 +31,7 @@ from srclens.llm.suffix import repeated
 LEAST = 200
 ANCHOR = 32
 SHARD_BYTES = 2 << 20
+PIECE = "many boolean, text_key long, start long, before int, bytes binary, low int, high int"
 HELD = "anchor long, window long, many boolean, text_key long, start long, before int, bytes binary"
 
 
@@ -123,11 +124,11 @@ def _halves(least: int):
                     piece = mixed(substrings(sums, p - reach, stop) + reach.astype(np.uint64))
                     cut = [raw[i:j] for i, j in zip((p - reach).tolist(), stop.tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [*(rows.column(c).take(pa.array(k)) for c in ("anchor", "window", "many", "text_key")),
+                        [*(rows.column(c).take(pa.array(k)) for c in ("many", "text_key")),
                          pa.array(start[k] + before[k] - reach), pa.array(reach, pa.int32()), pa.array(cut, pa.binary()),
                          pa.array(a, pa.int32()), pa.array(b, pa.int32()),
                          pa.array(core.view(np.int64)), pa.array(piece.view(np.int64))],
-                        ["anchor", "window", "many", "text_key", "start", "before", "bytes", "low", "high", "core", "piece"])
+                        ["many", "text_key", "start", "before", "bytes", "low", "high", "core", "piece"])
     return run
 
 
@@ -135,38 +136,33 @@ def _parted(windows: DataFrame, least: int, limit: int) -> tuple[list[DataFrame]
     """Windows of anchors too large for a shard: pieces to sort, spans that need no sorting, bytes to sort.
 
     All windows of one anchor are aligned by it.  Level by level the strings through it
-    are halved, and the halves meet by their cores: a core that stands once holds no
-    repeat, one with equal pieces only needs no sorting, one with few distinct pieces is
-    a group of a shard, and the others are halved again.  At the last level a piece is
-    one string and equals its core, so every group gets small enough.  A piece that
-    stands twice is repeated whole; one that stands once is sorted under its own place.
+    are halved, and the halves meet by their cores.  A piece that stands twice is repeated
+    whole in each place and goes on as one row; one that stands once goes on under its own
+    place.  A core with one distinct piece, or with repeated pieces only, is settled; one
+    with few distinct pieces is a group of a shard, and the others are halved again.  At the
+    last level a piece is one string and equals its core, so every group gets small enough.
     """
     pieces = windows.withColumns({"low": F.lit(0), "high": F.lit(least - ANCHOR + 1)})
     sort, whole, size = [], [], 0
-    span = ("text_key", F.col("start").alias("a"), (F.col("start") + F.octet_length("bytes")).alias("b"))
     while True:
-        rows = written(pieces.select("anchor", "window", "many", "text_key", "start", "before", "bytes", "low", "high").mapInArrow(
-            _halves(least), HELD + ", low int, high int, core long, piece long"))
-        cores = written(rows.groupBy("core", "piece").agg(
-            F.count("*").alias("n"), F.max("many").alias("many"), F.min("many").alias("covered"),
-            F.first(F.octet_length("bytes")).alias("size")).groupBy("core").agg(
-            F.sum("n").alias("n"), F.max("many").alias("many"), F.min("covered").alias("covered"),
-            F.count("*").alias("pieces"), F.sum("size").alias("size")).where(
-            "(pieces > 1 OR n > 1 OR many) AND NOT covered").select("core", "size", F.when(F.col("pieces") == 1, "done").when(
-                F.col("size") <= limit, "sort").otherwise("split").alias("fate")))
-        rows = written(rows.join(cores.select("core", "fate"), "core"))
-        whole.append(rows.where("fate = 'done' AND NOT many").select(*span))
-        few = rows.where("fate = 'sort'")
-        kinds = few.groupBy("core", "piece").agg(
+        rows = written(pieces.select("many", "text_key", "start", "before", "bytes", "low", "high").mapInArrow(
+            _halves(least), PIECE + ", core long, piece long"))
+        kinds = written(rows.groupBy("core", "piece").agg(
             ((F.count("*") > 1) | F.max("many")).alias("many"),
-            F.min(F.struct("text_key", "start", "before", "bytes")).alias("one"))
-        whole.append(few.where("NOT many").join(kinds.where("many").select("core", "piece"), ["core", "piece"], "leftsemi").select(*span))
-        sort.append(kinds.select(F.col("core").alias("anchor"), F.col("piece").alias("window"), "many", "one.*"))
-        found = {r.fate: r.size for r in cores.groupBy("fate").agg(F.sum("size").alias("size")).collect()}
-        size += found.get("sort", 0)
-        if "split" not in found:
+            F.min(F.struct("text_key", "start", "before", "bytes", "low", "high")).alias("one")))
+        whole.append(rows.where("NOT many").join(kinds.where("many").select("core", "piece"), ["core", "piece"], "leftsemi").select(
+            "text_key", F.col("start").alias("a"), (F.col("start") + F.octet_length("bytes")).alias("b")))
+        cores = written(kinds.groupBy("core").agg(
+            F.count("*").alias("pieces"), F.min("many").alias("settled"), F.sum(F.octet_length("one.bytes")).alias("size")).where(
+            "pieces > 1 AND NOT settled").select("core", "size", (F.col("size") > limit).alias("split")))
+        live = kinds.join(cores.select("core", "split"), "core")
+        sort.append(live.where("NOT split").select(
+            F.col("core").alias("anchor"), F.col("piece").alias("window"), "many", "one.text_key", "one.start", "one.before", "one.bytes"))
+        found = {r.split: r.size for r in cores.groupBy("split").agg(F.sum("size").alias("size")).collect()}
+        size += found.get(False, 0)
+        if True not in found:
             return sort, whole, size
-        pieces = rows.where("fate = 'split'")
+        pieces = live.where("split").select("many", "one.*")
 
 
 def _shard_finder(least: int):
