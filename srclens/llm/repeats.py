@@ -4,8 +4,8 @@ A string of ``LEAST`` bytes that stands in two places has the same anchor in
 both: the 32-byte substring with the least hash among those inside it.  So only
 windows around anchors that stand in several places can hold repeats.  Windows
 with one anchor meet in one shard, equal windows as one; there a suffix array
-(``suffix``) finds every string that starts in two places.  What it finds for a
-window holds for every place the window stands in.
+(``suffix``) finds every string that starts in two places.  A window that stands in
+several places is repeated whole, so only those that stand once are searched.
 
 Anchors, windows and spans are rows; a passage in a third of all documents is one
 window for its inner anchors, summed up before it is shuffled.  An anchor with more
