@@ -126,15 +126,16 @@ def list_directories(directories: DataFrame, glob: str | None = None) -> DataFra
     return directories.select("path").mapInArrow(run, LISTED)
 
 
-def list_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+def list_tree(spark: SparkSession, root: str, glob: str | None = None, folder: str | None = None) -> DataFrame:
     """``path, modificationTime, length, error`` of every regular file below ``root``.
 
     Empty files and names that begin with ``_`` or ``.`` are files like any other.
     Level by level the directories are listed in tasks and the level is written to the
     shared folder; one directory's entries are held by one task.  A directory that
-    cannot be listed is a row with a reason, a root that cannot is an error.
+    cannot be listed is a row with a reason, a root that cannot is an error.  A caller
+    that names the new ``folder`` can remove it.
     """
-    folder, level, found = shared_folder(spark), 0, []
+    folder, level, found = folder or shared_folder(spark), 0, []
     todo, many = spark.createDataFrame([(root,)], "path STRING"), 1
     while many:
         tasks = max(-(-many // DIRECTORIES_PER_TASK), 1)

@@ -19,7 +19,7 @@ from __future__ import annotations
 import threading
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -30,11 +30,13 @@ from srclens.operators.rollup import (
     Packs, compliance_array, migration_columns, overview_of, run_summary_of, total_in_hits,
 )
 from srclens.operators.scan import issues_of, with_hits
+from srclens.session import shared_folder
 from srclens.sources import tree
-from srclens.sources.corpus import BINARY_FILE, PHP_GLOB, from_read
+from srclens.sources.corpus import PHP_GLOB, from_read
 
 REPORT_TABLES = ("issues", "files", "compliance", "migration", "summary")
 STREAM, RECONCILED = "s", "r"
+NAMES = "path STRING, modificationTime TIMESTAMP, length LONG"
 
 
 def _compliance(scanned: DataFrame, packs: Packs) -> DataFrame:
@@ -139,19 +141,23 @@ def _started(rows: DataFrame, one, checkpoint: str, available_now: bool, interva
 class FileStream:
     """Reports of every file that lands in a tree, each file exactly once.
 
-    Micro-batches take the names that Spark's file source sees and open them in tasks
-    (``tree.read_listed``), so a file that is gone, damaged or too large is a row.
-    ``reconcile`` lists the tree in tasks and takes what no batch holds: empty files
-    and hidden names, which the source never gives, at once, and any other file once
-    it is older than ``lag`` seconds.  A micro-batch leaves out what reconciling took.
-    A file is known by its path.  Both run under one lock, in one driver.
+    Spark's file source holds every name on the driver.  Here the tree is listed in
+    tasks, names not seen before are appended to Parquet tables below the checkpoint,
+    and the stream reads those: the driver knows a few tables a listing, no names.
+    Micro-batches open the files in tasks (``tree.read_listed``), so a file that is
+    gone, damaged or too large is a row.  ``reconcile`` lists the tree and takes what
+    no batch holds: empty files and hidden names, which the stream leaves to it, at
+    once, and any other file once it is older than ``lag`` seconds.  A micro-batch
+    leaves out what another batch took.  A file is known by its path.  All run under
+    locks, in one driver.
     """
 
     def __init__(self, spark: SparkSession, path: str, store: BatchStore, checkpoint: str, glob: str | None = PHP_GLOB,
                  max_bytes: int | None = MAX_FILE_BYTES, lag: int = 3600) -> None:
         self.spark, self.path, self.store, self.checkpoint = spark, path, store, checkpoint
         self.glob, self.max_bytes, self.lag = glob, max_bytes, lag
-        self._lock = threading.Lock()
+        self.names = f"{checkpoint.rstrip('/')}/names"
+        self._lock, self._noticing = threading.Lock(), threading.Lock()
 
     def _write(self, listing: DataFrame, batch_id: str) -> bool:
         return self.store.write(from_read(tree.read_listed(listing, self.max_bytes)), batch_id)
@@ -160,31 +166,56 @@ class FileStream:
         with self._lock:
             batch_id = f"{STREAM}-{number}"
             if not self.store.committed(batch_id):
-                taken = self.store.held(RECONCILED).withColumnRenamed("file_id", "path")
+                taken = self.store.held().withColumnRenamed("file_id", "path")
                 self._write(names.join(taken, "path", "left_anti"), batch_id)
 
+    def _left_to_reconciling(self) -> Column:
+        """Whether a listed file is none of the stream's: empty, unreadable, or hidden by its name or a directory's."""
+        name = F.regexp_replace("path", "^.*/", "")
+        below = F.regexp_replace("path", "/[^/]*$", "")
+        root = tree.Place(self.path)
+        hidden = F.rlike(F.substring(below, len(root.spelled(root.inner)) + 1, 1 << 30), F.lit(r"/[_.]"))
+        return (F.col("length") == 0) | name.startswith("_") | name.startswith(".") | F.col("error").isNotNull() | hidden
+
+    def notice(self) -> None:
+        """List the tree in tasks and append the names that were not there before to the table the stream reads."""
+        with self._noticing:
+            # A hidden folder: it makes the table, and the stream sees nothing in it.
+            self.spark.createDataFrame([], NAMES).write.mode("ignore").parquet(f"{self.names}/_empty")
+            folder = shared_folder(self.spark)
+            listed = tree.list_tree(self.spark, self.path, self.glob, folder).where(~self._left_to_reconciling())
+            seen = self.spark.read.schema(NAMES).parquet(self.names).select("path")
+            fresh = listed.select("path", "modificationTime", "length").join(seen, "path", "left_anti")
+            if not fresh.isEmpty():  # a table without rows would be a batch
+                fresh.write.mode("append").parquet(self.names)
+            tree.remove_directories(self.spark.createDataFrame([(folder,)], "path STRING")).collect()
+
+    def _keep_noticing(self, query: StreamingQuery, seconds: float) -> None:
+        try:
+            while not query.awaitTermination(seconds):
+                self.notice()
+        except BaseException:
+            query.stop()
+            raise
+
     def start(self, available_now: bool = False, interval: str = "1 minute") -> StreamingQuery:
         """Micro-batches of newly landed names; their contents are read in ``read_listed``."""
-        reader = self.spark.readStream.schema(BINARY_FILE).format("binaryFile").option(
-            "recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-        if self.glob:
-            reader = reader.option("pathGlobFilter", self.glob)
-        names = reader.load(self.path).select("path", "modificationTime", "length")
-        return _started(names, self._micro_batch, self.checkpoint, available_now, interval)
+        self.notice()
+        names = self.spark.readStream.schema(NAMES).parquet(self.names)
+        query = _started(names, self._micro_batch, self.checkpoint, available_now, interval)
+        if not available_now:
+            seconds = self.spark.range(1).select(F.expr(
+                f"unix_millis(timestamp_seconds(0) + INTERVAL '{interval}') / 1000")).first()[0]
+            threading.Thread(target=self._keep_noticing, args=(query, float(seconds)), daemon=True).start()
+        return query
 
     def reconcile(self) -> int:
         """Take the files that no batch holds; how many there were.  Paths are joined, never contents."""
         with self._lock:
             done = self.store.commits().where(F.startswith("batch_id", F.lit(f"{RECONCILED}-"))).count()
             held = self.store.held().withColumnRenamed("file_id", "path")
-            name = F.regexp_replace("path", "^.*/", "")
-            at_once = (F.col("length") == 0) | name.startswith("_") | name.startswith(".") | F.col("error").isNotNull()
-            # The source looks into no directory with such a name either.
-            below = F.regexp_replace("path", "/[^/]*$", "")
-            root = tree.Place(self.path)
-            hidden = F.rlike(F.substring(below, len(root.spelled(root.inner)) + 1, 1 << 30), F.lit(r"/[_.]"))
             old = F.unix_timestamp("modificationTime") <= F.unix_timestamp() - self.lag
-            left = tree.list_tree(self.spark, self.path, self.glob).where(at_once | hidden | old).join(held, "path", "left_anti")
+            left = tree.list_tree(self.spark, self.path, self.glob).where(self._left_to_reconciling() | old).join(held, "path", "left_anti")
             batch_id = f"{RECONCILED}-{done}"
             if left.isEmpty():
                 return 0

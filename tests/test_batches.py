@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,39 @@ def test_file_gone_before_it_is_read(spark, tmp_path, monkeypatch):
     rows = {r.original_name: r.total_issues for r in store.read("files").collect()}
     assert set(rows) == {"a.php", "b.php"} and rows["b.php"] is None and rows["a.php"] == 0
     assert store.read("issues").where(F.col("rule") == "ANALYSIS_ERROR").count() == 1
+
+
+def test_stream_gives_the_driver_no_names(spark, tmp_path, monkeypatch):
+    """The source reads tables of names: its log has few entries, however many files land; nothing of a listing stays."""
+    from srclens.streaming import batches
+    folders = []
+    monkeypatch.setattr(batches, "shared_folder", lambda s: folders.append(str(tmp_path / f"listing{len(folders)}")) or folders[-1])
+    landing = tmp_path / "in"
+    store = BatchStore(spark, str(tmp_path / "out"), FEW)
+    for wave in range(2):
+        for d in range(3):
+            (landing / f"d{d}").mkdir(parents=True, exist_ok=True)
+            for i in range(40):
+                (landing / f"d{d}" / f"w{wave}_{i}.php").write_text("<?php\necho 1;\n")
+        FileStream(spark, str(landing), store, str(tmp_path / "state")).start(available_now=True).awaitTermination()
+        log = (tmp_path / "state" / "sources" / "0" / str(wave)).read_text().splitlines()[1:]
+        assert 1 <= len(log) <= 4 and not any(".php" in entry for entry in log)
+    assert {r.batch_id: r["count"] for r in store.read("files").groupBy("batch_id").count().collect()} == {"s-0": 120, "s-1": 120}
+    assert store.read("files").select("file_id").distinct().count() == 240
+    assert len(folders) == 2 and not any((tmp_path / f).exists() for f in folders)
+
+
+def test_running_stream_notices_later_files(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    store = BatchStore(spark, str(tmp_path / "out"), FEW)
+    query = FileStream(spark, str(landing), store, str(tmp_path / "state")).start(interval="1 second")
+    try:
+        (landing / "later.php").write_text("<?php\n")
+        until = time.monotonic() + 60
+        while not store.held().count() and time.monotonic() < until:
+            assert query.isActive
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert [r.batch_id for r in store.read("files").collect()] == ["s-0"]
