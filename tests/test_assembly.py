@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from helpers import files_of
+from srclens.operators import assembly
 from srclens.operators.assembly import Assembly, chunked
 from srclens.operators.ordinal import with_ordinal
 from srclens.operators.report import file_reports
@@ -81,3 +82,26 @@ def test_store_with_large_texts(spark, tmp_path):
     nested = {r.file_id: r for r in store.read_nested(spark, str(tmp_path), "report_1_x").collect()}
     for r in file_reports(files).collect():
         assert (nested[str(r.file_id)].issues, nested[str(r.file_id)].metrics) == (r.issues, r.metrics)
+
+
+def test_short_texts_are_scanned_once(spark, monkeypatch):
+    """Short texts of one chunk reach no second pass by file rules, and the exploded form none of them."""
+    seen = []
+    plain = assembly.hit_rows
+
+    def watched(files, packs, *keep, **more):
+        seen.append((keep, {r.file_id for r in files.select("file_id").collect()}))
+        return plain(files, packs, *keep, **more)
+
+    monkeypatch.setattr(assembly, "hit_rows", watched)
+    files = files_of(spark, texts(4, 20))
+    length = {r.file_id: r.n for r in files.select("file_id", F.length("body").alias("n")).collect()}
+    for chunk, in_row in ((300, 1 << 16), (300, 100), (1 << 20, 200)):
+        seen.clear()
+        monkeypatch.setattr(assembly, "IN_ROW", in_row)
+        made = Assembly(files, chunk=chunk)
+        long = {i for i, n in length.items() if n is not None and n > min(chunk, in_row)}
+        assert seen[0] == (("file_id",), long) and 0 < len(long) < len(length)
+        assert [k for k, _ in seen[1:]] == ([] if chunk <= in_row else [("file_id", "chunk")])
+        assert shown(made.issues()) == shown(issues(files))
+        assert shown(made.overview()) == shown(file_overview(files))
