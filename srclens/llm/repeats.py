@@ -8,7 +8,8 @@ with one anchor meet in one shard, equal windows as one; there a suffix array
 several places is repeated whole, so only those that stand once are searched.
 
 Anchors, windows and spans are rows; a passage in a third of all documents is one
-window for its inner anchors, summed up before it is shuffled.  An anchor with more
+window for its inner anchors, summed up before it is shuffled, and equal windows of
+one text that touch are one row.  An anchor with more
 distinct windows than a shard should hold is split by what lies around it (``_parted``).
 """
 
@@ -71,17 +72,33 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST):
     return text, at - offsets[text], h[at].view(np.int64), window.view(np.int64), before, after
 
 
+def joined_runs(text: np.ndarray, at: np.ndarray, h: np.ndarray, w: np.ndarray, before: np.ndarray, after: np.ndarray):
+    """Equal windows of one text that touch, as one row: the input columns, of the first of each run, and the last place.
+
+    A passage of a short period has an anchor in every period, and but for its ends
+    these have equal windows: one row covers them, however long the passage is.
+    """
+    by = np.lexsort((at, w, h, text))
+    text, at, h, w, before, after = (c[by] for c in (text, at, h, w, before, after))
+    new = np.ones(len(at), bool)
+    new[1:] = ((text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+               | (at[1:] - before[1:] > at[:-1] + after[:-1]))
+    first = np.flatnonzero(new)
+    last = at[np.append(first[1:], len(at)) - 1] if len(at) else at
+    return (*(c[first] for c in (text, at, h, w, before, after)), last)
+
+
 def _anchor_rows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for a, b in groups(offsets):
                 own, places = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-                text, at, h, w, before, after = anchors(own, places, least)
+                text, at, h, w, before, after, last = joined_runs(*anchors(own, places, least))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(text_key(own, places)[text]), pa.array(at, pa.int64()), pa.array(h), pa.array(w),
-                     pa.array(before, pa.int32()), pa.array(after, pa.int32())],
-                    ["text_key", "place", "anchor", "window", "before", "after"])
+                     pa.array(before, pa.int32()), pa.array(after, pa.int32()), pa.array(last, pa.int64())],
+                    ["text_key", "place", "anchor", "window", "before", "after", "last"])
     return run
 
 
@@ -204,19 +221,20 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     text = F.col("text").cast("string").cast("binary").alias("text")
     rows = written(docs.select(text).where(F.octet_length("text") >= least).mapInArrow(
         _anchor_rows(least),
-        "text_key long, place long, anchor long, window long, before int, after int"))
+        "text_key long, place long, anchor long, window long, before int, after int, last long"))
+    run = F.col("last") > F.col("place")  # stands several times by itself
     shared = written(rows.groupBy("anchor").agg(
-        F.count("*").alias("n"), F.min("window").alias("w0"), F.max("window").alias("w1")).where("n > 1").select(
+        (F.count("*") + F.count_if(run)).alias("n"), F.min("window").alias("w0"), F.max("window").alias("w1")).where("n > 1").select(
         "anchor", "n", (F.col("w0") != F.col("w1")).alias("differ")))
     members = written(rows.join(shared.drop("n"), "anchor"))
 
     # A window that stands in several places is repeated whole, and so is each one of an anchor
     # whose windows are all equal.  Only windows that stand once are searched, among all of their
     # anchor; each has its own place, so that what is found needs no join with places.
-    span = ("text_key", (F.col("place") - F.col("before")).alias("a"), (F.col("place") + F.col("after")).alias("b"))
+    span = ("text_key", (F.col("place") - F.col("before")).alias("a"), (F.col("last") + F.col("after")).alias("b"))
     mixed_members = members.where("differ")
     windows = written(mixed_members.groupBy("anchor", "window").agg(
-        (F.count("*") > 1).alias("many"), F.first("text_key").alias("text_key"), F.first("place").alias("place"),
+        ((F.count("*") > 1) | F.max(run)).alias("many"), F.first("text_key").alias("text_key"), F.first("place").alias("place"),
         F.first("before").alias("before"), F.first("after").alias("after")))
     spans = [members.where("NOT differ").select(*span),
              mixed_members.join(windows.where("many").select("anchor", "window"), ["anchor", "window"], "leftsemi").select(*span)]

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from srclens.llm import repeats
@@ -95,6 +96,39 @@ def test_hot_anchor(spark, monkeypatch, tmp_path, length):
     assert sizes and max(sizes) <= 2 * 20000
 
 
+def periodic(seed=7):
+    """Texts with long passages of short periods between other words."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join(str(rng.randrange(10 ** 6)) for _ in range(n))
+    ends = [words(30) for _ in range(3)]
+    docs = [words(rng.randrange(1, 40)) + unit * (rng.randrange(300, 900) // len(unit)) + rng.choice([words(40), *ends])
+            for unit in ("a", "in ", "this ", " En in", "sixteen letters ", "more than sixteen letters ") for _ in range(12)]
+    return docs + ["in " * 2000, "0" * 32 + words(60), words(60) + "0" * 32, "b" * 200, "c" * 199, "d" * 201, ends[0]]
+
+
+@pytest.mark.parametrize("shard", [repeats.SHARD_BYTES, 4000])
+def test_periodic_passages(spark, monkeypatch, shard):
+    monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
+    docs = list(enumerate(periodic()))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, repeats.digests(df).collect()), key=str) == expected(docs)
+
+
+def window_rows(texts):
+    data = b"".join(texts)
+    offsets = np.cumsum([0, *map(len, texts)])
+    return list(zip(*(c.tolist() for c in repeats.joined_runs(*repeats.anchors(np.frombuffer(data, np.uint8), offsets)))))
+
+
+@pytest.mark.parametrize("unit", [b"a", b"in ", b"this ", b"sixteen letters "])
+def test_periodic_rows(unit):
+    """The rows of a passage of a short period do not grow with its length (before: one a period)."""
+    rng = random.Random(5)
+    head, tail = (bytes(rng.randrange(33, 127) for _ in range(300)) for _ in range(2))
+    short, long = (len(window_rows([head + unit * n + tail])) for n in (40 + 400 // len(unit), 40 + 40000 // len(unit)))
+    assert long <= short + 2
+
+
 def test_repeated_rows(spark):
     docs = [(1, "q" * 50 + str(list(range(100)))), (1, "q" * 50 + str(list(range(100)))), (None, "z" * 150)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
