@@ -1,8 +1,9 @@
 """Removal of repeated byte strings with suffix arrays in shards.
 
 A string of ``LEAST`` bytes that stands in two places has the same anchor in
-both: the 32-byte substring with the least hash among those inside it.  So only
-windows around anchors that stand in several places can hold repeats.  Windows
+both: the first 32-byte substring with the least hash among those inside it, where
+those of a short period come last: they stand in every period.  So only windows
+around anchors that stand in several places can hold repeats.  Windows
 with one anchor meet in one shard, equal windows as one; there a suffix array
 (``suffix``) finds every string that starts in two places.  A window that stands in
 several places is repeated whole, so only those that stand once are searched.
@@ -45,11 +46,24 @@ def _sliding(a: np.ndarray, width: int, op) -> np.ndarray:
     return op(back[:n], ahead[width - 1:width - 1 + n])
 
 
+def _periodic(data: np.ndarray) -> np.ndarray:
+    """True where the ``ANCHOR`` bytes from a place on have a period of at most half their length."""
+    n, half = len(data) - ANCHOR + 1, ANCHOR // 2
+    out = np.zeros(n, bool)
+    for period in range(1, half + 1):
+        same, k = data[:-period] == data[period:], 1
+        while k < half:
+            same = same[:-k] & same[k:]
+            k *= 2
+        out |= same[:n] & same[half - period:half - period + n]
+    return out
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST):
     """For the texts of a group: text and place of each anchor, its hash, the window's hash and reach.
 
-    The window reaches ``least - ANCHOR`` bytes before the anchor and ``least`` bytes
-    from its start on, or to the ends of the text.
+    The window is what the strings that have this anchor cover, from ``before`` bytes before
+    the anchor to ``after`` bytes from its start on; a string is in one window.
     """
     n, span = len(data), least - ANCHOR + 1
     sizes = np.diff(offsets)
@@ -58,25 +72,23 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST):
     sums = prefix_sums(data)
     places = np.arange(n - ANCHOR + 1)
     h = substrings(sums, places, places + ANCHOR)
-    rank = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    ends = np.repeat(offsets[1:], sizes)
-    rank[ends[:len(rank)] - places < ANCHOR] = np.iinfo(np.uint32).max  # reaches into the next text
-    low = _sliding(rank, span, np.minimum)  # of the strings that start at each place
-    low[ends[:len(low)] - places[:len(low)] < least] = 0
-    reach = np.concatenate([np.zeros(span - 1, np.uint32), low, np.zeros(span - 1, np.uint32)])
-    at = np.flatnonzero(_sliding(reach, span, np.maximum)[:len(rank)] == rank)
+    rank = (h >> np.uint64(33)) | (_periodic(data).astype(np.uint64) << np.uint64(31))
+    least_at = _sliding((rank << np.uint64(32)) | places.astype(np.uint64), span, np.minimum)
+    starts = np.flatnonzero((np.repeat(offsets[1:], sizes) - np.arange(n) >= least)[:len(least_at)])
+    at = (least_at[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    low, high = starts[first], starts[np.append(first[1:], len(at)) - 1] + least
+    at = at[first]
     text = np.searchsorted(offsets, at, "right") - 1
-    before = np.minimum(at - offsets[text], least - ANCHOR)
-    after = np.minimum(offsets[text + 1] - at, least)
-    window = mixed(substrings(sums, at - before, at + after) + before.astype(np.uint64))
-    return text, at - offsets[text], h[at].view(np.int64), window.view(np.int64), before, after
+    window = mixed(substrings(sums, low, high) + (at - low).astype(np.uint64))
+    return text, at - offsets[text], h[at].view(np.int64), window.view(np.int64), at - low, high - at
 
 
 def joined_runs(text: np.ndarray, at: np.ndarray, h: np.ndarray, w: np.ndarray, before: np.ndarray, after: np.ndarray):
     """Equal windows of one text that touch, as one row: the input columns, of the first of each run, and the last place.
 
-    A passage of a short period has an anchor in every period, and but for its ends
-    these have equal windows: one row covers them, however long the passage is.
+    In a passage of a short period the strings have an anchor in every period, all with
+    equal windows: one row covers them, however long the passage is.
     """
     by = np.lexsort((at, w, h, text))
     text, at, h, w, before, after = (c[by] for c in (text, at, h, w, before, after))

@@ -126,7 +126,19 @@ def test_periodic_rows(unit):
     rng = random.Random(5)
     head, tail = (bytes(rng.randrange(33, 127) for _ in range(300)) for _ in range(2))
     short, long = (len(window_rows([head + unit * n + tail])) for n in (40 + 400 // len(unit), 40 + 40000 // len(unit)))
-    assert long <= short + 2
+    assert long <= short + 2 and long <= 40
+
+
+def test_each_string_in_one_window():
+    """Windows of equal anchors hold every string once, at its place, whatever stands around it."""
+    texts = [t.encode() for t in periodic()]
+    data, offsets = b"".join(texts), np.cumsum([0, *map(len, texts)])
+    found, anchor = defaultdict(int), {}
+    for text, at, h, _, before, after in zip(*(c.tolist() for c in repeats.anchors(np.frombuffer(data, np.uint8), offsets))):
+        for i in range(at - before, at + after - 200 + 1):
+            found[text, i] += 1
+            assert anchor.setdefault(texts[text][i:i + 200], (h, at - i)) == (h, at - i)
+    assert found == {(k, i): 1 for k, t in enumerate(texts) for i in range(len(t) - 199)}
 
 
 def test_repeated_rows(spark):
